@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, url_filters
+from . import decontamination, mixing, quality_rules, suffix_dedup, url_filters
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_decontamination": decontamination.op7_decontamination,
 }
