@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, url_filters
+from . import decontamination, jaccard_join, mixing, phrase_dedup, quality_rules, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_phrase_dedup": phrase_dedup.op10_phrase_dedup,
     "op3_mixing": mixing.op3_mixing,
