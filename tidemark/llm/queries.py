@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_model, mixing, phrase_dedup, quality_rules, suffix_dedup, toxicity, url_filters
+from . import decontamination, jaccard_join, language_model, license_scans, mixing, phrase_dedup, quality_rules, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op1_license_scans": license_scans.op1_license_scans,
     "op2_lm_scoring": language_model.op2_lm_scoring,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
