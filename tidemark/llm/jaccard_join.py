@@ -38,6 +38,8 @@ HEAVY_SHARE = 0.001
 MOST_HEAVY = 200_000
 #: Nodes of a block that one task pairs; larger blocks are dealt to pairs of parts.
 PART_NODES = 20_000
+#: Blocks of up to so many nodes yield every pair that the bound allows; larger ones pairs with centres first.
+SMALL_BLOCK = 16
 LEAF, FAN = 16, 16
 
 
@@ -122,9 +124,10 @@ def blocks(described: DataFrame) -> DataFrame:
     """block, node, parts: nodes that share a prefix shingle. Keys with the same nodes make one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
+        all_ = pa.Table.from_batches(got)
         key, node = (c.to_numpy() for c in all_.columns)
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
@@ -218,9 +221,10 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, across:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
+        all_ = pa.Table.from_batches(got)
         block, p, q, node, label, n = (all_.column(c).to_numpy() for c in ("block", "p", "q", "node", "label", "n"))
         points = np.frombuffer(b"".join(all_.column("vector").to_pylist()), dtype=np.int32).reshape(-1, DIMENSIONS)
         order = np.lexsort((node, n, q, p, block))
@@ -234,7 +238,12 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, across:
         out_b.append(node[good + 1])
         for b, s in zip(begin[size > 2], size[size > 2]):
             part = slice(b, b + s)
-            pairs = cross_pairs(points[part], n[part], label[part], percent) if across else star_pairs(points[part], n[part], percent)
+            if across:
+                pairs = cross_pairs(points[part], n[part], label[part], percent)
+            elif s <= SMALL_BLOCK:
+                pairs = cross_pairs(points[part], n[part], np.arange(s), percent)
+            else:
+                pairs = star_pairs(points[part], n[part], percent)
             if pairs:
                 i, j = np.array(pairs).T
                 out_a.append(node[part][i])
@@ -249,37 +258,33 @@ def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, across:
     ).distinct()
 
 
-def node_sets(docs: DataFrame, owners: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """node, shingles for each (node, row) of ``owners``."""
-    wanted = _packed(with_row(docs)).join(owners, "row").select("node", "packed")
+def node_texts(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """node and its compressed text for each (node, row) of ``owners``; texts weigh a fraction of their shingles."""
+    return _packed(with_row(docs)).join(owners, "row").select("node", "packed").dropDuplicates(["node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([unpack(x.as_py()) for x in batch.column(1)], type=pa.large_binary()).cast(pa.large_string())
-            for first, hashes, begins in shingle_sets(texts, size):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(begins) - 1), pa.array([h.tobytes() for h in np.split(hashes, begins[1:-1])], type=pa.binary())],
-                    names=["node", "shingles"],
-                )
-
-    return wanted.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs whose sets are as alike as asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
-                both = np.intersect1d(x, y, assume_unique=True).size
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                nodes, first, number = np.unique(np.concatenate([part.column(0), part.column(1)]), return_index=True, return_inverse=True)
+                packed = [*part.column(2), *part.column(3)]
+                texts = pa.array([unpack(packed[i].as_py()) for i in first], type=pa.large_binary()).cast(pa.large_string())
+                sets = [s for _, hashes, begins in shingle_sets(texts, size) for s in np.split(hashes, begins[1:-1])]
+                for i in range(part.num_rows):
+                    x, y = sets[number[i]], sets[number[i + part.num_rows]]
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    good[at + i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    a = texts.select(F.col("node").alias("a"), F.col("packed").alias("x"))
+    b = texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
+    # pairs come back in order of a, so neighbours share texts
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -289,16 +294,19 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     points = described.where("vector is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
     stars = keep(candidate_pairs(members, points, percent, across=False))
     owners = described.where("vector is not null").groupBy("node").agg(F.min("row").alias("row"))
-    involved = members.select("node").distinct().join(owners, "node")
-    sets = keep(node_sets(docs, involved, size))
-    links = keep(confirmed(stars, sets, percent))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return keep(confirmed(pairs, keep(node_texts(docs, owners.join(nodes, "node"))), percent, size))
+
+    links = confirm(stars)
     first = keep(components(links))
-    # blocks that are not one component yet
+    # large blocks that are not one component yet
     labelled = members.join(first, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
-    across = candidate_pairs(labelled.join(open_, "block"), points, percent, across=True).join(stars, ["a", "b"], "left_anti")
-    more = keep(confirmed(across, sets, percent))
-    of_node = components(links.unionByName(more)) if not more.isEmpty() else first
+    open_ = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
+    open_ = open_.where("x <> y").where(F.col("size") > SMALL_BLOCK).select("block")
+    across = keep(candidate_pairs(labelled.join(open_, "block"), points, percent, across=True).join(stars, ["a", "b"], "left_anti"))
+    of_node = first if across.isEmpty() else components(links.unionByName(confirm(across)))
     named = described.join(of_node, "node", "left").withColumn("group", F.coalesce("component", "node"))
     smallest = named.where("node is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "group", "left").select(

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import table
 from .suffix_dedup import _spans, united
-from .textblocks import prefix_hash, span_hash, word_hashes, words
+from .textblocks import gram_hashes, prefix_hash, span_hash, text_chunks, word_hashes, words
 
 LENGTH = 50
 GRAM = 20
 #: Contexts that one automaton serves.
-SHARD_CONTEXTS = 20_000
+SHARD_CONTEXTS = 4_000
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,20 +96,12 @@ def shard_windows(pieces: list[bytes], at: np.ndarray, doc: np.ndarray, length:
 
 def compare(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
+        all_ = pa.Table.from_batches(got)
         all_ = all_.take(pa.array(np.argsort(all_.column("gram").to_numpy(), kind="stable")))
-        gram = all_.column("gram").to_numpy()
-        first = 0
-        while first < len(gram):
-            # shards of whole phrases; a phrase has at most HOT_GRAM contexts
-            last = min(first + SHARD_CONTEXTS, len(gram))
-            if last < len(gram):
-                back = int(np.searchsorted(gram, gram[last], side="left"))
-                last = back if back > first else int(np.searchsorted(gram, gram[last], side="right"))
-            part = all_.slice(first, last - first)
-            first = last
+        for part in repeats.whole_grams(all_, SHARD_CONTEXTS):
             row, doc, lo, at = (part.column(n).to_numpy() for n in ("row", "doc", "lo", "at"))
             piece, start = shard_windows(part.column("piece").to_pylist(), (at - lo).astype(np.int64), doc)
             if len(piece):
@@ -119,22 +111,23 @@ def compare(pieces: DataFrame) -> DataFrame:
 
 
 def compare_hot(pieces: DataFrame) -> DataFrame:
+    """The same for phrases with very many contexts: each window's hash meets its like through a shuffle."""
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, doc, lo, piece = (batch.column(n) for n in ("row", "doc", "lo", "piece"))
-            for i in range(batch.num_rows):
-                own = split(piece[i].as_py())
-                n = len(own) - LENGTH + 1
-                digests = [hashlib.blake2b(b" ".join(own[k : k + LENGTH]), digest_size=16).digest() for k in range(n)]
+            for first, end, data, offsets in text_chunks(batch.column(4).cast(pa.large_binary()).cast(pa.large_string())):
+                starts, ends, begins = words(data, offsets)
+                digest, bounds = gram_hashes(word_hashes(data, starts, ends), begins, LENGTH)
+                gram, row, doc, lo = (np.repeat(batch.column(i).to_numpy()[first:end], np.diff(bounds)) for i in range(4))
+                lo = lo + np.arange(len(lo)) - np.repeat(bounds[:-1], np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, type=pa.binary()), pa.array([row[i].as_py()] * n, type=pa.int64()), pa.array([doc[i].as_py()] * n, type=pa.int64()),
-                     pa.array(range(lo[i].as_py(), lo[i].as_py() + n), type=pa.int32())],
-                    names=["digest", "row", "doc", "lo"],
-                )
+                    [pa.array(gram), pa.array(digest.view(np.int64)), pa.array(row), pa.array(doc), pa.array(lo.astype(np.int32))],
+                    names=["gram", "digest", "row", "doc", "lo"],
+                )
 
-    each = pieces.select("row", "doc", "lo", "piece").mapInArrow(windows, "digest binary, row long, doc long, lo int")
-    owners = each.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("digest", "least")
-    return each.join(owners, "digest").where("doc > least").select("row", "lo", (F.col("lo") + LENGTH).alias("hi")).distinct()
+    each = pieces.select("gram", "row", "doc", "lo", "piece").mapInArrow(windows, "gram long, digest long, row long, doc long, lo int")
+    owners = each.groupBy("gram", "digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    return each.join(owners, ["gram", "digest"]).where("doc > least").select("row", "lo", (F.col("lo") + LENGTH).alias("hi")).distinct()
 
 
 def phrase_spans(docs: DataFrame) -> DataFrame:
@@ -156,6 +149,7 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return phrase_spans(table(spark, sf_dir, "documents")).select("doc_id", "packed", "spans").mapInArrow(
+    docs = table(spark, sf_dir, "documents")
+    return repeats.gather(docs, phrase_spans(docs)).mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )

@@ -4,10 +4,11 @@ A stretch is ``length`` consecutive units (bytes or words) of one text. Winnowin
 units, so that any two equal stretches hold an anchor at the same place. Everything that follows works on anchors:
 
 1. ``anchors``: each anchor with its context, the units that any stretch around it can reach, as two hashes.
-2. ``resolve``: anchors meet by gram hash. Equal contexts are settled there; a context whose gram recurs in other
-   surroundings becomes a detail, to be compared unit by unit. A gram with over ``HOT_GRAM`` details is hot.
+2. ``resolve``: anchors meet by gram hash. Equal contexts are settled there; a context that agrees with another one
+   on half of the units around the gram, as any two with a stretch in common must on one side, becomes a detail, to
+   be compared unit by unit. A gram with over ``HOT_GRAM`` details is hot.
 3. ``contexts``: fetches the details' texts.
-4. The operators compare details and add the spans they find; ``gather`` unites all spans of a text.
+4. The operators compare details and add the spans they find; ``gather`` brings them back to the texts.
 
 Copies are settled in the task that reads them, one per batch goes on, so large groups of copies do not meet in one
 task. Repeated rows are copies of each other.
@@ -27,7 +28,7 @@ from .common import keep
 from .textblocks import prefix_hash, span_hash, text_chunks, window_minima
 
 #: Details of one gram that are compared in one task; more are compared stretch by stretch through a shuffle.
-HOT_GRAM = 4096
+HOT_GRAM = 16_384
 #: Bytes of pieces that a task hands on at once.
 BATCH_BYTES = 4 << 20
 
@@ -36,7 +37,7 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 SPAN, DETAIL, PARTNER = 0, 1, 2
 
-ANCHOR_SCHEMA = "key long, gram long, context long, row long, doc long, lo int, hi int, at int, many boolean"
+ANCHOR_SCHEMA = "key long, gram long, context long, row long, doc long, lo int, hi int, at int, left int, right int, many boolean"
 RESOLVED_SCHEMA = "kind int, gram long, row long, doc long, lo int, hi int, at int, hot boolean"
 
 
@@ -50,16 +51,17 @@ def _table(schema: list[tuple[str, pa.DataType]], columns: list[np.ndarray]) ->
 
 
 _ANCHOR = [("key", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()),
-           ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("many", pa.bool_())]
+           ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("many", pa.bool_())]
 _RESOLVED = [("kind", pa.int32()), ("gram", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()),
              ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("hot", pa.bool_())]
 
 
 def text_anchors(codes: np.ndarray, begins: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For all anchors of a chunk: text, gram hash, context hash, and lo, hi, at (units from the text's first)."""
+    """For all anchors of a chunk: text, gram hash, context hash, lo, hi, at (units from the text's first), and short
+    hashes of the units left and right of the gram: a stretch takes in all of the one or of the other."""
     none = np.zeros(0, dtype=np.int64)
     if len(codes) < length:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.int32), none.astype(np.int32)
     prefix = prefix_hash(codes)
     starts = np.arange(len(codes) - gram + 1)
     hashes = span_hash(prefix, starts, starts + gram)
@@ -74,7 +76,12 @@ def text_anchors(codes: np.ndarray, begins: np.ndarray, length: int, gram: int)
     hi = np.minimum(at + length, begins[text + 1])
     context = span_hash(prefix, lo, hi) ^ ((at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     first = begins[text]
-    return text, hashes[at], context, lo - first, hi - first, at - first
+    beside = (length - gram) // 2
+    # beyond the text's ends nothing can agree, so the context's own hash stands in
+    left = np.where(at - beside >= first, span_hash(prefix, np.maximum(at - beside, 0), at), context).astype(np.uint32)
+    end = at + gram + beside
+    right = np.where(end <= begins[text + 1], span_hash(prefix, at + gram, np.minimum(end, len(codes))), ~context).astype(np.uint32)
+    return text, hashes[at], context, lo - first, hi - first, at - first, left.view(np.int32), right.view(np.int32)
 
 
 def anchors(rows: DataFrame, units: Units, length: int, gram: int, first_only: bool) -> DataFrame:
@@ -89,10 +96,10 @@ def anchors(rows: DataFrame, units: Units, length: int, gram: int, first_only: b
                 parts.append([text + first, *rest])
             if not parts:
                 continue
-            text, grams, context, lo, hi, at = (np.concatenate(x) for x in zip(*parts))
+            text, grams, context, lo, hi, at, left, right = (np.concatenate(x) for x in zip(*parts))
             row, doc, grams, context = row[text], doc[text], grams.view(np.int64), context.view(np.int64)
             order = np.lexsort((at, row, doc, context, grams))
-            grams, context, row, doc, lo, hi, at = (x[order] for x in (grams, context, row, doc, lo, hi, at))
+            grams, context, row, doc, lo, hi, at, left, right = (x[order] for x in (grams, context, row, doc, lo, hi, at, left, right))
             new, size = _groups(grams, context)
             if first_only:
                 covered = doc > np.repeat(doc[new], size)
@@ -109,7 +116,7 @@ def anchors(rows: DataFrame, units: Units, length: int, gram: int, first_only: b
                     lone = np.ones(mask.sum(), dtype=bool) if key is row else many[mask]
                     kind = grams[mask] if key is grams else np.zeros(mask.sum(), dtype=np.int64)
                     at_ = at[mask] if key is grams else np.full(mask.sum(), -1)
-                    yield _table(_ANCHOR, [key[mask], kind, context_, row[mask], doc[mask], lo[mask], hi[mask], at_, lone])
+                    yield _table(_ANCHOR, [key[mask], kind, context_, row[mask], doc[mask], lo[mask], hi[mask], at_, left[mask], right[mask], lone])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     return rows.select("row", order.alias("doc"), "text").mapInArrow(run, ANCHOR_SCHEMA)
@@ -132,10 +139,11 @@ def resolve(found: DataFrame, first_only: bool) -> DataFrame:
     """Settled spans, and the details that are left to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
-        _, grams, context, row, doc, lo, hi, at, many = (c.to_numpy() for c in table.columns)
+        table = pa.Table.from_batches(got)
+        _, grams, context, row, doc, lo, hi, at, left, right, many = (c.to_numpy() for c in table.columns)
         settled = at < 0
 
         def out(mask: np.ndarray, kind: int, hot: np.ndarray | None = None) -> pa.RecordBatch:
@@ -145,30 +153,32 @@ def resolve(found: DataFrame, first_only: bool) -> DataFrame:
         yield out(settled, SPAN)
         order = np.lexsort((at, row, doc, context, grams))
         order = order[~settled[order]]
-        grams, context, row, doc, lo, hi, at, many = (x[order] for x in (grams, context, row, doc, lo, hi, at, many))
-        new, size = _groups(grams, context)
+        if not len(order):
+            return
+        grams, context, row, doc, lo, hi, at, left, right, many = (x[order] for x in (grams, context, row, doc, lo, hi, at, left, right, many))
+        new, size = _groups(grams, context)  # classes: equal contexts of a gram
         which = np.repeat(np.arange(len(new)), size)
         gram_new, gram_size = _groups(grams[new])
-        classes = np.repeat(gram_size, gram_size)[which]
+        live = np.zeros(len(new), dtype=bool)
+        for side in (left, right):  # classes that agree with another one on this side of the gram
+            by = np.lexsort((side[new], grams[new]))
+            start, count = _groups(grams[new][by], side[new][by])
+            live[by] |= np.repeat(count > 1, count)
         if first_only:
+            low, high = (np.repeat(f.reduceat(doc, new[gram_new]), gram_size) for f in (np.minimum, np.maximum))
             span = doc > doc[new][which]
-            detail = ~span & (classes > 1)
+            detail = ~span & (live & (low < high))[which]
             partner = np.zeros(len(grams), dtype=bool)
         else:
-            any_many = np.zeros(len(new), dtype=bool)
-            np.logical_or.at(any_many, which, many)
-            repeated = (any_many | (size > 1))[which]
-            span = repeated
+            repeated = (np.logical_or.reduceat(many, new) | (size > 1))[which]
             first = np.zeros(len(grams), dtype=bool)
             first[new] = True
-            detail = ~repeated & (classes > 1)
-            partner = repeated & first & (classes > 1)
-        per_gram = np.add.reduceat((detail | partner).astype(np.int64), new[gram_new]) if len(new) else np.zeros(0)
-        total = np.diff(np.append(new[gram_new], len(grams))) if len(new) else np.zeros(0, dtype=np.int64)
-        hot = np.repeat(per_gram > HOT_GRAM, total)
-        if first_only is False and len(new):  # a gram whose contexts all recur needs no comparison
-            wanted = np.repeat(np.logical_or.reduceat(detail, new[gram_new]), total)
-            partner &= wanted
+            span = repeated
+            detail = ~repeated & live[which]
+            partner = repeated & first & live[which]
+        total = np.diff(np.append(new[gram_new], len(grams)))
+        partner &= np.repeat(np.logical_or.reduceat(detail, new[gram_new]), total)
+        hot = np.repeat(np.add.reduceat((detail | partner).astype(np.int64), new[gram_new]) > HOT_GRAM, total)
         for mask, kind in ((span, SPAN), (detail, DETAIL), (partner, PARTNER)):
             if mask.any():
                 yield out(mask, kind, hot)
@@ -223,25 +233,36 @@ def contexts(rows: DataFrame, details: DataFrame, cut: Callable[[bytes, np.ndarr
     return texts.mapInArrow(run, schema)
 
 
-def gather(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """row, doc_id, packed, and the spans (lo, hi) of each text, null where it has none."""
-    listed = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    return _packed(rows).join(listed, "row", "left")
+def whole_grams(pieces: pa.Table, most: int) -> Iterator[pa.Table]:
+    """Slices of about ``most`` rows of a table in order of gram; a gram's rows stay together."""
+    gram = pieces.column("gram").to_numpy()
+    first = 0
+    while first < len(gram):
+        last = min(first + most, len(gram))
+        if last < len(gram):
+            back = int(np.searchsorted(gram, gram[last], side="left"))
+            last = back if back > first else int(np.searchsorted(gram, gram[last], side="right"))
+        yield pieces.slice(first, last - first)
+        first = last
+
+
+def gather(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """doc_id, packed and spans of every row of ``docs``; spans are null where nothing was found."""
+    return _packed(with_row(docs)).join(listed, "row", "left").select("doc_id", "packed", "spans")
 
 
 def find_spans(
     docs: DataFrame, units: Units, length: int, gram: int, first_only: bool,
     cut: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]], compare: Callable[[DataFrame], DataFrame], compare_hot: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """row, doc_id, packed, spans for every row of ``docs``."""
+    """row and spans (lo, hi), in order, of every text in which something was found."""
     rows = with_row(docs)
     resolved = keep(resolve(anchors(rows, units, length, gram, first_only), first_only))
     details = resolved.where(F.col("kind") != SPAN)
-    pieces = contexts(rows, details, cut)
-    pieces = keep(pieces)
+    pieces = keep(contexts(rows, details, cut))
     spans = (
         resolved.where(F.col("kind") == SPAN).select("row", "lo", "hi")
         .unionByName(compare(pieces.where("not hot")))
         .unionByName(compare_hot(pieces.where("hot")))
     )
-    return gather(rows, spans)
+    return spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))

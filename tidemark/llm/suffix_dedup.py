@@ -22,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
 from .common import table
-from .textblocks import byte_codes, prefix_hash, span_hash
+from .textblocks import byte_codes, gram_hashes, prefix_hash, span_hash
 
 LENGTH = 200
 GRAM = 100
+#: Contexts that are compared at once, but for a single gram with more.
+SHARD_CONTEXTS = 8_000
 #: Shards whose transforms are merged at once, and letters in one merge.
 SHARDS = 8
 MERGE_LETTERS = 2_000_000
@@ -196,39 +199,44 @@ def _spans(row: np.ndarray, lo: np.ndarray, length: int) -> pa.RecordBatch:
 
 def compare(pieces: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
             return
-        row, lo, at, many = (all_.column(n).to_numpy() for n in ("row", "lo", "at", "many"))
-        texts, number = np.unique(row, return_inverse=True)
-        origin = number.astype(np.int64) * (1 << 32) + lo
-        piece, start = repeated_windows(all_.column("piece").to_pylist(), (at - lo).astype(np.int64), origin, many, length, gram)
-        if len(piece):
-            yield _spans(row[piece], lo[piece] + start, length)
+        all_ = pa.Table.from_batches(got)
+        all_ = all_.take(pa.array(np.argsort(all_.column("gram").to_numpy(), kind="stable")))
+        for part in repeats.whole_grams(all_, SHARD_CONTEXTS):
+            row, lo, at, many = (part.column(n).to_numpy() for n in ("row", "lo", "at", "many"))
+            _, number = np.unique(row, return_inverse=True)
+            origin = number.astype(np.int64) * (1 << 32) + lo
+            piece, start = repeated_windows(part.column("piece").to_pylist(), (at - lo).astype(np.int64), origin, many, length, gram)
+            if len(piece):
+                yield _spans(row[piece], lo[piece] + start, length)
 
     return pieces.select("gram", "row", "lo", "at", "many", "piece").repartition("gram").mapInArrow(run, "row long, lo int, hi int")
 
 
 def compare_hot(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for grams with very many details: each string's digest is counted through a shuffle."""
+    """The same for grams with very many details: each string's hash meets its like through a shuffle."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, lo, many, piece = (batch.column(n) for n in ("row", "lo", "many", "piece"))
-            for i in range(batch.num_rows):
-                text = piece[i].as_py()
-                digests = [hashlib.blake2b(text[k : k + length], digest_size=16).digest() for k in range(len(text) - length + 1)]
-                n = len(digests)
+            ends = np.cumsum(pc.binary_length(batch.column(4)).to_numpy())
+            data = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8)
+            for i in range(0, len(ends), 1000):
+                j = min(i + 1000, len(ends))
+                base = ends[i - 1] if i else 0
+                digest, bounds = gram_hashes(byte_codes(data[base : ends[j - 1]]), np.concatenate([[0], ends[i:j] - base]), length)
+                gram, row, lo, many = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False)[i:j], np.diff(bounds)) for k in range(4))
+                lo = lo + np.arange(len(lo)) - np.repeat(bounds[:-1], np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, type=pa.binary()), pa.array([row[i].as_py()] * n, type=pa.int64()),
-                     pa.array(range(lo[i].as_py(), lo[i].as_py() + n), type=pa.int32()), pa.array([many[i].as_py()] * n)],
-                    names=["digest", "row", "lo", "many"],
-                )
+                    [pa.array(gram), pa.array(digest.view(np.int64)), pa.array(row), pa.array(lo.astype(np.int32)), pa.array(many)],
+                    names=["gram", "digest", "row", "lo", "many"],
+                )
 
-    each = pieces.select("row", "lo", "many", "piece").mapInArrow(windows, "digest binary, row long, lo int, many boolean")
+    each = pieces.select("gram", "row", "lo", "many", "piece").mapInArrow(windows, "gram long, digest long, row long, lo int, many boolean")
     place = F.struct("row", "lo")
-    twice = each.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many")).where("many or a <> b").select("digest")
-    return each.join(twice, "digest").select("row", "lo", (F.col("lo") + length).alias("hi")).distinct()
+    twice = each.groupBy("gram", "digest").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many")).where("many or a <> b")
+    return each.drop("many").join(twice, ["gram", "digest"]).select("row", "lo", (F.col("lo") + length).alias("hi")).distinct()
 
 
 def repeat_spans(docs: DataFrame) -> DataFrame:
@@ -252,11 +260,11 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes taken out of text; other columns stay as they are."""
-    found = repeat_spans(docs).where("spans is not null").groupBy("row").agg(F.first("spans").alias("spans"))
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(
-        found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left"
-    ).select(*docs.columns, "_spans")
+        repeat_spans(docs).select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left"
+    ).select(*names, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +275,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 new.append(kept_bytes(text[i].as_buffer().to_pybytes(), cuts).decode("utf-8", "ignore") if cuts else text[i].as_py())
             columns = [*batch.columns[:-1]]
             columns[place] = pa.array(new, type=text.type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return keyed.mapInArrow(run, docs.schema)
 
@@ -286,6 +294,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return repeat_spans(table(spark, sf_dir, "documents")).select("doc_id", "packed", "spans").mapInArrow(
+    docs = table(spark, sf_dir, "documents")
+    return repeats.gather(docs, repeat_spans(docs)).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
