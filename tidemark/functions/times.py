@@ -27,7 +27,8 @@ def to_utc_iso(ts: Column) -> Column:
 
 def age_hours(ts: Column, now: Column) -> Column:
     seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
-    return F.coalesce(F.greatest(seconds / 3_600_000_000.0, F.lit(0.0)), F.lit(DEFAULT_AGE_HOURS))
+    hours = seconds / 3_600_000_000.0
+    return F.when(hours.isNull(), DEFAULT_AGE_HOURS).otherwise(F.greatest(hours, F.lit(0.0)))
 
 
 def freshness(hours: Column, gravity: float = FRESHNESS_GRAVITY) -> Column:

@@ -19,7 +19,3 @@ def cosine(a: Column, b: Column) -> Column:
     size = norm(a) * norm(b)
     return F.when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
-
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))

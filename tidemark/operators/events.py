@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, unit
+from ..functions.vectors import dot, norm
 
 STRONG, GRAY, SHADOW = 0.75, 0.70, 0.65
 CANDIDATE, DIAMETER, MOST_MEMBERS = 0.60, 0.55, 50
@@ -30,16 +30,20 @@ def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     Every task holds its own vectors and reads each block of the others, which Spark serves as one row of packed
     vectors, so work is the square that an exact search needs while memory is one block.
     """
-    units = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
+    units = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     block = F.pmod(F.xxhash64("id"), F.ceil(F.lit(vectors.count()) / QUERY_BLOCK))
     packed = units.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
     left, right = packed.select(F.col("block").alias("p"), F.col("rows").alias("x")), packed.select(F.col("block").alias("q"), F.col("rows").alias("y"))
 
+    def scaled(rows: list) -> np.ndarray:
+        v = np.array([r["v"] for r in rows], dtype=np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for x, y in zip(batch["x"], batch["y"]):
                 a, b = np.array([r["id"] for r in x]), np.array([r["id"] for r in y])
-                cos = np.array([r["v"] for r in x]) @ np.array([r["v"] for r in y]).T
+                cos = scaled(x) @ scaled(y).T
                 i, j = np.nonzero(cos >= least - 1e-9)
                 out = pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cosine": cos[i, j]})
                 yield out[out["a"] < out["b"]].drop_duplicates(["a", "b"])
@@ -49,7 +53,9 @@ def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
 
 def top_k(queries: DataFrame, stored: DataFrame, k: int, least: float) -> DataFrame:
     """For each query (q, qv) the k stored vectors (s, sv) with the largest cosine, ties by s."""
-    scored = queries.join(stored).select("q", "s", dot(unit(F.col("qv")), unit(F.col("sv"))).alias("cosine")).where(F.col("cosine") >= least)
+    # lengths are taken once per vector, before the join
+    queries, stored = queries.withColumn("qn", norm(F.col("qv"))), stored.withColumn("sn", norm(F.col("sv")))
+    scored = queries.join(stored).select("q", "s", F.try_divide(dot(F.col("qv"), F.col("sv")), F.col("qn") * F.col("sn")).alias("cosine")).where(F.col("cosine") >= least)
     order = Window.partitionBy("q").orderBy(F.desc(F.round("cosine", 9)), "s")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -93,6 +99,7 @@ def agglomerate(df: DataFrame, group: str, key: str, order: list[str], vector: s
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         vectors = np.array(rows["_v"].tolist(), dtype=np.float64)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
         members: list[list[int]] = []
         middles = np.zeros((0, vectors.shape[1]))
         label = np.zeros(len(rows), dtype=np.int64)
@@ -117,5 +124,5 @@ def agglomerate(df: DataFrame, group: str, key: str, order: list[str], vector: s
                 label[i] = c
         return pd.DataFrame({group: rows[group], key: rows[key], "cluster": label})
 
-    slim = df.select(group, key, *[c for c in order if c not in (group, key)], unit(F.col(vector)).alias("_v"))
+    slim = df.select(group, key, *[c for c in order if c not in (group, key)], F.col(vector).alias("_v"))
     return slim.groupBy(group).applyInPandas(run, f"{group} long, {key} long, cluster long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feed, registry  # noqa: F401
+from . import audit, content, feed, registry, streams  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -87,7 +87,7 @@ def engagement_percentile(spark, sf_dir):
 
 _RANKED = f"""
 WITH seen AS (SELECT {ITEM} AS doc_id, sum(value) AS engagement, max(ts) AS last_at FROM events GROUP BY 1),
-rated AS (SELECT d.doc_id, d.source, coalesce(engagement, 0) AS engagement, greatest(epoch(TIMESTAMP '{NOW}' - last_at) / 3600.0, 0) AS hours,
+rated AS (SELECT d.doc_id, d.source, coalesce(engagement, 0) AS engagement, CASE WHEN last_at IS NOT NULL THEN greatest(epoch(TIMESTAMP '{NOW}' - last_at) / 3600.0, 0) END AS hours,
   least(d.n_chars, 4000) / 4000.0 AS quality FROM documents d LEFT JOIN seen USING (doc_id)),
 placed AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY round(engagement, 6), doc_id) - 1) / greatest(count(*) OVER (PARTITION BY source) - 1, 1) AS pct FROM rated),
 scored AS (SELECT doc_id, source, round(quality * (1 + 0.1 * pct) / pow(1 + coalesce(hours, 168.0), 1.5), 6) AS score FROM placed)
