@@ -101,7 +101,7 @@ def twitter(df: DataFrame) -> DataFrame:
 def bilibili(df: DataFrame) -> DataFrame:
     video = "struct<bvid:string,title:string,pubdate:long,owner:struct<name:string>,author:string,stats:struct<view:double,like:double,coin:double,favorite:double>>"
     each = lambda path: F.from_json(F.get_json_object("payload", path), f"array<{video}>")
-    d = df.select(F.explode(F.coalesce(F.from_json("payload", f"array<{video}>"), each("$.items"), each("$.data.list"), each("$.data"))).alias("p"))
+    d = df.select(F.explode(F.coalesce(each("$.data.list"), each("$.items"), each("$.data"), F.from_json("payload", f"array<{video}>"))).alias("p"))
     return _items(d, item_id=F.col("p.bvid"), platform="bilibili", title=strip_tags(F.col("p.title")), url=F.concat(F.lit("https://www.bilibili.com/video/"), F.col("p.bvid")), author=F.coalesce("p.owner.name", "p.author"),
                   published_at=_epoch(F.col("p.pubdate")), metrics=_metrics(views=F.col("p.stats.view"), likes=F.col("p.stats.like"), coins=F.col("p.stats.coin"), favorites=F.col("p.stats.favorite")))
 
