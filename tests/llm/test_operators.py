@@ -1,0 +1,347 @@
+"""The operators against brute force on made-up documents, and on odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import (
+    common, decontamination, jaccard_join, language_model, license_scans, mixing, phrase_dedup, quality_rules, repeats, suffix_dedup, toxicity, url_filters,
+)
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(seed: int = 5) -> list[tuple]:
+    """Copies, near copies, shared passages, periodic lines, odd texts."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abdeilnorstuéñ") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage = words(70)
+    texts: list = []
+    for i in range(40):
+        own = words(rng.randint(5, 160))
+        if i % 5 == 0:
+            own[3:3] = passage[: rng.randint(40, 70)]
+        if i % 7 == 0:
+            own += passage[rng.randint(0, 10) :]
+        texts.append(" ".join(own))
+    texts += [texts[2], texts[2].upper(), texts[5], texts[5]]
+    near = words(150)
+    for _ in range(25):  # one large group of near copies
+        own = list(near)
+        for _ in range(2):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    texts += [None, "", " \n\t", "x", "one two three", "one two three", "a" * 900, ("same line here\n" * 60), "long " + "word" * 4000, " ".join(words(3000)), "é" * 400]
+    return [(i, t, "en", [None, "s1", "s2", "s1", "s1"][i % 5], len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def repeated_bytes(rows):
+    where = defaultdict(set)
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 199):
+            where[b[k : k + 200]].add((i, k))
+    cut = defaultdict(set)
+    for places in where.values():
+        if len(places) > 1:
+            for i, k in places:
+                cut[i].update(range(k, k + 200))
+    return {i: bytes(x for k, x in enumerate((t or "").encode()) if k not in cut[i]) for i, t, *_ in rows}
+
+
+@pytest.mark.parametrize("hot", [1, 16_384])
+def test_suffix_dedup_is_exact(spark, docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_GRAM", hot)
+    monkeypatch.setattr(suffix_dedup, "table", lambda *_: docs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.op5_suffix_dedup(spark, "").collect()}
+    want = repeated_bytes(rows)
+    assert got == {i: (len((t or "").encode()), len((t or "").encode()) - len(want[i]), hashlib.sha256(want[i]).hexdigest()) for i, t, *_ in rows}
+
+
+def test_drop_repeats_keeps_columns(docs, rows):
+    out = suffix_dedup.drop_repeats(docs.withColumns({"row": F.lit(1), "spans": F.lit("x"), "packed": F.lit(2)}))
+    assert out.columns == [*docs.columns, "row", "spans", "packed"]
+    want = repeated_bytes(rows)
+    assert {r.doc_id: r.text or "" for r in out.collect()} == {i: want[i].decode("utf-8", "ignore") for i in want}
+
+
+@pytest.mark.parametrize("alphabet, shards", [("ab", 2), ("abcdefgh", 5)])
+def test_merged_transform_sorts_like_suffixes(alphabet, shards):
+    rng = random.Random(shards)
+    strings = np.array(sorted({tuple(ord(rng.choice(alphabet)) for _ in range(11)) + (253,) for _ in range(30)}), dtype=np.uint8)
+    parts = np.array_split(strings, shards)
+    entry, block = suffix_dedup.merge_transforms([suffix_dedup.shard_transform(p) for p in parts], 6)
+    rotations = [bytes(np.roll(strings[e // 12], -(e % 12))[:6]) for e in entry]
+    assert rotations == sorted(rotations)
+    assert [x == y for x, y in zip(rotations, rotations[1:])] == (np.diff(block) == 0).tolist()
+
+
+@pytest.mark.parametrize("hot", [1, 16_384])
+def test_phrase_dedup_is_exact(spark, docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_GRAM", hot)
+    monkeypatch.setattr(phrase_dedup, "table", lambda *_: docs)
+    first, want = {}, {}
+    for i, t, *_ in rows:
+        w, cut = WORD.findall(t or ""), set()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                cut.update(range(k, k + 50))
+        want[i] = (len(w), len(cut), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in cut).encode()).hexdigest())
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup.op10_phrase_dedup(spark, "").collect()} == want
+
+
+def linked(rows, size=4, percent=85):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, min(len(w), 1))))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("block, part", [(16, 20_000), (2, 20_000), (2, 7)])
+def test_jaccard_join_is_exact(spark, docs, rows, block, part, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PART_NODES", part)
+    monkeypatch.setattr(jaccard_join, "table", lambda *_: docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op9_jaccard_join(spark, "").collect()} == linked(rows)
+
+
+def test_count_tree_bounds_every_overlap():
+    rng = np.random.default_rng(1)
+    points = rng.poisson(3, (300, jaccard_join.DIMENSIONS)).astype(np.int32)
+    points[150:] = points[:150] + (rng.random((150, jaccard_join.DIMENSIONS)) < 0.05)
+    sizes = points.sum(axis=1)
+    tree = jaccard_join.CountTree(points, sizes)
+    for i in range(0, 300, 17):
+        bound = np.minimum(points, points[i]).sum(axis=1)
+        assert set(tree.search(points[i], sizes[i], 85)) == set(np.flatnonzero(185 * bound >= 85 * (sizes + sizes[i])))
+
+
+def test_keep_one_of_each_group(docs, rows):
+    groups = linked(rows, 5, 80)
+    kept = jaccard_join.keep_one(docs, 80, 5)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (n, c) in groups.items() if c == i)
+
+
+def test_decontamination(spark, rows):
+    items = spark.createDataFrame([(1, rows[1][1]), (2, " ".join(f"q{i}" for i in range(200))), (3, None), (4, "")], "item_id long, text string")
+    texts = [(0, "before it " + rows[1][1].upper() + "!!! after"), (1, rows[3][1]), (2, None), (3, " ".join(f"Q{i}," for i in range(200))), (4, "q1 q2 q3"), (0, rows[1][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect()) == [(0, 1), (0, 1), (3, 2)]
+    left = decontamination.drop_leaks(docs.withColumn("score", F.lit(1)), items)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 4] and left.columns == [*docs.columns, "score"]
+
+
+def test_wand_finds_what_full_scores_find(rows):
+    index = decontamination.ItemIndex([(i, t) for i, t, *_ in rows[:40]])
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        terms = np.sort(rng.choice(len(index.vocabulary), 60, replace=False))
+        for g in range(len(index.group_ends)):
+            full = defaultdict(float)
+            for t in terms.tolist():
+                at, share, _ = index.postings.get((t, g), ([], [], []))
+                for e, s in zip(at, share):
+                    full[e] += s
+            assert sorted(e for e, _ in index.search(terms, g, 0.2)) == sorted(e for e, s in full.items() if s >= 0.2 - 1e-6)
+
+
+def test_mixing(spark, docs, rows):
+    out = mixing.mix(docs).toPandas()
+    assert len(out) == len(rows)
+    size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    assert all(size[r.doc_id] == r.size and r.taken <= 3 * r.size for r in out.itertuples())
+    out["source"] = out["source"].fillna("~")
+    totals = out.groupby("source").agg(got=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert totals["target"].sum() == pytest.approx(sum(size.values()))
+    assert (totals["target"] <= 3 * totals["size"] + 1e-6).all()
+    assert (abs(totals["got"] - totals["target"]) <= 0.02 * totals["target"] + 20).all()
+    again = mixing.mix(docs.repartition(5)).toPandas()
+    assert sorted(zip(out["doc_id"], out["taken"])) == sorted(zip(again["doc_id"], again["taken"]))
+
+
+def test_targets_stop_at_three_times_the_size(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), ("d", 10)], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    assert got["a"] == 30 and got["d"] == 30
+    assert got["b"] == pytest.approx(1960 * 2 / 3) and got["c"] == pytest.approx(1960 / 3)
+
+
+def test_toxicity_learns_and_restores(spark):
+    rng = random.Random(3)
+    clean = ["garden", "river", "music", "paper", "winter", "table", "cloud", "simple", "story", "window"]
+    bad, rows, labels = ["idiot", "stupid", "moron"], [], []
+    for i in range(900):
+        words, toxic = [rng.choice(clean) for _ in range(30)], i % 4 == 0
+        if toxic:
+            for w in rng.sample(bad, 2):
+                words[rng.randrange(30)] = w if i % 3 != 1 else {"idiot": "id10t", "stupid": "s t u p i d", "moron": "mooooron"}[w]
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = got[got["held_out"]]
+    assert ((held["predicted"] == held["toxic"]).mean()) > 0.95
+    assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]).all()
+
+
+def test_language_model(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(language_model, "HEAD_WORDS", 150)
+    out = language_model.score_texts(docs, F.coalesce(common.crc_mod("doc_id", 7) != 2, F.lit(True))).toPandas()
+    tokens = {i: [*WORD.findall((t or "").translate(LOW)), None] for i, t, *_ in rows}
+    counts = Counter(w for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in own)
+    n, v = sum(counts.values()), len(counts)
+    for r in out.itertuples():
+        own = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        assert r.score < 0
+
+
+def test_gradients_agree_with_differences():
+    rng = np.random.default_rng(4)
+
+    class Small:
+        rank, counts, class_tokens = np.arange(10), np.ones(10), np.ones(language_model.TAIL_CLASSES)
+
+    weights = {k: v.astype(np.float64) for k, v in language_model.first_weights(Small).items()}
+    units = rng.integers(0, language_model.SOFT_WORDS + language_model.TAIL_CLASSES, (5, 3))
+
+    def cost(grads=None):
+        h, before, steps, states = np.zeros((3, language_model.HIDDEN)), np.full(3, language_model.SOFT_WORDS + language_model.TAIL_CLASSES), [], []
+        for t in range(5):
+            h, s = language_model.step(weights, before, h)
+            steps.append(s)
+            states.append(h)
+            before = units[t]
+        out, back = language_model.output_costs(weights, np.concatenate(states), units.ravel(), grads)
+        if grads is not None:
+            language_model.back_through(weights, steps, np.split(back, 5), grads)
+        return -out.sum()
+
+    grads = {k: np.zeros_like(v) for k, v in weights.items()}
+    cost(grads)
+    for k, w in weights.items():
+        at = tuple(x[0] for x in np.nonzero(grads[k]))
+        old = w[at]
+        w[at] = old + 1e-5
+        up = cost()
+        w[at] = old - 1e-5
+        assert grads[k][at] == pytest.approx((up - cost()) / 2e-5, rel=1e-4, abs=1e-6)
+        w[at] = old
+
+
+def test_license_scans(spark):
+    text = "Intro.\nReleased  under the MIT license!\nmore\nLicensed under CC BY-NC 4.0. And licensed under the Apache License, Version 2.0.\nlicense of nobody"
+    docs = spark.createDataFrame([(1, text, "en", "s", 0), (2, None, "en", "s", 0), (3, "no cue", "en", "s", 0), (4, "x" * 3000 + " Released under the MIT License. " + "y" * 3000, "en", "s", 0)], SCHEMA)
+    got = license_scans.scan_licenses(docs).toPandas()
+    assert sorted(zip(got["doc_id"], got["license"])) == [(1, "Apache-2.0"), (1, "CC-BY-NC-4.0"), (1, "MIT"), (4, "MIT")]
+    assert all(text[r.begin : r.end].lower().endswith(("license", "4.0", "2.0")) for r in got[got["doc_id"] == 1].itertuples())
+
+
+def test_url_filters(spark):
+    urls = ["http://WWW.Example.com/en/x?y", "https://a.example.com/en/", "https://b.net/es/1", "http://b.net", None, "nothing", "http://example.com/en", "ftp://x.net/fr/#a"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], "")], "page_id long, url string, html string")
+    rules = spark.createDataFrame(url_filters.RULES, "rule string, verdict string")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(pages, rules).collect() if r.page_id != 0)
+    assert got == [
+        (1, "a.example.com", "/en/", "example.com/en/", "block"), (2, "b.net", "/es/1", "net/es/", "block"), (3, "b.net", "", None, "allow"), (4, "", "", None, "allow"),
+        (5, "", "", None, "allow"), (6, "example.com", "/en", "com/", "allow"), (7, "x.net", "/fr/", "net/fr/", "block"),
+    ]
+    assert url_filters.judge_urls(pages, rules).where("page_id = 0 AND rule = 'www.example.com/en/' AND verdict = 'allow'").count() == 2
+
+
+def test_quality_rules(spark):
+    line = "one two three four five six seven eight nine ten"
+    texts = [None, "", line, f"{line}\n{line}\n{line}", " ".join(f"w{i}#" for i in range(40)), f"\u000b{line} a b c d e f g h i j k {line}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.judge_documents(docs, "doc_id").collect()}
+    assert [got[i].n_words for i in range(6)] == [0, 0, 10, 30, 40, 31]
+    assert [got[i].n_repeat_words for i in range(6)] == [0, 0, 0, 30, 0, 20]
+    assert [got[i].n_dup_lines for i in range(6)] == [0, 0, 0, 2, 0, 0]
+    assert got[4].n_symbols == 40 and not got[4].base_failed
+    assert [got[i].base_failed for i in range(6)] == [True, True, True, True, False, True]
+
+
+def test_failing_host_is_rejected(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, good if i % 10 == 0 else "short", "en", "bad", 0) for i in range(200)] + [(1000 + i, good, "en", f"ok{i % 3}", 0) for i in range(300)]
+    kept = quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA))
+    assert {r.source for r in kept.collect()} == {"ok0", "ok1", "ok2"} and kept.count() == 300
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 150)}
+
+
+def operators(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    return {
+        "licenses": license_scans.scan_licenses(docs), "lm": language_model.score_texts(docs, F.lit(True)), "mix": mixing.mix(docs),
+        "rules": quality_rules.judge_documents(docs, "doc_id"), "good": quality_rules.keep_good(docs), "bytes": suffix_dedup.drop_repeats(docs),
+        "leaks": decontamination.find_leaks(docs, items), "clean": decontamination.drop_leaks(docs, items), "toxic": toxicity.toxicity(docs, labels),
+        "links": jaccard_join.link_documents(docs), "one": jaccard_join.keep_one(docs), "phrases": repeats.gather(docs, phrase_dedup.phrase_spans(docs)),
+    }
+
+
+def test_empty_tables(spark, empty):
+    assert {k: df.count() for k, df in operators(spark, empty).items() if df.count()} == {}
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark):
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a b " * 300, "en", "s", 0), (2, "a b " * 300, "en", "s", 0), (None, "x y z", None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("row", "n", "size", "node", "h", "kind", "spans", "packed", "bucket", "rate", "group", "_row")})
+    counts = {k: df.count() for k, df in operators(spark, docs).items()}
+    assert {k: counts[k] for k in ("lm", "mix", "rules", "bytes", "clean", "toxic", "links", "phrases")} == dict.fromkeys(("lm", "mix", "rules", "bytes", "clean", "toxic", "links", "phrases"), 6)
+
+
+def test_pipeline_stages_chain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.keep(stage(spark, docs, "/root/testdata/sf0.001"))
+        assert docs.count() > 0
+        if i < 4:
+            assert docs.columns == columns

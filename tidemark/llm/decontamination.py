@@ -8,7 +8,7 @@ which sums over whole batches decide; in the other groups they search with WAND
 every entry above the threshold. A retrieved item counts as leaked if at least ``OVERLAP`` of the five-token runs of
 its question and of its answer (its last quarter) occur in the document.
 
-Tokens are runs of ASCII letters, digits and bytes above 127, with A-Z lower-cased. Null and empty texts leak
+Tokens are runs of ASCII letters, digits and bytes above 127, with A-Z and Latin-1 letters lower-cased. Null and empty texts leak
 nothing, nor do items without tokens. Repeated rows are judged one by one. Columns beside doc_id and text are passed
 through by ``drop_leaks`` and left out by ``find_leaks``. Items are read into indexes of at most ``INDEX_BYTES`` of
 text; more items are searched index by index.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textblocks import LOWER, byte_codes, prefix_hash, span_hash, text_chunks
+from .textblocks import byte_codes, fold, prefix_hash, span_hash, text_chunks
 
 PASSAGE = 64
 THRESHOLD = 0.6
@@ -50,7 +50,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = inner[solid[inner] & solid[inner + 1]]
     starts[cut] = ends[cut] = True
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
-    return span_hash(prefix_hash(byte_codes(LOWER[data])), starts, ends), np.searchsorted(starts, offsets)
+    return span_hash(prefix_hash(byte_codes(fold(data))), starts, ends), np.searchsorted(starts, offsets)
 
 
 def runs(hashes: np.ndarray, n: int = RUN) -> np.ndarray:

@@ -81,8 +81,8 @@ def shard_windows(pieces: list[bytes], at: np.ndarray, doc: np.ndarray, length:
     high = np.minimum(where, begins[piece + 1] - length)
     count = np.maximum(high - low + 1, 0)
     window = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    key = np.unique(np.stack([window, np.repeat(piece, count)]), axis=1) if len(window) else np.zeros((2, 0), dtype=np.int64)
-    window, piece = key
+    window = np.unique(window)
+    piece = np.searchsorted(begins, window, side="right") - 1
     digest = span_hash(hashes, window, window + length)
     order = np.argsort(digest, kind="stable")
     window, piece, digest = window[order], piece[order], digest[order]

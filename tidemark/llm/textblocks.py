@@ -26,6 +26,14 @@ _BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower-cases ASCII letters and the letters of UTF-8 that begin with byte C3 (Latin-1)."""
+    out = LOWER[data]
+    capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][capital] += 0x20
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept between calls."""
     have = _POWERS.get(base)

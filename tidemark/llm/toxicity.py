@@ -4,8 +4,8 @@
 2. ``restore``: words with letters swapped for digits or signs, stretched by repetition or broken up by spacing
    become lattices; Viterbi decoding picks the reading that the letter model and the costs of the disguises favour.
 3. ``toxic_features``: words and word beginnings of the restored training texts, with the lower bound of the share of
-   toxic texts among those that have them. Texts that share the smallest hash of their word triples count once, so a
-   group of copies can't make all of its words toxic.
+   toxic texts among those that have them. Toxic texts that share the smallest hash of their word triples count once,
+   so a group of copies can't make all of its words toxic.
 4. A text's score is the chance that at least one of its three most telling words is right.
 
 Only rows for which ``crc32(doc_id) % 3 != 1`` teach labels. Null texts are empty; empty texts and texts without a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .textblocks import LOWER, byte_codes, mix, prefix_hash, span_hash, text_chunks
+from .textblocks import LOWER, byte_codes, fold, mix, prefix_hash, span_hash, text_chunks
 
 #: Letters that digits and signs may stand for. Fixed values.
 DISGUISES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
@@ -36,6 +36,8 @@ BEGINNINGS = (4, 5, 6, 7)
 #: Lower bounds are taken this many standard deviations down; features below LEAST_SHARE tell nothing.
 DEVIATIONS = 2.0
 LEAST_SHARE = 0.5
+#: Beginnings that fewer words share tell nothing that the words don't.
+LEAST_WORDS = 4
 #: Features that executors are sent, those with the highest bounds.
 MOST_FEATURES = 200_000
 #: A text is called toxic from this score.
@@ -205,7 +207,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts[cut] = ends[cut] = True
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
     text = np.searchsorted(offsets, starts, side="right") - 1
-    prefix = prefix_hash(byte_codes(LOWER[data]))
+    prefix = prefix_hash(byte_codes(fold(data)))
     size = ends - starts
     number = np.arange(len(starts))
     out = [(text, number, span_hash(prefix, starts, ends))]
@@ -222,7 +224,6 @@ def toxic_features(train: DataFrame, costs: np.ndarray) -> pd.DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(sent.value)
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False) == 1
             for first, end, data, offsets in text_chunks(batch.column(0)):
                 text, number, h = features(*restorer.texts(data, offsets))
                 n_words = int(number.max()) + 1 if len(number) else 0
@@ -232,22 +233,42 @@ def toxic_features(train: DataFrame, costs: np.ndarray) -> pd.DataFrame:
                 # texts of one or two words are groups of their own words
                 least = np.full(end - first, np.iinfo(np.uint64).max, dtype=np.uint64)
                 np.minimum.at(least, owner[:-2][same], triples[same])
+                # one bit for each of 32 classes of words that begin so; a whole word has them all
+                bits = np.where(np.arange(len(h)) < n_words, np.int64(2**32 - 1), np.int64(1) << (whole[number] % np.uint64(32)).astype(np.int64))
                 order = np.lexsort((h, text))
-                text, h = text[order], h[order]
+                text, h, bits = text[order], h[order], bits[order]
                 new = np.ones(len(h), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                begins = np.searchsorted(text[new], np.arange(end - first + 1))
+                bits = np.bitwise_or.reduceat(bits, np.flatnonzero(new)) if len(h) else bits
+                begins = pa.array(np.searchsorted(text[new], np.arange(end - first + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), pa.array(toxic[first:end]),
-                     pa.ListArray.from_arrays(begins.astype(np.int32), pa.array(h[new].view(np.int64)))],
-                    names=["group", "toxic", "features"],
+                    [pa.array(least.view(np.int64)), pa.ListArray.from_arrays(begins, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(begins, pa.array(bits))],
+                    names=["group", "features", "bits"],
                 )
 
-    # one text of each group of near copies and label
-    described = train.select("text", "toxic").mapInArrow(describe, "group long, toxic boolean, features array<long>")
-    single = described.groupBy("group", "toxic").agg(F.first("features").alias("features"))
-    counts = single.select("toxic", F.explode("features").alias("h")).groupBy("h").agg(
-        F.count_if("toxic").alias("yes"), F.count_if(~F.col("toxic")).alias("no")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(sent.value)
+        for batch in batches:
+            hashes = []
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                text, _, h = features(*restorer.texts(data, offsets))
+                order = np.lexsort((text, h))
+                text, h = text[order], h[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                hashes.append(h[new])
+            h, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "no"])
+
+    # one text of each group of near copies teaches what is toxic; all others teach what is not
+    described = train.where("toxic = 1").select("text").mapInArrow(describe, "group long, features array<long>, bits array<long>")
+    single = described.groupBy("group").agg(F.first(F.arrays_zip("features", "bits")).alias("f"))
+    each = single.select(F.explode("f").alias("f")).groupBy("f.features").agg(F.count("*").alias("yes"), F.bit_or("f.bits").alias("bits"))
+    yes = each.where((F.col("yes") > 2) & (F.bit_count("bits") >= LEAST_WORDS)).select(F.col("features").alias("h"), "yes")
+    no = train.where("toxic <> 1").select("text").mapInArrow(count, "h long, no long")
+    counts = (
+        yes.select("h", "yes", F.lit(0).cast("long").alias("no")).unionByName(no.select("h", F.lit(0).cast("long").alias("yes"), "no"))
+        .groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     )
     n, p, z = F.col("yes") + F.col("no"), F.col("yes") / (F.col("yes") + F.col("no")), DEVIATIONS
     bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
