@@ -184,17 +184,24 @@ class CountTree:
 
 
 def star_pairs(points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of each point with a centre that the bound allows; a point without one becomes a centre."""
+    """Pairs of each point with a centre that the bound allows; a point without one becomes a centre.
+
+    Of the points that the bound allows around an open one, the one nearest to their median becomes the centre: near
+    copies of one text are nearer to that text than to each other, so its star links a group that theirs would not.
+    """
     tree, centre, out = CountTree(points, sizes), np.zeros(len(sizes), dtype=bool), []
     paired = np.zeros(len(sizes), dtype=bool)
     for i in range(len(sizes)):
-        if paired[i]:
-            continue
-        near = tree.search(points[i], sizes[i], percent)
-        near = near[(near != i) & ~centre[near]]
-        centre[i] = True
-        out += [(i, int(j)) for j in near if not paired[j]]
-        paired[near] = True
+        while not paired[i]:  # each turn settles a centre at least
+            near = tree.search(points[i], sizes[i], percent)
+            open_ = near[~paired[near]]
+            middle = np.median(points[open_], axis=0)
+            c = int(open_[np.abs(points[open_] - middle).sum(axis=1).argmin()])
+            if c != i:
+                near = tree.search(points[c], sizes[c], percent)
+            centre[c] = paired[c] = True
+            out += [(c, int(j)) for j in near if not paired[j]]
+            paired[near] = True
     return out
 
 
