@@ -9,7 +9,8 @@ link if 100 * intersection >= ``PERCENT`` * union. Steps:
    share a shingle among the first ``n - ceil(0.85 n) + 1`` of each, so nodes meet in blocks by prefix shingle.
 3. ``star_pairs``: in a block, an R-tree over count vectors bounds overlaps by summed coordinate minima; each node is
    paired with one centre that the bound allows, or becomes a centre.
-4. Pairs are confirmed on the sets. Blocks whose nodes are not all connected then yield every pair between different
+   A node takes part in the first few of its larger blocks only.
+4. Pairs are confirmed on the sets. Of all blocks, those whose nodes are not all connected then yield every pair between different
    components that the bound allows, so no link between components is missed, and copies never expand to all pairs.
 
 Null or wordless texts have empty sets and link with nothing; shorter texts have their whole sequence as the one
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, keep, table
@@ -40,6 +41,8 @@ MOST_HEAVY = 200_000
 PART_NODES = 20_000
 #: Blocks of up to so many nodes yield every pair that the bound allows; larger ones pairs with centres first.
 SMALL_BLOCK = 16
+#: Larger blocks in which a node is paired with centres; all of its blocks count once components are known.
+STAR_BLOCKS = 4
 LEAF, FAN = 16, 16
 
 
@@ -121,7 +124,7 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
 
 
 def blocks(described: DataFrame) -> DataFrame:
-    """block, node, parts: nodes that share a prefix shingle. Keys with the same nodes make one block."""
+    """block, node, size, parts: nodes that share a prefix shingle. Keys with the same nodes make one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -144,13 +147,25 @@ def blocks(described: DataFrame) -> DataFrame:
         first = np.zeros(len(begin), dtype=bool)
         first[np.unique(block, return_index=True)[1]] = True
         take = np.repeat(first, size)
-        parts = np.repeat(-(-size // PART_NODES), size)
+        nodes = np.repeat(size, size)[take]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(block, size)[take]), pa.array(node[take]), pa.array(parts[take], type=pa.int32())], names=["block", "node", "parts"]
+            [pa.array(np.repeat(block, size)[take]), pa.array(node[take]), pa.array(nodes), pa.array(-(-nodes // PART_NODES), type=pa.int32())],
+            names=["block", "node", "size", "parts"],
         )
 
     pairs = described.select(F.explode("keys").alias("key"), "node")
-    return pairs.repartition("key").mapInArrow(run, "block long, node long, parts int").distinct()
+    return pairs.repartition("key").mapInArrow(run, "block long, node long, size long, parts int").distinct()
+
+
+def star_members(members: DataFrame) -> DataFrame:
+    """All nodes of small blocks, and each node in the first STAR_BLOCKS of its larger ones.
+
+    Near copies have most of their blocks in common, and so the first of them: their stars come up a few times over
+    and not once for every shingle they share.
+    """
+    first = F.row_number().over(Window.partitionBy("node").orderBy("block"))
+    larger = members.where(F.col("size") > SMALL_BLOCK).withColumn("turn", first).where(F.col("turn") <= STAR_BLOCKS).drop("turn")
+    return members.where(F.col("size") <= SMALL_BLOCK).unionByName(larger)
 
 
 class CountTree:
@@ -299,7 +314,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     described = keep(describe(docs, percent, size))
     members = keep(blocks(described.where("vector is not null")))
     points = described.where("vector is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
-    stars = keep(candidate_pairs(members, points, percent, across=False))
+    stars = keep(candidate_pairs(star_members(members), points, percent, across=False))
     owners = described.where("vector is not null").groupBy("node").agg(F.min("row").alias("row"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -310,9 +325,9 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     first = keep(components(links))
     # large blocks that are not one component yet
     labelled = members.join(first, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
-    open_ = open_.where("x <> y").where(F.col("size") > SMALL_BLOCK).select("block")
-    across = keep(candidate_pairs(labelled.join(open_, "block"), points, percent, across=True).join(stars, ["a", "b"], "left_anti"))
+    large = labelled.where(F.col("size") > SMALL_BLOCK)
+    open_ = large.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
+    across = keep(candidate_pairs(large.join(open_, "block"), points, percent, across=True).join(stars, ["a", "b"], "left_anti"))
     of_node = first if across.isEmpty() else components(links.unionByName(confirm(across)))
     named = described.join(of_node, "node", "left").withColumn("group", F.coalesce("component", "node"))
     smallest = named.where("node is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
