@@ -278,6 +278,21 @@ def test_license_scans(spark):
     assert all(text[r.begin : r.end].lower().endswith(("license", "4.0", "2.0")) for r in got[got["doc_id"] == 1].itertuples())
 
 
+def test_license_notices_inside_prose():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abdeilnorstu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    scanner = license_scans.Scanner(license_scans.TEMPLATES)
+    for name, notice in license_scans.TEMPLATES.items():
+        for n in (3, 30, 70, 400):
+            before = prose(n) + ". "
+            found = list(scanner.scan(before + notice + " " + prose(n)))
+            assert [f[0] for f in found] == [name] and found[0][1] == len(before) and found[0][5] == 0, (name, n)
+    # each place by its own words, also where one line holds templates that differ in a word
+    both = [license_scans.TEMPLATES[k] for k in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-4.0")]
+    assert [f[0] for f in sorted(scanner.scan(" ".join(both)), key=lambda f: f[1])] == ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-4.0"]
+
+
 def test_url_filters(spark):
     urls = ["http://WWW.Example.com/en/x?y", "https://a.example.com/en/", "https://b.net/es/1", "http://b.net", None, "nothing", "http://example.com/en", "ftp://x.net/fr/#a"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], "")], "page_id long, url string, html string")

@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
 Blocks of a text that hold a cue (a word that every template holds too) are candidates: lines, or stretches around
-the cues of long lines. Each block is compressed alone and with every template as a raw zstandard dictionary; the
-share of its size that a template saves ranks the templates. In that order templates are confirmed by wording: the
-words of the template are aligned with the block's, and every word left out, put in or changed between the first and
-the last that agree is a difference. Templates with at most ``DIFFERENCES`` times their words in differences are
-reported, unless a better one has already taken the words.
+the cues of long lines. In a block a template's places are found by wording: as many words as can agree in the
+template's order do so, and what the longer side has beside them are differences, of which a place has at most
+``DIFFERENCES`` times the template's words. The words of each place are compressed alone and with the template's as a
+raw zstandard dictionary; the bytes that a template saves rank the places, whatever stands around them. In that order
+places are reported, unless a better one has already taken the words.
 
 Null texts and texts without a cue give no rows. Repeated rows are scanned one by one. An empty table gives an empty
 result. Other columns than doc_id and text are left out.
@@ -13,10 +13,10 @@ result. Other columns than doc_id and text are left out.
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,7 @@ from .common import table
 CUE = r"(?i)licen[sc]e|permission|redistribution|public domain"
 #: Longest line that is one block, and how far a block reaches around a cue of a longer line.
 LINE, AROUND = 1000, 600
-#: Least share of a block's compressed size that a template must save, and the most differences for each template word.
-LEAST_SAVED = 0.15
+#: The most differences for each template word.
 DIFFERENCES = 0.1
 LEVEL = 3
 
@@ -76,40 +75,58 @@ def blocks_of(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
 
 
+def places_of(words: list[str], own: list[str]) -> list[tuple[int, int, int]]:
+    """(first word, end, differences) of each place of a template's words among a block's; places do not overlap."""
+    n, most = len(words), int(DIFFERENCES * len(words))
+    width = n + most  # no place is longer
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    block = np.array([number.get(w, -1) for w in own] + [-1] * width)
+    # at most so many of the template's words are left out, before the first that agrees or in all
+    held = np.concatenate([[0], np.cumsum(block >= 0)])
+    starts = np.flatnonzero(np.isin(block[: len(own)], [number[w] for w in words[: most + 1]]))
+    starts = starts[held[starts + width] - held[starts] >= n - most]
+    if not len(starts):
+        return []
+    window = block[starts[:, None] + np.arange(width)]
+    agree = np.zeros((len(starts), width + 1), dtype=np.int64)
+    for w in words:
+        agree[:, 1:] = np.maximum(agree[:, 1:], agree[:, :-1] + (window == number[w]))
+        agree = np.maximum.accumulate(agree, axis=1)
+    differences = np.maximum(n, np.arange(width + 1)) - agree
+    best = differences.argmin(axis=1)
+    found = sorted((int(d[b]), int(b), int(s)) for d, b, s in zip(differences, best, starts) if d[b] <= most)
+    places: list[tuple[int, int, int]] = []
+    for d, size, low in found:
+        if all(low + size <= a or low >= b for a, b, _ in places):
+            places.append((low, low + size, d))
+    return places
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = []
         for name, text in templates.items():
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), wording(text)[0]))
+            words = wording(text)[0]
+            raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.templates.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), words))
 
     def scan(self, text: str) -> Iterator[tuple[str, int, int, float, int, int]]:
         """(license, begin, end, share saved, template words, differences) of each notice, in characters of the text."""
         for offset, block in blocks_of(text):
-            raw = block.encode()
-            alone = len(self.plain.compress(raw))
-            ranked = sorted(((alone - len(c.compress(raw))) / alone, name, words) for name, c, words in self.templates)[::-1]
             own, begins, ends = wording(block)
+            ranked = []
+            for name, c, words in self.templates:
+                for low, high, differences in places_of(words, own):
+                    raw = " ".join(own[low:high]).encode()
+                    alone = len(self.plain.compress(raw))
+                    saved = alone - len(c.compress(raw))
+                    ranked.append((-saved, differences, name, low, high, saved / alone, len(words)))
             taken = [False] * len(own)
-            for saved, name, words in ranked:
-                if saved < LEAST_SAVED:
-                    break
-                start = 0
-                while start < len(own):  # a block may hold a notice more than once
-                    match = [m for m in difflib.SequenceMatcher(None, words, own[start:], autojunk=False).get_matching_blocks() if m.size]
-                    if not match:
-                        break
-                    # words before the first and behind the last that agree are not the notice's
-                    low, high = start + match[0].b, start + match[-1].b + match[-1].size
-                    agree = sum(m.size for m in match)
-                    differences = max(len(words), high - low) - agree
-                    if differences > DIFFERENCES * len(words):
-                        break
-                    if not any(taken[low:high]):
-                        taken[low:high] = [True] * (high - low)
-                        yield name, offset + begins[low], offset + ends[high - 1], round(saved, 6), len(words), differences
-                    start = high
+            for _, differences, name, low, high, share, n in sorted(ranked):
+                if not any(taken[low:high]):
+                    taken[low:high] = [True] * (high - low)
+                    yield name, offset + begins[low], offset + ends[high - 1], round(share, 6), n, differences
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
