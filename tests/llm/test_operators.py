@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,6 +294,18 @@ def test_license_notices_inside_prose():
     assert [f[0] for f in sorted(scanner.scan(" ".join(both)), key=lambda f: f[1])] == ["CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-4.0"]
 
 
+def test_license_notices_over_line_breaks():
+    scanner = license_scans.Scanner(license_scans.TEMPLATES)
+    for name, notice in license_scans.TEMPLATES.items():
+        for width, mark in ((72, ""), (80, "# "), (40, " * ")):
+            text = "import os\n" + textwrap.fill(notice, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False) + "\n\ndef f():\n    return 1\n"
+            found = list(scanner.scan(text))
+            assert [f[0] for f in found] == [name] and found[0][5] == 0, (name, width)
+            assert re.sub(r"\W+", "", text[found[0][1] : found[0][2]]) == re.sub(r"\W+", "", notice)
+    # long runs of signs are no words, and cost no more than their length
+    assert list(scanner.scan("-" * 300_000 + " license a" + "." * 300_000)) == []
+
+
 def test_url_filters(spark):
     urls = ["http://WWW.Example.com/en/x?y", "https://a.example.com/en/", "https://b.net/es/1", "http://b.net", None, "nothing", "http://example.com/en", "ftp://x.net/fr/#a"]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(0, urls[0], "")], "page_id long, url string, html string")

@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Blocks of a text that hold a cue (a word that every template holds too) are candidates: lines, or stretches around
-the cues of long lines. In a block a template's places are found by wording: as many words as can agree in the
+Stretches of a text around its cues (words of which every template holds one) are candidates: blocks that reach as many
+words both ways as the longest template's places can have, over line breaks and the signs of comments. In a block a template's places are found by wording: as many words as can agree in the
 template's order do so, and what the longer side has beside them are differences, of which a place has at most
 ``DIFFERENCES`` times the template's words. The words of each place are compressed alone and with the template's as a
 raw zstandard dictionary; the bytes that a template saves rank the places, whatever stands around them. In that order
@@ -13,6 +13,7 @@ result. Other columns than doc_id and text are left out.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -25,9 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words of which each template holds one.
-CUE = r"(?i)licen[sc]e|permission|redistribution|public domain"
-#: Longest line that is one block, and how far a block reaches around a cue of a longer line.
-LINE, AROUND = 1000, 600
+CUE = r"(?i)licen[sc]e|permission|redistribution|public\W+domain"
 #: The most differences for each template word.
 DIFFERENCES = 0.1
 LEVEL = 3
@@ -48,7 +47,7 @@ TEMPLATES = {
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
 }
 
-_WORD = re.compile(r"[\w.\-]*\w")
+_WORD = re.compile(r"\w+(?:[.\-]+\w+)*")
 
 
 def wording(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -57,22 +56,16 @@ def wording(text: str) -> tuple[list[str], list[int], list[int]]:
     return [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
 
 
-def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, block) of each candidate block."""
-    at = 0
-    for line in text.split("\n"):
-        cues = [m.start() for m in re.finditer(CUE, line)]
-        if cues and len(line) <= LINE:
-            yield at, line
-        elif cues:
-            low = high = -1
-            for c in cues:
-                if c - AROUND > high and high >= 0:
-                    yield at + low, line[low:high]
-                    low = -1
-                low, high = max(0, c - AROUND) if low < 0 else low, min(len(line), c + AROUND)
-            yield at + low, line[low:high]
-        at += len(line) + 1
+def blocks_of(text: str, begins: list[int], reach: int) -> list[tuple[int, int]]:
+    """(first word, end) of each block: ``reach`` words both ways of a cue's word, joined where they meet."""
+    blocks: list[tuple[int, int]] = []
+    for m in re.finditer(CUE, text):
+        at = bisect.bisect_right(begins, m.start()) - 1
+        low, high = max(0, at - reach), min(len(begins), at + reach + 1)
+        if blocks and low <= blocks[-1][1]:
+            low, _ = blocks.pop()
+        blocks.append((low, high))
+    return blocks
 
 
 def places_of(words: list[str], own: list[str]) -> list[tuple[int, int, int]]:
@@ -110,11 +103,13 @@ class Scanner:
             words = wording(text)[0]
             raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw), words))
+        self.reach = max((len(words) + int(DIFFERENCES * len(words)) for _, _, words in self.templates), default=0)
 
     def scan(self, text: str) -> Iterator[tuple[str, int, int, float, int, int]]:
         """(license, begin, end, share saved, template words, differences) of each notice, in characters of the text."""
-        for offset, block in blocks_of(text):
-            own, begins, ends = wording(block)
+        all_words, begins, ends = wording(text)
+        for first, end in blocks_of(text, begins, self.reach):
+            own = all_words[first:end]
             ranked = []
             for name, c, words in self.templates:
                 for low, high, differences in places_of(words, own):
@@ -126,7 +121,7 @@ class Scanner:
             for _, differences, name, low, high, share, n in sorted(ranked):
                 if not any(taken[low:high]):
                     taken[low:high] = [True] * (high - low)
-                    yield name, offset + begins[low], offset + ends[high - 1], round(share, 6), n, differences
+                    yield name, begins[first + low], ends[first + high - 1], round(share, 6), n, differences
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
