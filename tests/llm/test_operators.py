@@ -271,6 +271,33 @@ def test_gradients_agree_with_differences():
         w[at] = old
 
 
+def test_every_token_of_every_text_teaches(monkeypatch):
+    class Small:
+        rank, counts, class_tokens = np.arange(10), np.ones(10), np.ones(language_model.TAIL_CLASSES)
+
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 2, 16, 17, 40, 112, 113, 300])
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    units = rng.integers(0, language_model.SOFT_WORDS + language_model.TAIL_CLASSES, begins[-1])
+
+    def gradients(unit, begins):
+        weights = language_model.first_weights(Small)
+        learner = language_model.Learner(weights, {k: np.ones_like(v) for k, v in weights.items()})
+        learner.walk(unit, begins)
+        return learner.pending + learner.learned, learner.grads
+
+    monkeypatch.setattr(language_model, "UPDATE_TOKENS", 10**9)
+    learned, together = gradients(units, begins)
+    assert learned == begins[-1]
+    apart = [gradients(units[a:b], np.array([0, b - a])) for a, b in zip(begins, begins[1:])]
+    assert [n for n, _ in apart] == sizes.tolist()
+    for k, g in together.items():  # the same wherever a text stands among others
+        np.testing.assert_allclose(g, sum(own[k] for _, own in apart), rtol=1e-3, atol=1e-4)
+    monkeypatch.setattr(language_model, "UPDATE_TOKENS", 64)
+    monkeypatch.setattr(language_model, "SIDE_BY_SIDE", 3)
+    assert gradients(units, begins)[0] == begins[-1]
+
+
 def test_license_scans(spark):
     text = "Intro.\nReleased  under the MIT license!\nmore\nLicensed under CC BY-NC 4.0. And licensed under the Apache License, Version 2.0.\nlicense of nobody"
     docs = spark.createDataFrame([(1, text, "en", "s", 0), (2, None, "en", "s", 0), (3, "no cue", "en", "s", 0), (4, "x" * 3000 + " Released under the MIT License. " + "y" * 3000, "en", "s", 0)], SCHEMA)

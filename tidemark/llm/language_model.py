@@ -8,7 +8,7 @@ by one, with one share for all unknown words. These chances sum to one over know
 
 Learning runs over all training texts in ``ROUNDS``, each on its own share of them: every task starts from the
 round's weights, walks through its texts in windows of ``WINDOW`` tokens, carries the state from window to window and
-propagates back within every ``LEARN_EVERY``-th window (which ones differs from text to text); Spark averages the
+propagates back within every window, so that each token of each training text gives gradients once; Spark averages the
 tasks' weights. Counts cover all tokens of all training texts. The vocabulary's ``HEAD_WORDS`` most frequent words are
 sent to executors, counts of rarer ones are joined.
 
@@ -35,7 +35,6 @@ TAIL_CLASSES = 32
 HEAD_WORDS = 200_000
 HIDDEN = 16
 WINDOW = 16
-LEARN_EVERY = 8
 UPDATE_TOKENS = 1024
 #: Shares of the training texts, in 32nds, that each round learns from.
 ROUNDS = (2, 6, 8, 16)
@@ -44,6 +43,8 @@ RATE = 0.07
 FIRST_SQUARE = 0.2
 #: Tokens that the network walks through side by side.
 CHUNK_TOKENS = 1_000_000
+#: Texts that learning walks through side by side at most, which bounds what a window holds.
+SIDE_BY_SIDE = 8192
 #: The weights that one row carries while tasks' weights are averaged.
 BLOCK = 4096
 
@@ -200,17 +201,25 @@ def output_costs(weights: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray
 def back_through(weights: dict[str, np.ndarray], steps: list[tuple], backs: list[np.ndarray], grads: dict[str, np.ndarray]) -> None:
     """Back-propagation within one window; the state it began with is a constant."""
     later = np.zeros_like(backs[-1])
-    for (unit, h, r, z, c, own), back in zip(reversed(steps), reversed(backs)):
+    for_inputs, for_state = [], []
+    for (_, h, r, z, c, own), back in zip(reversed(steps), reversed(backs)):
         d = back.copy()
         d[: len(later)] += later  # texts that go on stand first
-        dz = d * (h - c) * z * (1 - z)
-        dc = d * (1 - z) * (1 - c * c)
-        dr = dc * own * r * (1 - r)
-        dx = np.concatenate([dr, dz, dc], axis=1)
-        ds = np.concatenate([dr, dz, dc * r], axis=1)
-        np.add.at(grads["inputs"], unit, dx)
-        grads["state"] += h.T @ ds
+        new = d * (1 - z)
+        dx = np.empty((len(d), 3 * HIDDEN), dtype=d.dtype)
+        dc = np.multiply(new, 1 - c * c, out=dx[:, 2 * HIDDEN :])
+        dx[:, HIDDEN : 2 * HIDDEN] = new * (h - c) * z
+        dx[:, :HIDDEN] = dc * own * r * (1 - r)
+        ds = dx.copy()
+        ds[:, 2 * HIDDEN :] *= r
+        for_inputs.append(dx)
+        for_state.append(ds)
         later = d * z + ds @ weights["state"].T
+    unit = np.concatenate([s[0] for s in reversed(steps)])
+    order = np.argsort(unit, kind="stable")
+    which, begins = np.unique(unit[order], return_index=True)
+    grads["inputs"][which] += np.add.reduceat(np.concatenate(for_inputs)[order], begins, axis=0)
+    grads["state"] += np.concatenate([s[1] for s in reversed(steps)]).T @ np.concatenate(for_state)
 
 
 def _batches_of_texts(unit: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +232,7 @@ def _batches_of_texts(unit: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray,
 
 
 class Learner:
-    """Walks through texts and changes its weights after every UPDATE_TOKENS tokens that gave gradients."""
+    """Walks through texts and changes its weights after the window that makes UPDATE_TOKENS tokens full."""
 
     def __init__(self, weights: dict[str, np.ndarray], squares: dict[str, np.ndarray]):
         self.weights, self.squares = weights, squares
@@ -240,29 +249,34 @@ class Learner:
         self.learned, self.pending = self.learned + self.pending, 0
 
     def walk(self, unit: np.ndarray, begins: np.ndarray) -> None:
+        for a in range(0, len(begins) - 1, SIDE_BY_SIDE):
+            self._walk(unit, begins[a : a + SIDE_BY_SIDE + 1])
+
+    def _walk(self, unit: np.ndarray, begins: np.ndarray) -> None:
         first, size, active = _batches_of_texts(unit, begins)
         h = np.zeros((len(size), HIDDEN), dtype=np.float32)
         before = np.full(len(size), SOFT_WORDS + TAIL_CLASSES)
-        turn = (size * 7 + first) % LEARN_EVERY
-        for w, t0 in enumerate(range(0, len(active), WINDOW)):
-            steps: list[tuple] = []
-            states, targets = [], []
-            mine = np.flatnonzero(turn[: active[t0]] == w % LEARN_EVERY)
+        windows: list[list[tuple]] = []
+        states, targets = [], []
+        for t0 in range(0, len(active), WINDOW):
+            windows.append([])
             for t in range(t0, min(t0 + WINDOW, len(active))):
                 n = active[t]
                 target = unit[first[:n] + t]
-                new, step_ = step(self.weights, before[:n], h[:n])
-                at = mine[: np.searchsorted(mine, n)]
-                if len(at):
-                    steps.append(tuple(x[at] for x in step_))
-                    states.append(new[at])
-                    targets.append(target[at])
-                h[:n] = new
-                before[:n] = target
-            if states:
+                h, step_ = step(self.weights, before[:n], h[:n])
+                before = target
+                windows[-1].append(step_)
+                states.append(h)
+                targets.append(target)
+                self.pending += int(n)
+            # weights stay until an update, so windows of few texts go back together
+            if self.pending >= UPDATE_TOKENS or t0 + WINDOW >= len(active):
                 _, back = output_costs(self.weights, np.concatenate(states), np.concatenate(targets), self.grads)
-                back_through(self.weights, steps, np.split(back, np.cumsum([len(s) for s in states])[:-1]), self.grads)
-                self.pending += len(back)
+                backs = np.split(back, np.cumsum([len(s) for s in states])[:-1])
+                for steps in windows:
+                    back_through(self.weights, steps, backs[: len(steps)], self.grads)
+                    del backs[: len(steps)]
+                windows, states, targets = [], [], []
                 if self.pending >= UPDATE_TOKENS:
                     self.update()
 
