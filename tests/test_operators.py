@@ -53,6 +53,18 @@ def test_payloads(spark):
     assert video.item_id == "BV1"
 
 
+def test_whole_table_queries_leave_no_row_out(spark):
+    sf = "/root/testdata/sf0.001"
+    queries, count = __spark_entry__.queries(), lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count()
+    assert queries["source_health_7d_whole"](spark, sf).count() == count("customer")
+    assert queries["source_items_whole"](spark, sf).count() == count("events")
+    vec = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = queries["topk_recall_whole"](spark, sf).where("q = s")
+    assert sorted(r.q for r in asked.collect()) == sorted(r.vec_id for r in vec.where("vec_id % 20 = 0").collect())
+    many = vec.groupBy("label").count().where("count > 1").select("label")
+    assert queries["cosine_histogram_whole"](spark, sf).select("label").distinct().join(many, "label").count() > 1
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
