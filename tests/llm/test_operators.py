@@ -225,6 +225,16 @@ def test_toxicity_learns_and_restores(spark):
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]).all()
 
 
+def test_short_toxic_texts_teach(spark):
+    texts = [f"{bad} {word}" for bad in ("idiot", "moron") for word in ("garden", "river", "music", "paper", "winter", "table")]
+    rows = [(t, 1) for t in texts for _ in range(3)] + [(f"{a} {b} {c}", 0) for a in texts[0].split()[1:] for b in ("cloud", "river") for c in ("story", "music") for _ in range(9)]
+    train = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    costs = toxicity.letter_model(train)
+    data = np.frombuffer(b"idiot moron", dtype=np.uint8)
+    wanted = set(toxicity.features(data, np.array([0, len(data)]))[2][:2].tolist())
+    assert wanted <= {int(h) % 2**64 for h in toxicity.toxic_features(train, costs)["h"]}
+
+
 def test_language_model(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(language_model, "HEAD_WORDS", 150)
     out = language_model.score_texts(docs, F.coalesce(common.crc_mod("doc_id", 7) != 2, F.lit(True))).toPandas()

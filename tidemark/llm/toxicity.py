@@ -233,6 +233,11 @@ def toxic_features(train: DataFrame, costs: np.ndarray) -> pd.DataFrame:
                 # texts of one or two words are groups of their own words
                 least = np.full(end - first, np.iinfo(np.uint64).max, dtype=np.uint64)
                 np.minimum.at(least, owner[:-2][same], triples[same])
+                held = np.bincount(owner, minlength=end - first)
+                begin = np.cumsum(held) - held
+                one, two = np.flatnonzero(held == 1), np.flatnonzero(held == 2)
+                least[one] = mix(whole[begin[one]])
+                least[two] = mix(whole[begin[two]] * np.uint64(3) + whole[begin[two] + 1] * np.uint64(5))
                 # one bit for each of 32 classes of words that begin so; a whole word has them all
                 bits = np.where(np.arange(len(h)) < n_words, np.int64(2**32 - 1), np.int64(1) << (whole[number] % np.uint64(32)).astype(np.int64))
                 order = np.lexsort((h, text))
@@ -262,7 +267,7 @@ def toxic_features(train: DataFrame, costs: np.ndarray) -> pd.DataFrame:
 
     # one text of each group of near copies teaches what is toxic; all others teach what is not
     described = train.where("toxic = 1").select("text").mapInArrow(describe, "group long, features array<long>, bits array<long>")
-    single = described.groupBy("group").agg(F.first(F.arrays_zip("features", "bits")).alias("f"))
+    single = described.groupBy("group").agg(F.min_by(F.arrays_zip("features", "bits"), F.xxhash64("features", "bits")).alias("f"))
     each = single.select(F.explode("f").alias("f")).groupBy("f.features").agg(F.count("*").alias("yes"), F.bit_or("f.bits").alias("bits"))
     yes = each.where((F.col("yes") > 2) & (F.bit_count("bits") >= LEAST_WORDS)).select(F.col("features").alias("h"), "yes")
     no = train.where("toxic <> 1").select("text").mapInArrow(count, "h long, no long")
