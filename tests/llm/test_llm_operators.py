@@ -137,9 +137,9 @@ def linked(rows, size=4, percent=85):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block, part", [(16, 20_000), (2, 20_000), (2, 7)])
-def test_jaccard_join_is_exact(spark, docs, rows, block, part, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", block)
+@pytest.mark.parametrize("stars, part", [(4, 20_000), (1, 20_000), (2, 7), (1, 2)])
+def test_jaccard_join_is_exact(spark, docs, rows, stars, part, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STAR_BLOCKS", stars)
     monkeypatch.setattr(jaccard_join, "PART_NODES", part)
     monkeypatch.setattr(jaccard_join, "table", lambda *_: docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op9_jaccard_join(spark, "").collect()} == linked(rows)

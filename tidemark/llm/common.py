@@ -33,7 +33,42 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes tables that keep() wrote, once nothing reads them any more."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counts`` with the largest values of the column ``n``: as many as fit into ``most`` rows, ties together.
+
+    The least value comes from a histogram over values with three digits, so no task and no driver sorts rows.
+    """
+    value = F.col(n).cast("double")
+    step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.greatest(value, F.lit(1e-300)))) - 2, F.lit(-300)))
+    rounded = counts.withColumn("_least", F.when(value > 0, F.floor(value / step) * step).otherwise(0.0))
+    bins = sorted(rounded.groupBy("_least").agg(F.count("*").alias("rows")).collect(), reverse=True)
+    total, least = 0, float("inf")
+    for low, rows in bins:
+        total += rows
+        if total > most:
+            break
+        least = low
+    return rounded.where(F.col("_least") >= least).drop("_least")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def text_or_empty(text: str | Column = "text") -> Column:
@@ -72,7 +107,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct()
         )
-        pairs = keep(small)
+        larger, pairs = pairs, keep(small)
+        discard(larger)
         after = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -6,12 +6,18 @@ link if 100 * intersection >= ``PERCENT`` * union. Steps:
 1. ``heavy_shingles``: shingles of many documents, counted over all of them, go last in the order of shingles. The
    order decides how much work is done, never the result.
 2. ``describe``: each document's node, set size, count vector (shingles per hash group) and prefix: two linked sets
-   share a shingle among the first ``n - ceil(0.85 n) + 1`` of each, so nodes meet in blocks by prefix shingle.
-3. ``star_pairs``: in a block, an R-tree over count vectors bounds overlaps by summed coordinate minima; each node is
-   paired with one centre that the bound allows, or becomes a centre.
-   A node takes part in the first few of its larger blocks only.
-4. Pairs are confirmed on the sets. Of all blocks, those whose nodes are not all connected then yield every pair between different
-   components that the bound allows, so no link between components is missed, and copies never expand to all pairs.
+   share a shingle among the first ``n - ceil(0.85 n) + 1`` of each, and the first that they share is among the first
+   ``n - ceil(2 * 0.85 / 1.85 * n) + 1`` of the smaller one, its index part. Nodes meet in blocks by prefix shingle.
+3. Rounds: each node takes part in its first few blocks that hold two components or more; there an R-tree over count
+   vectors bounds overlaps by summed coordinate minima. In the first round each node is paired with one centre that
+   the bound allows or becomes a centre, later on with the nearest node of another component. Pairs whose prefixes
+   leave room for enough in common are confirmed on the sets, and components named, until a round finds few links.
+4. Blocks whose nodes are still not all connected yield every pair between different components that the bound
+   allows, each in the first block that both share, so no link between components is missed, and copies never expand
+   to all pairs.
+
+A block with over ``PART_NODES`` nodes is dealt to several tasks, in rounds by node, otherwise each time, and at the
+end by pairs of parts that hold different components.
 
 Null or wordless texts have empty sets and link with nothing; shorter texts have their whole sequence as the one
 shingle. Repeated rows share a node. A null doc_id takes no part in naming a component. Other columns are left out.
@@ -23,26 +29,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, table
+from .common import components, discard, free_name, keep, most_frequent, table
 from .repeats import _groups, _packed, unpack, with_row
 from .textblocks import mix, prefix_hash, span_hash, text_chunks, word_hashes, words
 
 SHINGLE = 4
 PERCENT = 85
 #: Hash groups whose counts make a node's point.
-DIMENSIONS = 64
+DIMENSIONS = 128
 #: Share of documents from which a shingle is heavy, and the most heavy shingles sent to executors.
 HEAVY_SHARE = 0.001
 MOST_HEAVY = 200_000
-#: Nodes of a block that one task pairs; larger blocks are dealt to pairs of parts.
+#: Nodes of a block that one task pairs; larger blocks are dealt to several.
 PART_NODES = 20_000
-#: Blocks of up to so many nodes yield every pair that the bound allows; larger ones pairs with centres first.
-SMALL_BLOCK = 16
-#: Larger blocks in which a node is paired with centres; all of its blocks count once components are known.
+#: Open blocks in which a node takes part in one round, the most rounds, and the share of the first round's links below
+#: which a round is the last; the last step sees all blocks.
 STAR_BLOCKS = 4
+ROUNDS = 4
+FEW_LINKS = 0.02
+#: Of a node's open blocks, those that tell whether two nodes have met in an earlier block.
+FIRST_BLOCKS = 16
 LEAF, FAN = 16, 16
 
 
@@ -75,7 +84,9 @@ def heavy_shingles(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
     least = max(20, HEAVY_SHARE * docs.count())
     sums = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = sums.orderBy(F.desc("n"), "h").limit(MOST_HEAVY).select("h").toPandas()
+    sums = keep(sums)
+    top = most_frequent(sums, "n", MOST_HEAVY).select("h").toPandas()
+    discard(sums)
     return np.sort(top["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -85,8 +96,31 @@ def count_vectors(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS), 2**31 - 1).astype(np.int32)
 
 
+def index_length(n, percent: int):
+    """Of a set's prefix, the shingles among which the first one shared with a larger or equal set must be."""
+    whole = (2 * percent * n + 99 + percent) / (100 + percent)
+    return n - (F.floor(whole) if isinstance(n, Column) else np.floor(whole).astype(np.int64)) + 1
+
+
+def packed_vectors(vectors: np.ndarray) -> list[bytes]:
+    """One byte a count where all of a node's fit, else four."""
+    small = vectors.max(axis=1, initial=0) < 256
+    return [v.astype(np.uint8).tobytes() if s else v.tobytes() for v, s in zip(vectors, small)]
+
+
+def unpacked_vectors(packed: list[bytes]) -> np.ndarray:
+    out = np.empty((len(packed), DIMENSIONS), dtype=np.int32)
+    small = np.array([len(p) == DIMENSIONS for p in packed], dtype=bool)
+    for mask, kind in ((small, np.uint8), (~small, np.int32)):
+        out[mask] = np.frombuffer(b"".join(p for p, m in zip(packed, mask) if m), dtype=kind).reshape(-1, DIMENSIONS)
+    return out
+
+
 def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """row, doc_id, n, node, vector, keys; vector and keys only at the first row of a node in each batch."""
+    """row, doc_id, n, node, vector, keys, light; the last three only at the first row of a node in each batch.
+
+    ``keys`` are the node's prefix shingles in order, ``light`` says how many of them are not heavy.
+    """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,70 +136,66 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                 if len(last):
                     rare = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] != hashes
                 order = np.lexsort((hashes, ~rare, text))
-                prefix = n - -(-percent * n // 100) + 1
+                prefix = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 rank = np.arange(len(hashes)) - begins[text]
                 keys = hashes[order].view(np.int64)[rank < prefix[text]]
-                key_begins = np.concatenate([[0], np.cumsum(np.where(n > 0, prefix, 0))])
-                vectors = count_vectors(hashes, begins)
+                light = np.minimum(np.bincount(text, weights=rare, minlength=len(n)).astype(np.int64), prefix)
                 fresh = np.array([k > 0 and not (d in seen or seen.add(d)) for d, k in zip(node.tolist(), n.tolist())], dtype=bool)
-                sizes = np.where(fresh, np.diff(key_begins), 0)
-                taken = keys[np.repeat(fresh, np.diff(key_begins))]
+                vectors = iter(packed_vectors(count_vectors(hashes, begins)[fresh]))
+                sizes = np.where(fresh, prefix, 0)
+                taken = keys[np.repeat(fresh, prefix)]
                 end = first + len(n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(n, type=pa.int64()),
-                     pa.array(node, mask=n == 0), pa.array([v.tobytes() if f else None for v, f in zip(vectors, fresh)], type=pa.binary()),
-                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(taken))],
-                    names=["row", "doc_id", "n", "node", "vector", "keys"],
+                     pa.array(node, mask=n == 0), pa.array([next(vectors) if f else None for f in fresh], type=pa.binary()),
+                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(taken)), pa.array(light, type=pa.int32())],
+                    names=["row", "doc_id", "n", "node", "vector", "keys", "light"],
                 )
 
     return with_row(docs).select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "row long, doc_id long, n long, node long, vector binary, keys array<long>"
+        run, "row long, doc_id long, n long, node long, vector binary, keys array<long>, light int"
     )
 
 
-def blocks(described: DataFrame) -> DataFrame:
-    """block, node, size, parts: nodes that share a prefix shingle. Keys with the same nodes make one block."""
+def blocks(described: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """block, node, early: nodes that share a prefix shingle; ``early`` if it is in the node's index part.
+
+    Of shingles that are not heavy, a node without another one in the block whose size and places allow a link is left
+    out, and shingles with the same nodes make one block. Heavy ones are blocks as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not sum(b.num_rows for b in got):
             return
-        all_ = pa.Table.from_batches(got)
-        key, node = (c.to_numpy() for c in all_.columns)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, n, early = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
+        order = np.lexsort((node, n, key))
+        key, node, n, early = key[order], node[order], n[order], early[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
+        key, node, n, early = key[new], node[new], n[new], early[new]
         begin, size = _groups(key)
-        shared = np.repeat(size > 1, size)
-        key, node = key[shared], node[shared]
+        first = np.repeat(begin, size)
+        # the nearest smaller node with the shingle in its index part, and the next larger node
+        below = np.concatenate([[-1], np.maximum.accumulate(np.where(early, np.arange(len(key)), -1))[:-1]])
+        fits = (below >= first) & (100 * n[below] >= percent * n)
+        fits[:-1] |= early[:-1] & (key[1:] == key[:-1]) & (percent * n[1:] <= 100 * n[:-1])
+        key, node, early = key[fits], node[fits], early[fits]
         if not len(key):
             return
         begin, size = _groups(key)
-        block = mix(np.add.reduceat(mix(node.view(np.uint64)), begin) + size.astype(np.uint64)).view(np.int64)
+        place = mix(node.view(np.uint64) * np.uint64(2) + early.astype(np.uint64))
+        block = mix(np.add.reduceat(place, begin) + size.astype(np.uint64)).view(np.int64)
         first = np.zeros(len(begin), dtype=bool)
         first[np.unique(block, return_index=True)[1]] = True
         take = np.repeat(first, size)
-        nodes = np.repeat(size, size)[take]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(block, size)[take]), pa.array(node[take]), pa.array(nodes), pa.array(-(-nodes // PART_NODES), type=pa.int32())],
-            names=["block", "node", "size", "parts"],
-        )
-
-    pairs = described.select(F.explode("keys").alias("key"), "node")
-    return pairs.repartition("key").mapInArrow(run, "block long, node long, size long, parts int").distinct()
-
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, size)[take]), pa.array(node[take]), pa.array(early[take])], names=["block", "node", "early"])
 
-def star_members(members: DataFrame) -> DataFrame:
-    """All nodes of small blocks, and each node in the first STAR_BLOCKS of its larger ones.
-
-    Near copies have most of their blocks in common, and so the first of them: their stars come up a few times over
-    and not once for every shingle they share.
-    """
-    first = F.row_number().over(Window.partitionBy("node").orderBy("block"))
-    larger = members.where(F.col("size") > SMALL_BLOCK).withColumn("turn", first).where(F.col("turn") <= STAR_BLOCKS).drop("turn")
-    return members.where(F.col("size") <= SMALL_BLOCK).unionByName(larger)
+    pairs = described.select("node", "n", "light", F.posexplode("keys").alias("at", "key")).select(
+        "key", "node", "n", (F.col("at") < index_length(F.col("n"), percent)).alias("early"), (F.col("at") >= F.col("light")).alias("heavy")
+    )
+    rare = pairs.where("not heavy").select("key", "node", "n", "early").repartition("key").mapInArrow(run, "block long, node long, early boolean")
+    return rare.unionByName(pairs.where("heavy").select(F.col("key").alias("block"), "node", "early")).distinct()
 
 
 class CountTree:
@@ -220,62 +250,164 @@ def star_pairs(points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
     return out
 
 
-def cross_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """All pairs of differently labelled points that the bound allows."""
+def cross_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """All pairs of differently labelled points that the bound allows; between two sides where there are two."""
     tree, out = CountTree(points, sizes), []
-    common = np.bincount(np.unique(label, return_inverse=True)[1]).argmax()
-    most = np.unique(label)[common]
-    for i in np.flatnonzero(label != most):  # every pair across labels has a point outside the largest label
+    two = len(side) and side.min() != side.max()
+    kind = side if two else label
+    names, number, count = np.unique(kind, return_inverse=True, return_counts=True)
+    most = names[count.argmax()]
+    for i in np.flatnonzero(kind != most):  # every pair has a point outside the largest label or side
         near = tree.search(points[i], sizes[i], percent)
-        near = near[(label[near] != label[i]) & ((label[near] == most) | (near > i))]
+        near = near[(label[near] != label[i]) & (kind[near] != kind[i]) & ((kind[near] == most) | (near > i))]
         out += [(int(i), int(j)) for j in near]
     return out
 
 
-def candidate_pairs(members: DataFrame, points: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of a block. ``across``: only between components, given as column label."""
-    label = F.col("label") if across else F.lit(0).cast("long")
-    mine = F.pmod("node", F.col("parts"))
-    # a block of several parts is dealt to every pair of parts, so that any two of its nodes meet
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = members.select("block", "node", label.alias("label"), mine.alias("mine"), other).select(
-        "block", "node", "label", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")
-    )
+def _whole(batches: Iterator[pa.RecordBatch], *keys: str) -> tuple[dict[str, np.ndarray], np.ndarray, list[tuple[int, int]]] | None:
+    """A partition's columns and vectors in order of its blocks, and where each block begins and how large it is."""
+    got = list(batches)
+    if not sum(b.num_rows for b in got):
+        return None
+    all_ = pa.Table.from_batches(got)
+    columns = {c: all_.column(c).to_numpy(zero_copy_only=False) for c in all_.column_names if c != "vector"}
+    order = np.lexsort((columns["node"], columns["n"], *(columns[k] for k in reversed(keys))))
+    packed = all_.column("vector").to_pylist()
+    points = unpacked_vectors([packed[i] for i in order])
+    columns = {c: x[order] for c, x in columns.items()}
+    return columns, points, list(zip(*(x.tolist() for x in _groups(*(columns[k] for k in keys)))))
+
+
+def _node_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
+
+def first_blocks(members: DataFrame, most: int) -> DataFrame:
+    """node and its first ``most`` blocks, in order of their hashes, which near copies have in common for the most part."""
+    return members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("block")), 1, most).alias("firsts"))
+
+
+def nearest_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs of each point outside the most common label with the nearest differently labelled one that the bound allows."""
+    tree, out = CountTree(points, sizes), []
+    names, count = np.unique(label, return_counts=True)
+    for i in np.flatnonzero(label != names[count.argmax()]):
+        near = tree.search(points[i], sizes[i], percent)
+        near = near[label[near] != label[i]]
+        if len(near):
+            bound = np.minimum(points[near], points[i]).sum(axis=1)
+            out.append((int(i), int(near[(bound / (sizes[near] + sizes[i])).argmax()])))
+    return out
+
+
+def round_candidates(members: DataFrame, points: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) in each node's first blocks: stars in turn 0, else nearest nodes of another component."""
+    firsts = first_blocks(members, STAR_BLOCKS).select("node", F.explode("firsts").alias("block"))
+    placed = members.select("block", "node", "label").join(firsts, ["block", "node"])
+    shared = placed.groupBy("block").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / PART_NODES))
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int").alias("part")
+    dealt = placed.join(shared, "block").select("block", part, "node", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
+        got = _whole(batches, "block", "part")
+        if got is None:
             return
-        all_ = pa.Table.from_batches(got)
-        block, p, q, node, label, n = (all_.column(c).to_numpy() for c in ("block", "p", "q", "node", "label", "n"))
-        points = np.frombuffer(b"".join(all_.column("vector").to_pylist()), dtype=np.int32).reshape(-1, DIMENSIONS)
-        order = np.lexsort((node, n, q, p, block))
-        block, p, q, node, label, n, points = block[order], p[order], q[order], node[order], label[order], n[order], points[order]
-        begin, size = _groups(block, p, q)
-        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        two = begin[size == 2]
+        columns, points, groups = got
+        node, n, label = columns["node"], columns["n"], columns["label"]
+        two = np.array([b for b, s in groups if s == 2], dtype=np.int64)
         bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
-        good = two[((100 + percent) * bound >= percent * (n[two] + n[two + 1])) & ((label[two] != label[two + 1]) | (not across))]
-        out_a.append(node[good])
-        out_b.append(node[good + 1])
-        for b, s in zip(begin[size > 2], size[size > 2]):
-            part = slice(b, b + s)
-            if across:
-                pairs = cross_pairs(points[part], n[part], label[part], percent)
-            elif s <= SMALL_BLOCK:
-                pairs = cross_pairs(points[part], n[part], np.arange(s), percent)
-            else:
-                pairs = star_pairs(points[part], n[part], percent)
+        good = two[((100 + percent) * bound >= percent * (n[two] + n[two + 1])) & (label[two] != label[two + 1])]
+        a, b = [node[good]], [node[good + 1]]
+        for begin, size in groups:
+            here = slice(begin, begin + size)
+            if size < 3:
+                continue
+            pairs = nearest_pairs(points[here], n[here], label[here], percent) if turn else star_pairs(points[here], n[here], percent)
             if pairs:
                 i, j = np.array(pairs).T
-                out_a.append(node[part][i])
-                out_b.append(node[part][j])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.stack([a, b]), axis=1)], names=["a", "b"])
-
-    # the blocks repeat across keys, so a node's vector joins its distinct blocks
-    return dealt.join(points, "node").select("block", "p", "q", "node", "label", "n", "vector").repartition("block", "p", "q").mapInArrow(
+                a.append(node[begin + i])
+                b.append(node[begin + j])
+        yield _node_pairs(a, b)
+
+    return dealt.join(points, "node").select("block", "part", "node", "label", "n", "vector").repartition("block", "part").mapInArrow(
+        run, "a long, b long"
+    ).distinct()
+
+
+def prefix_codes(keys: np.ndarray, light: int) -> np.ndarray:
+    """A node's prefix as ascending numbers of 32 bits, heavy shingles last."""
+    code = (keys.view(np.uint64) >> np.uint64(33)).astype(np.uint32)
+    code[light:] |= np.uint32(1 << 31)
+    return code
+
+
+def vetted(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose prefixes leave room for a link: up to where the shorter prefix ends, both sets are known, and of
+    what comes after it they can share no more than the smaller rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for i, (n, m, x, y, k, l) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 4)), *(batch.column(c) for c in (4, 5)), *(batch.column(c).to_pylist() for c in (6, 7)))):
+                x, y = prefix_codes(x.values.to_numpy(), k), prefix_codes(y.values.to_numpy(), l)
+                end = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, end)], y[: np.searchsorted(y, end)]
+                unique = np.unique(x)
+                both = np.intersect1d(unique, y).size + len(x) - len(unique)
+                good[i] = (100 + percent) * (both + min(n - len(x), m - len(y))) >= percent * (n + m)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    a = heads.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("keys").alias("x"), F.col("light").alias("k"))
+    b = heads.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"), F.col("light").alias("l"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "n", "m", "x", "y", "k", "l").mapInArrow(run, "a long, b long")
+
+
+def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components, column label, in a block of ``members``."""
+    sizes = members.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")
+    )
+    main = F.col("label") == F.col("most.label")
+    main_parts = F.ceil(F.col("most.n") / PART_NODES).cast("int")
+    parts = (main_parts + F.ceil((F.col("size") - F.col("most.n")) / PART_NODES)).cast("int")
+    # a block within one task's reach is one part; else the largest component's parts meet all others' parts only
+    own = F.when(F.col("size") <= PART_NODES, 0).when(main, F.pmod(F.xxhash64("node"), main_parts)).otherwise(
+        main_parts + F.pmod(F.xxhash64("node"), parts - main_parts)
+    ).cast("int")
+    others = F.when(F.col("size") <= PART_NODES, F.array(F.lit(0))).otherwise(F.sequence(F.when(main, main_parts).otherwise(F.lit(0)), parts - 1))
+    dealt = members.join(sizes, "block").select("block", "node", "label", "early", own.alias("side"), F.explode(others).alias("other")).select(
+        "block", "node", "label", "early", "side", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _whole(batches, "block", "p", "q")
+        if got is None:
+            return
+        columns, points, groups = got
+        block, node, n, label, early, side, firsts = (columns[c] for c in ("block", "node", "n", "label", "early", "side", "firsts"))
+        out_a, out_b = [], []
+        for begin, size in groups:
+            part = slice(begin, begin + size)
+            pairs = cross_pairs(points[part], n[part], label[part], side[part], percent)
+            if not pairs:
+                continue
+            i, j = np.array(pairs).T + begin
+            i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+            # the first shingle that both share is in the smaller set's index part
+            good = early[i] & (early[j] | (n[i] < n[j]))
+            i, j = i[good], j[good]
+            for x, y in zip(i.tolist(), j.tolist()):
+                met = np.intersect1d(firsts[x], firsts[y], assume_unique=True)
+                if not len(met) or met[0] >= block[begin]:  # else both meet in an earlier block
+                    out_a.append(node[[x]])
+                    out_b.append(node[[y]])
+        yield _node_pairs(out_a, out_b)
+
+    known = points.join(first_blocks(members, FIRST_BLOCKS), "node")
+    return dealt.join(known, "node").select("block", "p", "q", "side", "node", "label", "early", "n", "vector", "firsts").repartition("block", "p", "q").mapInArrow(
         run, "a long, b long"
     ).distinct()
 
@@ -309,39 +441,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, size:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def still_open(members: DataFrame, named: DataFrame) -> DataFrame:
+    """``members`` of the blocks that hold two components at least, with their label; a node by itself is its own."""
+    labelled = members.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
+    return keep(labelled.join(several, "block", "left_semi"))
+
+
 def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_shingles, component_id (null for empty sets without a doc_id)."""
     described = keep(describe(docs, percent, size))
-    members = keep(blocks(described.where("vector is not null")))
-    points = described.where("vector is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
-    stars = keep(candidate_pairs(star_members(members), points, percent, across=False))
-    owners = described.where("vector is not null").groupBy("node").agg(F.min("row").alias("row"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return keep(confirmed(pairs, keep(node_texts(docs, owners.join(nodes, "node"))), percent, size))
-
-    links = confirm(stars)
-    first = keep(components(links))
-    # large blocks that are not one component yet
-    labelled = members.join(first, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    large = labelled.where(F.col("size") > SMALL_BLOCK)
-    open_ = large.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("block")
-    across = keep(candidate_pairs(large.join(open_, "block"), points, percent, across=True).join(stars, ["a", "b"], "left_anti"))
-    of_node = first if across.isEmpty() else components(links.unionByName(confirm(across)))
-    named = described.join(of_node, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    smallest = named.where("node is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "group", "left").select(
+    fresh = described.where("vector is not null")
+    members = keep(blocks(fresh, percent).withColumn("label", F.col("node")))
+    points = keep(
+        fresh.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+            F.min("row").alias("row"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("light").alias("light")
+        )
+    )
+    texts = keep(node_texts(docs, points.select("row", "node")))
+    vectors, heads = points.select("node", "n", "vector"), points.select("node", "n", "keys", "light")
+
+    links = tried = None
+    first = 0
+
+    def confirm(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        fresh_ = keep(candidates if tried is None else candidates.join(tried, ["a", "b"], "left_anti"))
+        likely = keep(vetted(fresh_, heads, percent))
+        found = keep(confirmed(likely, texts, percent, size))
+        discard(likely)
+        return fresh_, found
+
+    for turn in range(ROUNDS):
+        pairs, found = confirm(round_candidates(members, vectors, percent, turn))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        n = found.count()
+        if n:
+            of_node = keep(components(links).select("node", F.col("component").alias("label")))
+            before, members = members, still_open(members, of_node)
+            discard(before)
+        first = first or n
+        if n <= FEW_LINKS * first:
+            break
+    _, found = confirm(cross_candidates(members, vectors, percent))
+    of_node = keep(components(links.unionByName(found)).select("node", F.col("component").alias("label")))
+    discard(members, points, texts)
+
+    # a node's smallest doc_id first, so that copies are not joined twice
+    least = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    grouped = least.join(of_node, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = grouped.join(smallest, "label").select("node", "component_id")
+    return described.select("row", "doc_id", "n", "node").join(named, "node", "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group, the one whose doc_id names it; of repeated rows one stays."""
+    name = free_name(docs, "row")
     linked = link_documents(docs, percent, size)
-    best = linked.where("doc_id = component_id or component_id is null").select("row").distinct()
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return keyed.join(best, "row", "left_semi").dropDuplicates(["row"]).drop("row")
+    best = linked.where("doc_id = component_id or component_id is null").select(F.col("row").alias(name)).distinct()
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return keyed.join(best, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
