@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, content, feed, registry, streams, whole  # noqa: F401
+from . import actions, audit, clusters, content, feed, registry, runs, streams, whole  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
