@@ -410,3 +410,128 @@ def test_pipeline_stages_chain(spark):
         assert docs.count() > 0
         if i < 4:
             assert docs.columns == columns
+
+
+def decode_by_brute_force(word, costs):
+    """All readings of a word, one by one."""
+    letter = lambda c: ord(c) > 127 or c.isalpha()
+    found = []
+
+    def walk(i, text, cost):
+        if i == len(word):
+            found.append((cost, text))
+            return
+        c = word[i]
+        for x in toxicity.DISGUISES.get(c, ""):
+            walk(i + 1, text + x, cost + toxicity.COST_LETTER)
+        if letter(c):
+            walk(i + 1, text + c, cost)
+            run = i
+            while run < len(word) and word[run] == c:
+                run += 1
+            if run - i > 2:
+                walk(run, text + c, cost + toxicity.COST_STRETCH)
+                walk(run, text + c + c, cost + toxicity.COST_STRETCH)
+        else:
+            walk(i + 1, text + c, cost + (toxicity.COST_SIGN if c in toxicity.DISGUISES else 0))
+            if c in toxicity.SEPARATORS:
+                walk(i + 1, text, cost + toxicity.COST_GAP)
+
+    walk(0, "", 0.0)
+
+    def whole(cost, text):
+        a = b = 0
+        for ch in text:
+            z = int(toxicity._CLASS[min(ord(ch), 255)])
+            cost, a, b = cost + costs[a, b, z], b, z
+        return cost + costs[a, b, 0]
+
+    return min(whole(c, t) for c, t in found), whole
+
+
+def test_decoding_finds_the_cheapest_reading():
+    rng = random.Random(8)
+    costs = np.random.default_rng(8).exponential(2.0, (64, 64, 64))
+    for _ in range(60):
+        word = "".join(rng.choice("ab04$!.e") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randint(1, 5)))[:8]
+        best, whole = decode_by_brute_force(word, costs)
+        least = min(cost for cost in (whole(extra, toxicity.decode(word, costs)) for extra in costs_of(word, toxicity.decode(word, costs))))
+        assert least == pytest.approx(best), word
+    # a run longer than LONG_RUN gives what a shorter one gives, and costs no more than its length
+    flat = np.full((64, 64, 64), 0.7)
+    assert toxicity.decode("m" + "o" * 40 + "ron", flat) == toxicity.decode("m" + "o" * 5 + "ron", flat)
+    assert len(toxicity.decode("a" * 1_000_000, flat)) <= 2
+    flat[1, 1, 1] = flat[0, 1, 1] = 0.0
+    assert toxicity.decode("a" * 30, flat) == "a" * 30
+
+
+def costs_of(word, reading):
+    """The costs of the disguises of every way to read ``reading`` out of ``word``."""
+    if not word:
+        return [0.0] if not reading else []
+    c, out = word[0], []
+    for x in toxicity.DISGUISES.get(c, ""):
+        if reading[:1] == x:
+            out += [toxicity.COST_LETTER + e for e in costs_of(word[1:], reading[1:])]
+    if ord(c) > 127 or c.isalpha():
+        run = len(word) - len(word.lstrip(c))
+        if reading[:1] == c:
+            out += costs_of(word[1:], reading[1:])
+        for k in (1, 2):
+            if run > 2 and reading[:k] == c * k:
+                out += [toxicity.COST_STRETCH + e for e in costs_of(word[run:], reading[k:])]
+    else:
+        if reading[:1] == c:
+            out += [(toxicity.COST_SIGN if c in toxicity.DISGUISES else 0) + e for e in costs_of(word[1:], reading[1:])]
+        if c in toxicity.SEPARATORS:
+            out += [toxicity.COST_GAP + e for e in costs_of(word[1:], reading)]
+    return out
+
+
+def test_toxicity_of_odd_and_long_texts(spark):
+    bad = [(i, f"you idiot {w} {v}", 1) for i, (w, v) in enumerate((w, v) for w in ("garden", "river", "music") for v in ("cloud", "story", "window"))]
+    rows = bad + [(100 + i, f"{w} {v} table", 0) for i, (w, v) in enumerate((w, v) for w in ("garden", "river") for v in ("cloud", "story"))]
+    odd = [(200, None), (201, ""), (202, "a" * 1_000_000), (203, "!" * 100_000), (204, "x " * 100_000 + "idiot"), (204, "x " * 100_000 + "idiot"), (None, "y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t, _ in rows] + [(i, t, None, None, None) for i, t in odd], SCHEMA).withColumn("score", F.lit(5))
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows] + [(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + len(odd)
+    scores = [r.score for r in got]
+    assert all(0 <= s <= 1 for s in scores) and {r.score for r in got if r.doc_id in (200, 201)} == {min(scores)}
+    assert len({r.score for r in got if r.doc_id == 204}) == 1
+
+
+def test_rows_that_teach_are_bounded(spark):
+    labels = spark.range(9000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 10 = 0) AS toxic")
+    all_ = {r.doc_id: r.toxic for r in toxicity.taught_rows(labels).collect()}
+    assert all_ == {i: int(i % 10 == 0) for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1}
+    some = [r.toxic for r in toxicity.taught_rows(labels, 1000).collect()]
+    assert sum(some) == sum(all_.values()) and 850 < len(some) - sum(some) < 1150
+
+
+def test_most_frequent(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([5] * 10 + [70] * 4 + [12345, 12346, 999] + [1] * 50)], "h long, n long")
+    kept = lambda most: sorted((r.n for r in common.most_frequent(counts, "n", most).collect()), reverse=True)
+    assert kept(100) == sorted([5] * 10 + [70] * 4 + [12345, 12346, 999] + [1] * 50, reverse=True)
+    assert kept(7) == kept(16) == [12346, 12345, 999, 70, 70, 70, 70] and kept(3) == [12346, 12345, 999] and kept(1) == []
+
+
+def test_url_filters_on_odd_pages(spark):
+    rules = spark.createDataFrame(url_filters.RULES, "rule string, verdict string")
+    schema = "page_id long, url string, host string, path string, rule string, verdict string"
+    long_ = "http://" + "a." * 3000 + "example.com/en/" + "b/" * 10_000
+    pages = spark.createDataFrame([(1, long_, "h", "p", "r", "v"), (1, long_, "h", "p", "r", "v"), (2, None, None, None, None, None), (None, "x://b.net/es//", "h", None, None, None), (3, "", "", "", "", "")], schema)
+    got = sorted(((r.page_id or 0), r.rule or "", r.verdict) for r in url_filters.judge_urls(pages, rules).collect())
+    assert got == [(0, "net/es/", "block"), (1, "example.com/en/", "block"), (1, "example.com/en/", "block"), (2, "", "allow"), (3, "", "allow")]
+    assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
+    assert url_filters.judge_urls(pages, rules.limit(0)).where("verdict = 'allow' and rule is null").count() == 5
+
+
+def test_repeated_rows_are_mixed_by_arithmetic(spark):
+    rows = [(1, "a b c d e", "en", "x", 0)] * 3000 + [(i, "w " * 50, "en", "x", 0) for i in range(2, 40)] + [(100 + i, "v " * 400, "en", "y", 0) for i in range(90)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(4)).toPandas()
+    assert len(out) == len(rows) and (out["taken"] <= 3 * out["size"]).all()
+    for _, own in out.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 0.01 * own["target"].iloc[0] + 400
+    copies = out[out["doc_id"] == 1]["copies"]
+    assert copies.max() - copies.min() <= 1

@@ -8,7 +8,8 @@
    so a group of copies can't make all of its words toxic.
 4. A text's score is the chance that at least one of its three most telling words is right.
 
-Only rows for which ``crc32(doc_id) % 3 != 1`` teach labels. Null texts are empty; empty texts and texts without a
+Only rows for which ``crc32(doc_id) % 3 != 1`` teach labels, of each label at most about ``MOST_TAUGHT``, picked by the
+hash of their doc_id where there are more; letters are counted and texts scored over all rows. Null texts are empty; empty texts and texts without a
 known feature score just above 0. Repeated rows are scored one by one. If no training row is labelled toxic, all
 texts score 0. Other columns than doc_id and text are left out.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, discard, keep, most_frequent, table
 from .textblocks import LOWER, byte_codes, fold, mix, prefix_hash, span_hash, text_chunks
 
 #: Letters that digits and signs may stand for. Fixed values.
@@ -38,8 +39,12 @@ DEVIATIONS = 2.0
 LEAST_SHARE = 0.5
 #: Beginnings that fewer words share tell nothing that the words don't.
 LEAST_WORDS = 4
-#: Features that executors are sent, those with the highest bounds.
+#: Labelled rows of each label that teach; with more, a hash of doc_id picks about so many. They are broadcast.
+MOST_TAUGHT = 200_000
+#: Features that executors are sent, those of the most toxic texts.
 MOST_FEATURES = 200_000
+#: Runs of one letter longer than this are read whole.
+LONG_RUN = 8
 #: A text is called toxic from this score.
 TOXIC_FROM = 0.7
 
@@ -80,41 +85,65 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(share3)
 
 
-def decode(word: str, costs: np.ndarray) -> str:
-    """The most likely reading of a disguised word: a Viterbi search over its lattice of letters and gaps."""
+def _arcs(word: str) -> list[list[tuple[int, str, float]]]:
+    """For each place of a word, what may be read from there on: (next place, letters, cost)."""
     n = len(word)
     arcs: list[list[tuple[int, str, float]]] = [[] for _ in range(n)]
-    for i, c in enumerate(word):
-        code = ord(c)
-        letter = code > 127 or c.isalpha()
-        for x in DISGUISES.get(c, ""):
-            arcs[i].append((i + 1, x, COST_LETTER))
-        if letter:
-            arcs[i].append((i + 1, c, 0.0))
-            run = i + 1
-            while run < n and word[run] == c:
-                run += 1
+    end = [n] * n  # of the run of equal letters
+    for i in range(n - 2, -1, -1):
+        end[i] = end[i + 1] if word[i] == word[i + 1] else i + 1
+    i = 0
+    while i < n:
+        c, run = word[i], end[i]
+        here = arcs[i]
+        here += [(i + 1, x, COST_LETTER) for x in DISGUISES.get(c, "")]
+        if ord(c) > 127 or c.isalpha():
             if run - i > 2:
-                arcs[i] += [(run, c, COST_STRETCH), (run, c + c, COST_STRETCH)]
+                here += [(run, c, COST_STRETCH), (run, c + c, COST_STRETCH)]
+            if run - i > LONG_RUN:
+                # letters read before the rest is taken as stretched only add cost to the stretch from the first one
+                here.append((run, c * (run - i), 0.0))
+                i = run
+                continue
+            here.append((i + 1, c, 0.0))
         else:
-            arcs[i].append((i + 1, c, 0.0 if c not in DISGUISES else COST_SIGN))
+            here.append((i + 1, c, 0.0 if c not in DISGUISES else COST_SIGN))
             if c in SEPARATORS:
-                arcs[i].append((i + 1, "", COST_GAP))
-    start = (0, 0)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(n + 1)]
-    best[0][start] = (0.0, "")
+                here.append((i + 1, "", COST_GAP))
+        i += 1
+    return arcs
+
+
+def decode(word: str, costs: np.ndarray) -> str:
+    """The most likely reading of a disguised word: a Viterbi search over its lattice of letters and gaps."""
+    n = len(word)
+    arcs = _arcs(word)
+    # by place and last two letters: cost, and where the best reading came from
+    best: list[dict[tuple[int, int], tuple[float, int, tuple[int, int], str]]] = [{} for _ in range(n + 1)]
+    best[0][0, 0] = (0.0, -1, (0, 0), "")
     for i in range(n):
-        for (a, b), (cost, text) in best[i].items():
+        for state, (cost, *_) in best[i].items():
             for to, out, extra in arcs[i]:
-                x, y, total = a, b, cost + extra
-                for ch in out:
+                (x, y), total = state, cost + extra
+                for ch in out[:3]:
                     z = int(_CLASS[min(ord(ch), 255)])
                     total += costs[x, y, z]
                     x, y = y, z
+                if len(out) > 3:  # a long run: the same step again and again
+                    total += (len(out) - 3) * costs[y, y, y]
                 old = best[to].get((x, y))
                 if old is None or total < old[0]:
-                    best[to][x, y] = (total, text + out)
-    return min((cost + costs[a, b, 0], text) for (a, b), (cost, text) in best[n].items())[1]
+                    best[to][x, y] = (total, i, state, out)
+    readings = []
+    for state, (cost, *_) in best[n].items():
+        readings.append((cost + costs[state[0], state[1], 0], state))
+    least, parts = min(readings)[1], []
+    at = n
+    while at:
+        _, before, previous, out = best[at][least]
+        parts.append(out)
+        at, least = before, previous
+    return "".join(reversed(parts))
 
 
 def suspects(data: np.ndarray) -> list[tuple[int, int]]:
@@ -126,6 +155,9 @@ def suspects(data: np.ndarray) -> list[tuple[int, int]]:
     sign = _SIGN[data]
     hit = np.zeros(n, dtype=bool)
     hit[:-1] |= sign[:-1] & letter[1:]
+    # two signs behind a letter; a call's marks are none
+    inner = sign & (data != 33) & (data != 43)
+    hit[:-2] |= letter[:-2] & inner[1:-1] & inner[2:]
     hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (data[:-2] < 128)
     single = letter.copy() & (data < 128)
     single |= sign
@@ -218,7 +250,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def toxic_features(train: DataFrame, costs: np.ndarray) -> pd.DataFrame:
-    """h, share: the features that tell toxic texts, from rows (text, toxic)."""
+    """h, share: the features that tell toxic texts, from rows (text, toxic). At most MOST_FEATURES are told apart."""
     sent = train.sparkSession.sparkContext.broadcast(costs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,36 +283,51 @@ def toxic_features(train: DataFrame, costs: np.ndarray) -> pd.DataFrame:
                     names=["group", "features", "bits"],
                 )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(sent.value)
-        for batch in batches:
-            hashes = []
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                text, _, h = features(*restorer.texts(data, offsets))
-                order = np.lexsort((text, h))
-                text, h = text[order], h[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                hashes.append(h[new])
-            h, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "no"])
-
     # one text of each group of near copies teaches what is toxic; all others teach what is not
     described = train.where("toxic = 1").select("text").mapInArrow(describe, "group long, features array<long>, bits array<long>")
     single = described.groupBy("group").agg(F.min_by(F.arrays_zip("features", "bits"), F.xxhash64("features", "bits")).alias("f"))
     each = single.select(F.explode("f").alias("f")).groupBy("f.features").agg(F.count("*").alias("yes"), F.bit_or("f.bits").alias("bits"))
-    yes = each.where((F.col("yes") > 2) & (F.bit_count("bits") >= LEAST_WORDS)).select(F.col("features").alias("h"), "yes")
-    no = train.where("toxic <> 1").select("text").mapInArrow(count, "h long, no long")
-    counts = (
-        yes.select("h", "yes", F.lit(0).cast("long").alias("no")).unionByName(no.select("h", F.lit(0).cast("long").alias("yes"), "no"))
-        .groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    )
-    n, p, z = F.col("yes") + F.col("no"), F.col("yes") / (F.col("yes") + F.col("no")), DEVIATIONS
-    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    return (
-        counts.where("yes > 2").withColumn("share", bound).where(F.col("share") >= LEAST_SHARE / 2)
-        .orderBy(F.desc("share"), "h").limit(MOST_FEATURES).select("h", "share").toPandas()
-    )
+    yes = keep(each.where((F.col("yes") > 2) & (F.bit_count("bits") >= LEAST_WORDS)).select(F.col("features").alias("h"), "yes"))
+    found = most_frequent(yes, "yes", MOST_FEATURES).toPandas()
+    discard(yes)
+    h = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    h, yes_count = h[order], found["yes"].to_numpy(dtype=np.float64)[order]
+    wanted = train.sparkSession.sparkContext.broadcast(h)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, known = Restorer(sent.value), wanted.value
+        n = np.zeros(len(known), dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)) if len(known) else ():
+                text, _, h = features(*restorer.texts(data, offsets))
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                # each text counts once
+                n += np.bincount(np.unique(text[hit] * len(known) + at[hit]) % len(known), minlength=len(known))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["at", "no"])
+
+    rows = train.where("toxic <> 1").select("text").mapInArrow(count, "at int, no long").groupBy("at").agg(F.sum("no").alias("no")).toPandas()
+    no_count = np.zeros(len(h))
+    no_count[rows["at"].to_numpy(dtype=np.int64)] = rows["no"].to_numpy(dtype=np.float64)
+    n, z = yes_count + no_count, DEVIATIONS
+    p = yes_count / np.maximum(n, 1)
+    share = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) if len(h) else n
+    out = pd.DataFrame({"h": h.view(np.int64), "share": share})
+    return out[out["share"] >= LEAST_SHARE / 2].reset_index(drop=True)
+
+
+def taught_rows(labels: DataFrame, most: int = MOST_TAUGHT) -> DataFrame:
+    """doc_id, toxic of the rows that teach: all outside the held-out third, or about ``most`` of each label by hash."""
+    rows = labels.where(crc_mod("doc_id", 3) != 1).where("toxic is not null").select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic")).distinct()
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = 1 << 20
+    share = F.lit(parts)
+    for toxic, n in counts.items():
+        if n > most:
+            share = F.when(F.col("toxic") == toxic, int(parts * most / n)).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
 
 
 def score_texts(docs: DataFrame, model: pd.DataFrame, costs: np.ndarray) -> DataFrame:
@@ -323,8 +370,8 @@ def score_texts(docs: DataFrame, model: pd.DataFrame, costs: np.ndarray) -> Data
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``; labels of held-out rows are not read."""
     costs = letter_model(docs)
-    taught = labels.where(crc_mod("doc_id", 3) != 1).where("toxic is not null").select("doc_id", "toxic").distinct()
-    train = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(taught, "doc_id")
+    # the rows that teach are bounded, so texts stay where they are
+    train = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(F.broadcast(taught_rows(labels)), "doc_id")
     model = toxic_features(train, costs)
     return score_texts(docs, model, costs).select(
         "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
