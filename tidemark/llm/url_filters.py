@@ -39,15 +39,16 @@ def url_path(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each suffix of it that begins after a dot."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host and each suffix of it that begins after a dot, of at most ``most`` labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n = F.size(labels)
+    return F.transform(F.sequence(F.greatest(n - (most - 1), F.lit(1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
 
-def path_prefixes(path: Column) -> Column:
-    """Each prefix of the path that ends in a slash."""
-    parts = F.split(path, "/")
+def path_prefixes(path: Column, most: int) -> Column:
+    """Each prefix of the path that ends in one of its first ``most`` slashes."""
+    parts = F.split(path, "/", most + 1)
     return F.transform(
         F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)),
         lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
@@ -60,13 +61,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         rules.where("rule is not null").groupBy("rule").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
         .withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )
+    # urls are expanded as far as the deepest rule reaches, so a long one costs no more than a short one
+    labels, slashes = rules.agg(
+        F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\."))), F.max(F.length("rule") - F.length(F.replace("rule", F.lit("/"))))
+    ).first()
     parsed = pages.select("page_id", url_host("url").alias("host"), url_path("url").alias("path"))
     # hosts and paths repeat (a hot host may hold a third of the pages): each pair is expanded once
     places = parsed.where("host <> '' and path <> ''").select("host", "path").distinct()
-    # distinct (host, first directories) are few beside distinct paths, but a path has only so many prefixes
     expressions = places.select(
-        "host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")
-    ).select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
+        "host", "path", F.explode(host_suffixes(F.col("host"), labels or 1)).alias("suffix")
+    ).select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), slashes or 1)).alias("prefix"))
     hashed = expressions.select(
         "host", "path", F.sha2(F.concat("suffix", "prefix"), 256).alias("full")
     ).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
