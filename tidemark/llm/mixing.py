@@ -8,7 +8,7 @@ bisection steps in where Newton's would leave the bracket. Rates become whole co
 to small documents within buckets of a source, so that what is left over is about a small document per bucket.
 
 Null texts have size 0 and are taken 0 times over. A null source is a source of its own and sorts last. Repeated
-rows count as documents of their own. An empty table gives an empty result. A source without words has target 0.
+rows count as documents of their own; they are rounded together as one row with a count, however many they are. An empty table gives an empty result. A source without words has target 0.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Mean number of documents that are rounded together.
 BUCKET_DOCS = 512
-#: Newton steps end when each source's words are this near to its target, or after MOST_STEPS.
+#: Newton steps end when each source's words are this near to its target, or after MOST_STEPS; further off than LEAST_NEAR
+#: they have failed.
 TOLERANCE = 1e-6
+LEAST_NEAR = 1e-3
 MOST_STEPS = 60
 #: Newton steps between two tables written.
 STEPS_A_JOB = 3
@@ -100,6 +102,10 @@ def solve_multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP) ->
         state = keep(state)
         if state.where("not done").isEmpty():
             break
+    else:
+        off = state.where(F.abs(F.col("got") - F.col("target")) > LEAST_NEAR * F.col("target")).count()
+        if off:
+            raise RuntimeError(f"{off} sources are off their targets after {MOST_STEPS} steps")
     found = state.select(F.col("source").alias("_s"), "multiplier")
     return targets.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
@@ -107,19 +113,16 @@ def solve_multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP) ->
 def _diffuse(cap: float):
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "doc_id", "part"], ascending=[False, True, True], kind="stable")
-        rates, sizes = group["rate"].to_numpy(), group["size"].to_numpy()
+        rates, sizes, times = (group[c].to_numpy() for c in ("rate", "size", "times"))
         low = np.floor(rates + 1e-9)
         high = np.minimum(low + 1, cap)
         copies, left = np.zeros(len(group), dtype=np.int64), 0.0
-        for i, size in enumerate(sizes):
+        for i, (size, n) in enumerate(zip(sizes, times)):
             if size:
-                left += rates[i] * size
-                copies[i] = min(max(round(left / size), low[i]), high[i])
+                left += rates[i] * size * n
+                copies[i] = min(max(round(left / size), low[i] * n), high[i] * n)
                 left -= copies[i] * size
-        return pd.DataFrame({
-            "doc_id": group["doc_id"], "source": group["source"], "size": group["size"], "source_size": group["source_size"],
-            "target": group["target"], "rate": group["rate"], "copies": copies, "taken": copies * sizes,
-        })
+        return group[["doc_id", "source", "size", "source_size", "target", "rate", "times"]].assign(copies=copies)
 
     return rounded
 
@@ -134,13 +137,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -
     rate = F.when(F.col("source_size") == 0, 1.0).when(F.col("multiplier").isNull(), cap).otherwise(
         F.least(F.lit(cap), F.exp(F.least(F.col("multiplier") * F.col("size") / mean, F.lit(50.0))))
     )
-    rated = sizes.join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
+    once = sizes.groupBy("doc_id", "source", "size", "part").agg(F.count("*").alias("times"))
+    rated = once.join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), "part",
-        F.pmod(F.col("part"), F.ceil(F.col("docs") / BUCKET_DOCS)).alias("bucket"),
+        F.pmod(F.col("part"), F.ceil(F.col("docs") / BUCKET_DOCS)).alias("bucket"), "times",
     )
-    return rated.groupBy("source", "bucket").applyInPandas(
-        _diffuse(cap), "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
+    whole = rated.groupBy("source", "bucket").applyInPandas(
+        _diffuse(cap), "doc_id long, source string, size long, source_size long, target double, rate double, times long, copies long"
     )
+    # of a row's repeats the first take one copy more, if copies are left over
+    each = whole.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    own = (F.floor(F.col("copies") / F.col("times")) + (F.col("_i") <= F.col("copies") % F.col("times")).cast("long")).alias("copies")
+    return each.select("doc_id", "source", "size", "source_size", "target", "rate", own).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
