@@ -402,6 +402,30 @@ def test_clashing_columns_nulls_and_repeated_rows(spark):
     assert {k: counts[k] for k in ("lm", "mix", "rules", "bytes", "clean", "toxic", "links", "phrases")} == dict.fromkeys(("lm", "mix", "rules", "bytes", "clean", "toxic", "links", "phrases"), 6)
 
 
+CLASHES = ("row", "_row", "__row", "_spans", "spans", "node", "n", "size", "label", "block", "vector", "keys", "packed", "_kept", "bucket", "times", "_i", "h", "key", "host", "_host", "verdict", "ROW")
+
+
+def test_stages_keep_clashing_columns(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i}" for i in range(80))
+    rows = [(None, None, None, None, None), (1, good, "en", "s", 0), (1, good, "en", "s", 0), (2, good + " more", "en", "s", 0), (3, "", "en", "s", 0), (4, other, "en", None, 1), (None, other + " z", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(c + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in CLASHES if c != "ROW"})
+    assert "ROW" not in docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, common.keep(stage(spark, docs, "/root/testdata/sf0.001"))
+        if i == 4:
+            break
+        assert docs.schema.names == before.schema.names, name
+        for r in docs.collect():
+            assert all(r[c] == f"{c}-{'?' if r.doc_id is None else r.doc_id}" for c in CLASHES if c != "ROW"), name
+    assert sorted(r.doc_id or 0 for r in docs.collect()) in ([1, 4], [0, 1], [0, 1, 4])
+
+
+def test_stages_take_empty_tables(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+
+
 def test_pipeline_stages_chain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     columns = docs.columns

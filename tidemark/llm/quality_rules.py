@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table, text_or_empty, word_array, WORD_BREAKS
+from .common import free_name, keep, table, text_or_empty, word_array, WORD_BREAKS
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -112,9 +112,10 @@ def judge_documents(docs: DataFrame, *keys: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules and their host's verdict let pass, with all their columns."""
-    ids = F.xxhash64("doc_id", "text", "source")
-    verdicts = judge_documents(docs.withColumn("_row", ids), "_row").where("kept").select("_row").distinct()
-    return docs.withColumn("_row", ids).join(verdicts, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text", "source"))
+    kept = judge_documents(keyed.select("text", "source", row), row).where("kept").select(row).distinct()
+    return keyed.join(kept, row, "left_semi").drop(row)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

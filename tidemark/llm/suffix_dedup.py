@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import table
+from .common import free_name, table
 from .textblocks import byte_codes, gram_hashes, prefix_hash, span_hash
 
 LENGTH = 200
@@ -262,9 +262,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes taken out of text; other columns stay as they are."""
     names = docs.columns
     place = names.index("text")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(
-        repeat_spans(docs).select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "_row", "left"
-    ).select(*names, "_spans")
+    row, spans = free_name(docs, "_row"), free_name(docs, "_spans")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(
+        repeat_spans(docs).select(F.col("row").alias(row), F.col("spans").alias(spans)), row, "left"
+    ).select(*[f"`{n}`" for n in names], spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
