@@ -26,23 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep, table
+from .common import crc_mod, keep, most_frequent, table
 from .textblocks import text_chunks, word_hashes, words
 
 SOFT_WORDS = 1024
 CLASS_WORDS = 32
 TAIL_CLASSES = 32
 HEAD_WORDS = 200_000
-HIDDEN = 16
+HIDDEN = 12
 WINDOW = 16
 UPDATE_TOKENS = 1024
 #: Shares of the training texts, in 32nds, that each round learns from.
-ROUNDS = (2, 6, 8, 16)
+ROUNDS = (4, 12, 16)
 RATE = 0.07
 #: What squared gradients start from; it keeps the first steps short.
 FIRST_SQUARE = 0.2
 #: Tokens that the network walks through side by side.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 3_000_000
 #: Texts that learning walks through side by side at most, which bounds what a window holds.
 SIDE_BY_SIDE = 8192
 #: The weights that one row carries while tasks' weights are averaged.
@@ -108,7 +108,7 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         totals = counts.agg(F.sum("n"), F.count("*")).first()
         self.tokens, self.distinct = int(totals[0] or 0), int(totals[1])
-        head = counts.orderBy(F.desc("n"), "h").limit(HEAD_WORDS).toPandas()
+        head = most_frequent(counts, "n", HEAD_WORDS).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
         h = head["h"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(h)
         self.hashes = h[order]
@@ -122,6 +122,16 @@ class Vocabulary:
         np.subtract.at(self.class_tokens, soft["kind"].to_numpy(dtype=np.int64), soft["n"].to_numpy(dtype=np.float64))
         np.subtract.at(self.class_words, soft["kind"].to_numpy(dtype=np.int64), 1)
 
+        order = np.argsort(soft["h"].to_numpy(dtype=np.int64).view(np.uint64))
+        self.soft_hashes, self.soft_rank = soft["h"].to_numpy(dtype=np.int64).view(np.uint64)[order], order
+
+    def units(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Each token's unit: a soft word's rank or SOFT_WORDS + tail class."""
+        if not len(self.soft_hashes):
+            return SOFT_WORDS + kind
+        at = np.minimum(np.searchsorted(self.soft_hashes, h), len(self.soft_hashes) - 1)
+        return np.where(self.soft_hashes[at] == h, self.soft_rank[at], SOFT_WORDS + kind)
+
     def look_up(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(unit, count): a unit is a soft word's rank or SOFT_WORDS + tail class; count is -1 outside the head."""
         if not len(self.hashes):
@@ -148,18 +158,23 @@ def first_weights(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def step(weights: dict[str, np.ndarray], unit: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One token's step of the gated unit, for many texts at once."""
     x, s = weights["inputs"][unit], h @ weights["state"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
+    gates = np.add(x[:, : 2 * HIDDEN], s[:, : 2 * HIDDEN])
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
     r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
     own = s[:, 2 * HIDDEN :]
-    c = np.tanh(x[:, 2 * HIDDEN :] + r * own)
-    return c + z * (h - c), (unit, h, r, z, c, own)
+    c = r * own
+    c += x[:, 2 * HIDDEN :]
+    np.tanh(c, out=c)
+    new = h - c
+    new *= z
+    new += c
+    return new, (unit, h, r, z, c, own)
 
 
 def output_costs(weights: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -320,8 +335,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             learner = Learner(own, own_squares)
             for batch in batches:
                 for _, _, h, kind, begins in tokenize(batch.column(0)):
-                    unit, _ = words_.value.look_up(h, kind)
-                    learner.walk(unit, begins)
+                    learner.walk(words_.value.units(h, kind), begins)
             learner.update()
             if learner.learned:
                 flat = np.concatenate([*(own[k].ravel() for k in sorted(own)), *(own_squares[k].ravel() for k in sorted(own))]).astype(np.float64)
