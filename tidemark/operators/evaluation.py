@@ -42,10 +42,13 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """Percentiles that are values of the group: the ceil(p n)-th smallest."""
+    """Percentiles that are values of the group: the ceil(p n)-th smallest. Values are counted before they are ordered."""
+    counts = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(group)
-    ranked = df.select(group, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)), F.col("v")))
+    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(group, "v", "c", upto.alias("upto"), F.sum("c").over(w).alias("n"))
+    wanted = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
+    at = lambda p: F.max(F.when((F.col("upto") >= wanted(p)) & (F.col("upto") - F.col("c") < wanted(p)), F.col("v")))
     return ranked.groupBy(group).agg(*[at(p).alias(f"p{round(p * 100)}") for p in shares])
 
 

@@ -89,10 +89,42 @@ def in_order(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return wanted.groupBy(key).agg(F.min("place").alias("place")).join(df, key)
 
 
-def percentile_in_group(group: str, value: str, key: str) -> Column:
-    """Share of the group with smaller values, ties in order of key; 0 for a group of one."""
-    w = Window.partitionBy(group)
-    return (F.row_number().over(w.orderBy(value, key)) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
+#: Keys among which rows of equal value are ordered in one task.
+SLICE_KEYS = 1 << 16
+
+
+def numbered(df: DataFrame, value: str, key: str, name: str, group: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Adds the row's number, from 1, in order of value and (whole-numbered) key, and ``<name>_of``, the number of rows.
+
+    Rows are counted by value and slice of keys first: only these counts are ordered over a whole group, rows only
+    within a slice of their equals.
+    """
+    order = F.desc_nulls_last(value) if descending else F.col(value)
+    parts = [*group, value, "_slice"]
+    df = df.withColumn("_slice", F.floor(F.col(key) / SLICE_KEYS))
+    counts = df.groupBy(*parts).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*group)
+    before = F.sum("_c").over(w.orderBy(order, "_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    placed = counts.select(*[F.col(c).alias(f"_of_{c}") for c in parts], before.alias("_before"), F.sum("_c").over(w).alias(f"{name}_of"))
+    same = F.lit(True)
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    among = F.row_number().over(Window.partitionBy(*parts).orderBy(key))
+    return df.join(placed, same).withColumn(name, F.col("_before") + among).drop("_before", "_slice", *[f"_of_{c}" for c in parts])
+
+
+def with_percentile(df: DataFrame, group: str, value: str, key: str, name: str) -> DataFrame:
+    """Adds the share of the group with smaller values, ties in order of key; 0 for a group of one."""
+    out = numbered(df, value, key, "_place", [group])
+    return out.withColumn(name, (F.col("_place") - 1) / F.greatest(F.col("_place_of") - 1, F.lit(1))).drop("_place", "_place_of")
+
+
+def not_in(df: DataFrame, key: str, listed: DataFrame, column: str) -> DataFrame:
+    """Rows whose key is not listed, as NOT IN has it: a null in the list leaves no row, a null key none but beside an
+    empty list."""
+    some, null = listed.select(column).limit(1), listed.where(F.col(column).isNull()).select(column).limit(1)
+    left = df.join(listed.select(F.col(column).alias(key)), key, "left_anti").join(null, F.lit(True), "left_anti")
+    return left.where(F.col(key).isNotNull()).unionByName(df.where(F.col(key).isNull()).join(some, F.lit(True), "left_anti"))
 
 
 def runs(df: DataFrame, group: str, order: Sequence[str], flag: Column) -> DataFrame:

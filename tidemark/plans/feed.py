@@ -81,8 +81,8 @@ def event_timeline_counts(spark, sf_dir):
 SELECT event_type, event_id, round((row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1) / greatest(count(*) OVER (PARTITION BY event_type) - 1, 1), 6) AS pct
 FROM events""")
 def engagement_percentile(spark, sf_dir):
-    pct = feeds.percentile_in_group("event_type", "value", "event_id")
-    return read(spark, sf_dir, "events").select("event_type", "event_id", F.round(pct, 6).alias("pct"))
+    events = feeds.with_percentile(read(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "value", "event_id", "pct")
+    return events.select("event_type", "event_id", F.round("pct", 6).alias("pct"))
 
 
 _RANKED = f"""
@@ -99,7 +99,7 @@ def rank_feed(spark, sf_dir):
     seen = _item(read(spark, sf_dir, "events")).groupBy("item_id").agg(F.sum("value").alias("engagement"), F.max("ts").alias("last_at"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source", (F.least("n_chars", F.lit(4000)) / 4000).alias("quality"))
     rated = docs.join(seen, "item_id", "left").withColumn("engagement", F.round(F.coalesce("engagement", F.lit(0.0)), 6))
-    pct = feeds.percentile_in_group("source", "engagement", "item_id")
+    rated, pct = feeds.with_percentile(rated, "source", "engagement", "item_id", "pct"), F.col("pct")
     now = F.to_timestamp_ntz(F.lit(NOW))
     scored = rated.select(F.col("item_id").alias("doc_id"), "source", scores.ranking(F.col("quality"), pct, times.freshness(times.age_hours(F.col("last_at"), now))).alias("score"))
     top = scored.orderBy(F.desc("score"), "doc_id").limit(100)
@@ -158,11 +158,22 @@ def status_enum_board(spark, sf_dir):
 SELECT doc_id, n_chars, place FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents)
 WHERE place > 40 AND doc_id % 3 <> 0 ORDER BY place LIMIT 21""")
 def cursor_page(spark, sf_dir):
-    # the first pages of a feed: only as many rows as the cursor can reach are ranked
-    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(1000)
-    ranked = docs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    shown = docs.where("doc_id % 3 = 0").select("doc_id")
-    return feeds.keyset_page(ranked, "place", 40, 20, shown, "doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    ranked = feeds.numbered(docs, "n_chars", "doc_id", "place", descending=True).drop("place_of")
+    return feeds.keyset_page(ranked, "place", 40, 20, docs.where("doc_id % 3 = 0"), "doc_id")
+
+
+@query("""
+WITH n AS (SELECT CASE WHEN c_custkey % 10 > 0 THEN c_custkey END AS k FROM customer WHERE c_acctbal < 0)
+SELECT 'with null' AS list, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT k FROM n)
+UNION ALL SELECT 'without', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM n WHERE k IS NOT NULL)
+UNION ALL SELECT 'empty', count(*) FROM orders WHERE o_custkey NOT IN (SELECT k FROM n WHERE k < -1)""")
+def not_in_lists(spark, sf_dir):
+    """NOT IN beside lists with a null, without one, and empty."""
+    orders = read(spark, sf_dir, "orders")
+    listed = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey")).alias("k"))
+    case = lambda name, rows: feeds.not_in(orders, "o_custkey", rows, "k").agg(F.lit(name).alias("list"), F.count("*").alias("n"))
+    return case("with null", listed).unionByName(case("without", listed.where("k is not null"))).unionByName(case("empty", listed.where("k < -1")))
 
 
 @query("""

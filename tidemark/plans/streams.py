@@ -16,17 +16,17 @@ def stream_dedup(spark, sf_dir):
 
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_tumbling(spark, sf_dir):
-    return jobs.run_once(jobs.daily_counts(jobs.source(spark, sf_dir, "events")), "complete").select(F.to_date("day").alias("day"), "event_type", "n", "total")
+    return jobs.run_once(jobs.daily_counts(jobs.source(spark, sf_dir, "events")), "update", ["day", "event_type"]).select(F.to_date("day").alias("day"), "event_type", "n", "total")
 
 
 @query("""SELECT user_id, max(event_id) AS newest, max(ts) AS last_at FROM events GROUP BY 1""")
 def stream_newest_per_key(spark, sf_dir):
-    return jobs.run_once(jobs.newest_per_key(jobs.source(spark, sf_dir, "events")), "complete").select("user_id", "newest", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
+    return jobs.run_once(jobs.newest_per_key(jobs.source(spark, sf_dir, "events")), "update", ["user_id"]).select("user_id", "newest", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 
 @query("""SELECT user_id, count(*) FILTER (event_type = 'purchase') % 2 = 1 AS starred, max(ts) FILTER (event_type = 'click') AS clicked_at FROM events GROUP BY 1""")
 def stream_status_fold(spark, sf_dir):
-    return jobs.run_once(jobs.status_fold(jobs.source(spark, sf_dir, "events")), "complete").select("user_id", "starred", F.col("clicked_at").cast("timestamp_ntz").alias("clicked_at"))
+    return jobs.run_once(jobs.status_fold(jobs.source(spark, sf_dir, "events")), "update", ["user_id"]).select("user_id", "starred", F.col("clicked_at").cast("timestamp_ntz").alias("clicked_at"))
 
 
 @query("""
@@ -35,7 +35,7 @@ islands AS (SELECT user_id, place - row_number() OVER (PARTITION BY user_id ORDE
 longest AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, island, count(*) AS n FROM islands GROUP BY ALL) GROUP BY user_id)
 SELECT u.user_id, coalesce(longest, 0) AS longest, coalesce(longest, 0) >= 3 AS broken FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN longest USING (user_id)""")
 def stream_source_health(spark, sf_dir):
-    return jobs.run_once(jobs.source_health(jobs.source(spark, sf_dir, "events")), "update").select("user_id", "longest", "broken")
+    return jobs.run_once(jobs.source_health(jobs.source(spark, sf_dir, "events")), "update", ["user_id"]).select("user_id", "longest", "broken")
 
 
 @query("""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,30 +23,52 @@ BROKEN_AFTER = 3
 
 
 def source(spark: SparkSession, path: str, name: str, files_per_trigger: int = 4) -> DataFrame:
-    """A stream of the rows of one Parquet table; its time column as timestamp with zone, as watermarks ask for."""
-    schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(path)
+    """A stream of the rows of one Parquet table, a file or a folder of files; its time column as timestamp with zone,
+    as watermarks ask for."""
+    at = f"{path}/{name}.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        rows = rows.parquet(at)
+    else:  # streams read folders; the filter leaves one file of it
+        rows = rows.option("pathGlobFilter", f"{name}.parquet").parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a temporary folder where that is unset and the driver is its own executor."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="tidemark-stream-")
+
+
+def run_once(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None) -> DataFrame:
     """Works off what the stream has and returns the rows written.
 
-    Files and state go to the shared folder (``spark.checkpoint.dir``), or to a temporary one where that is unset.
+    In update mode each batch's changed rows are written under its number, and the last one of each key counts; a batch
+    that is run again after a failure overwrites its own rows. Files and state go to ``folder``, by default a new one in
+    the shared folder; called again with the same folder, it goes on from where it was.
     """
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemark-stream-')}/{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    else:
-        def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
-        query = stream.writeStream.outputMode(mode).foreachBatch(replace).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = writer.outputMode(mode).foreachBatch(write).start()
     query.awaitTermination()
-    if mode == "append":
-        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows-{query.lastProgress['batchId']}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    rows = spark.read.schema(f"{fields}, batch long").parquet(f"{folder}/rows")
+    others = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in stream.columns])
 
 
 def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -61,7 +83,7 @@ def daily_counts(events: DataFrame, key: str = "event_type") -> DataFrame:
 
 
 def newest_per_key(events: DataFrame, key: str = "user_id", number: str = "event_id") -> DataFrame:
-    """High watermark of each key, in complete mode; a key without rows has none, so all its rows are new."""
+    """High watermark of each key; a key without rows has none, so all its rows are new."""
     return events.groupBy(key).agg(F.max(number).alias("newest"), F.max("ts").alias("last_at"))
 
 
