@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a temporary one is made,
+    for a driver that is its own executor only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -38,9 +41,30 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt_by(df: DataFrame, column: str) -> DataFrame:
+    """``df`` shuffled by a column into as many partitions as keep_by() makes buckets."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
+def keep_by(df: DataFrame, column: str) -> DataFrame:
+    """The same as keep(), bucketed by a column: joins and groupings by it find the table's rows where they are.
+
+    ``df`` should come from dealt_by(), so that each bucket is one file.
+    """
+    spark = df.sparkSession
+    name = f"kept_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.kept_at, out.kept_as = path, name
+    return out
+
+
 def discard(*kept: DataFrame) -> None:
-    """Deletes tables that keep() wrote, once nothing reads them any more."""
+    """Deletes tables that keep() or keep_by() wrote, once nothing reads them any more."""
     for df in kept:
+        if hasattr(df, "kept_as"):
+            df.sparkSession.sql(f"DROP TABLE {df.kept_as}")
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, free_name, keep, most_frequent, table
+from .common import components, dealt_by, discard, free_name, keep, keep_by, most_frequent, table
 from .repeats import _groups, _packed, unpack, with_row
 from .textblocks import mix, prefix_hash, span_hash, text_chunks, word_hashes, words
 
@@ -414,7 +414,7 @@ def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> Dat
 
 def node_texts(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """node and its compressed text for each (node, row) of ``owners``; texts weigh a fraction of their shingles."""
-    return _packed(with_row(docs)).join(owners, "row").select("node", "packed").dropDuplicates(["node"])
+    return dealt_by(_packed(with_row(docs)).join(owners, "row").select("node", "packed"), "node").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -453,12 +453,13 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     described = keep(describe(docs, percent, size))
     fresh = described.where("vector is not null")
     members = keep(blocks(fresh, percent).withColumn("label", F.col("node")))
-    points = keep(
-        fresh.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+    points = keep_by(
+        dealt_by(fresh, "node").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
             F.min("row").alias("row"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("light").alias("light")
-        )
+        ),
+        "node",
     )
-    texts = keep(node_texts(docs, points.select("row", "node")))
+    texts = keep_by(node_texts(docs, points.select("row", "node")), "node")
     vectors, heads = points.select("node", "n", "vector"), points.select("node", "n", "keys", "light")
 
     links = tried = None

@@ -42,7 +42,7 @@ RATE = 0.07
 #: What squared gradients start from; it keeps the first steps short.
 FIRST_SQUARE = 0.2
 #: Tokens that the network walks through side by side.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
 #: Texts that learning walks through side by side at most, which bounds what a window holds.
 SIDE_BY_SIDE = 8192
 #: The weights that one row carries while tasks' weights are averaged.

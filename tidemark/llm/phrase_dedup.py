@@ -1,10 +1,10 @@
 """Substring dedup on words: recurring passages located by sharded Aho-Corasick automata.
 
 A window is ``LENGTH`` consecutive words of one document. Every word that lies in a window whose words also start in
-a document with a smaller doc_id is removed. ``repeats`` finds anchor phrases that recur and settles contexts that
-are equal as a whole. The other contexts of recurring phrases are dealt to shards by phrase; each shard compiles its
-confirmed phrases (exact words, found in two documents at least) into an automaton, streams its contexts through it
-to locate every occurrence, and compares the windows around the occurrences. Phrases with very many contexts
+a document with a smaller doc_id is removed. ``repeats`` finds anchor phrases that recur and gives one representative
+for each class of equal contexts. The contexts are dealt to shards by phrase; each shard compiles its confirmed phrases
+(exact words, found in two documents at least) into an automaton, streams its contexts through it to locate every
+occurrence, and compares the windows around the occurrences. Phrases with very many contexts
 (``repeats.HOT_GRAM``) are compared by a digest of each window through a shuffle instead.
 
 Null texts have no words. Documents of fewer than LENGTH words stay whole. Rows that repeat a doc_id don't remove
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .common import table
-from .suffix_dedup import _spans, united
+from .suffix_dedup import united
 from .textblocks import gram_hashes, prefix_hash, span_hash, text_chunks, word_hashes, words
 
 LENGTH = 50
@@ -49,8 +49,11 @@ def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
     return [b" ".join(own[a:b]) for a, b in zip(lo.tolist(), hi.tolist())]
 
 
-def shard_windows(pieces: list[bytes], at: np.ndarray, doc: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window's first word): windows around confirmed phrases that a smaller doc of this shard holds too."""
+def shard_windows(
+    pieces: list[bytes], at: np.ndarray, doc: np.ndarray, many: np.ndarray, length: int = LENGTH, gram: int = GRAM
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, window's first word, own): windows around confirmed phrases that a smaller doc of this shard holds too, or
+    (own) that only larger docs than the piece's hold besides, where ``many`` docs hold the piece."""
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
     starts, ends, begins = words(data, offsets)
@@ -58,16 +61,16 @@ def shard_windows(pieces: list[bytes], at: np.ndarray, doc: np.ndarray, length:
     first = begins[:-1] + at
     phrase_of = [data[a:b].tobytes().decode("latin-1") for a, b in zip(starts[first], ends[first + gram - 1])]
     owners: dict[str, set[int]] = defaultdict(set)
-    for phrase, d in zip(phrase_of, doc.tolist()):
+    for phrase, d, several in zip(phrase_of, doc.tolist(), many.tolist()):
         if len(owners[phrase]) < 2:
-            owners[phrase].add(d)
+            owners[phrase] |= {d, -1} if several else {d}
     automaton = ahocorasick.Automaton()
     for phrase, docs in owners.items():
         if len(docs) > 1:
             automaton.add_word(f" {phrase} ", len(phrase))
     none = np.zeros(0, dtype=np.int64)
     if not len(automaton):
-        return none, none
+        return none, none, none
     automaton.make_automaton()
     piece, place = [], []
     for i, text in enumerate(pieces):
@@ -88,10 +91,11 @@ def shard_windows(pieces: list[bytes], at: np.ndarray, doc: np.ndarray, length:
     window, piece, digest = window[order], piece[order], digest[order]
     new, size = repeats._groups(digest)
     if not len(new):
-        return none, none
+        return none, none, none
     smallest = np.repeat(np.minimum.reduceat(doc[piece], new), size)
-    hit = doc[piece] > smallest
-    return piece[hit], window[hit] - begins[piece[hit]]
+    own = doc[piece] == smallest
+    hit = ~own | many[piece]
+    return piece[hit], window[hit] - begins[piece[hit]], own[hit]
 
 
 def compare(pieces: DataFrame) -> DataFrame:
@@ -102,12 +106,12 @@ def compare(pieces: DataFrame) -> DataFrame:
         all_ = pa.Table.from_batches(got)
         all_ = all_.take(pa.array(np.argsort(all_.column("gram").to_numpy(), kind="stable")))
         for part in repeats.whole_grams(all_, SHARD_CONTEXTS):
-            row, doc, lo, at = (part.column(n).to_numpy() for n in ("row", "doc", "lo", "at"))
-            piece, start = shard_windows(part.column("piece").to_pylist(), (at - lo).astype(np.int64), doc)
+            gram, context, doc, lo, at, many = (part.column(n).to_numpy() for n in ("gram", "context", "doc", "lo", "at", "many"))
+            piece, start, own = shard_windows(part.column("piece").to_pylist(), (at - lo).astype(np.int64), doc, many)
             if len(piece):
-                yield _spans(row[piece], lo[piece] + start, LENGTH)
+                yield repeats.found_spans(gram, context, doc, piece, start, own, LENGTH)
 
-    return pieces.select("gram", "row", "doc", "lo", "at", "piece").repartition("gram").mapInArrow(run, "row long, lo int, hi int")
+    return pieces.select("gram", "context", "doc", "lo", "at", "many", "piece").repartition("gram").mapInArrow(run, repeats.FOUND_SCHEMA)
 
 
 def compare_hot(pieces: DataFrame) -> DataFrame:
@@ -118,16 +122,17 @@ def compare_hot(pieces: DataFrame) -> DataFrame:
             for first, end, data, offsets in text_chunks(batch.column(4).cast(pa.large_binary()).cast(pa.large_string())):
                 starts, ends, begins = words(data, offsets)
                 digest, bounds = gram_hashes(word_hashes(data, starts, ends), begins, LENGTH)
-                gram, row, doc, lo = (np.repeat(batch.column(i).to_numpy()[first:end], np.diff(bounds)) for i in range(4))
-                lo = lo + np.arange(len(lo)) - np.repeat(bounds[:-1], np.diff(bounds))
+                gram, context, doc, many = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False)[first:end], np.diff(bounds)) for i in range(4))
+                lo = np.arange(len(doc)) - np.repeat(bounds[:-1], np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(digest.view(np.int64)), pa.array(row), pa.array(doc), pa.array(lo.astype(np.int32))],
-                    names=["gram", "digest", "row", "doc", "lo"],
+                    [pa.array(gram), pa.array(digest.view(np.int64)), pa.array(context), pa.array(doc), pa.array(many), pa.array(lo.astype(np.int32))],
+                    names=["gram", "digest", "context", "doc", "many", "lo"],
                 )
 
-    each = pieces.select("gram", "row", "doc", "lo", "piece").mapInArrow(windows, "gram long, digest long, row long, doc long, lo int")
-    owners = each.groupBy("gram", "digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return each.join(owners, ["gram", "digest"]).where("doc > least").select("row", "lo", (F.col("lo") + LENGTH).alias("hi")).distinct()
+    each = pieces.select("gram", "context", "doc", "many", "piece").mapInArrow(windows, "gram long, digest long, context long, doc long, many boolean, lo int")
+    owners = each.groupBy("gram", "digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("many").alias("several")).where("least < most or several")
+    hit = each.join(owners, ["gram", "digest"]).where("doc > least or many")
+    return hit.select("gram", "context", "doc", (F.col("doc") == F.col("least")).alias("own"), "lo", (F.col("lo") + LENGTH).alias("hi")).distinct()
 
 
 def phrase_spans(docs: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ A stretch is ``length`` consecutive units (bytes or words) of one text. Winnowin
 units, so that any two equal stretches hold an anchor at the same place. Everything that follows works on anchors:
 
 1. ``anchors``: each anchor with its context, the units that any stretch around it can reach, as two hashes.
-2. ``resolve``: anchors meet by gram hash. Equal contexts are settled there; a context that agrees with another one
-   on half of the units around the gram, as any two with a stretch in common must on one side, becomes a detail, to
-   be compared unit by unit. A gram with over ``HOT_GRAM`` details is hot.
-3. ``contexts``: fetches the details' texts.
-4. The operators compare details and add the spans they find; ``gather`` brings them back to the texts.
-
-Copies are settled in the task that reads them, one per batch goes on, so large groups of copies do not meet in one
+2. ``resolve``: anchors meet by gram hash and equal contexts of a gram become a class with one representative. A class
+   that stands in several places, or that agrees with another one on half of the units around the gram, as any two with
+   a stretch in common must on one side, becomes a detail. A gram with over ``HOT_GRAM`` details is hot.
+3. ``contexts``: fetches the texts of the details' representatives.
+4. The operators compare details unit by unit and tell which stretches of a class recur; ``find_spans`` brings them to
+   all members of the class, ``gather`` to the texts.
+
+Copies join their class in the task that reads them, one per batch goes on, so large groups of copies do not meet in one
 task. Repeated rows are copies of each other.
 """
 
@@ -35,10 +36,13 @@ BATCH_BYTES = 4 << 20
 #: Cuts a chunk of texts into units: (bytes, offsets) -> (a code for each unit, where each text's units begin).
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-SPAN, DETAIL, PARTNER = 0, 1, 2
+MEMBER, DETAIL = 0, 1
 
 ANCHOR_SCHEMA = "key long, gram long, context long, row long, doc long, lo int, hi int, at int, left int, right int, many boolean"
-RESOLVED_SCHEMA = "kind int, gram long, row long, doc long, lo int, hi int, at int, hot boolean"
+RESOLVED_SCHEMA = "kind int, gram long, context long, row long, doc long, lo int, hi int, at int, many boolean, hot boolean"
+PIECE_SCHEMA = "gram long, context long, row long, doc long, lo int, at int, many boolean, hot boolean, piece binary"
+#: What a comparison finds: units lo to hi of a class's context recur, for all its members or (own) those of larger docs.
+FOUND_SCHEMA = "gram long, context long, doc long, own boolean, lo int, hi int"
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -52,8 +56,8 @@ def _table(schema: list[tuple[str, pa.DataType]], columns: list[np.ndarray]) ->
 
 _ANCHOR = [("key", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()),
            ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("many", pa.bool_())]
-_RESOLVED = [("kind", pa.int32()), ("gram", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()),
-             ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("hot", pa.bool_())]
+_RESOLVED = [("kind", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()),
+             ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("many", pa.bool_()), ("hot", pa.bool_())]
 
 
 def text_anchors(codes: np.ndarray, begins: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -101,22 +105,14 @@ def anchors(rows: DataFrame, units: Units, length: int, gram: int, first_only: b
             order = np.lexsort((at, row, doc, context, grams))
             grams, context, row, doc, lo, hi, at, left, right = (x[order] for x in (grams, context, row, doc, lo, hi, at, left, right))
             new, size = _groups(grams, context)
-            if first_only:
-                covered = doc > np.repeat(doc[new], size)
-                onward = ~covered
-                many = np.zeros(len(grams), dtype=bool)
-            else:
-                many = np.repeat(size > 1, size)
-                covered = many
-                onward = np.zeros(len(grams), dtype=bool)
-                onward[new] = True
-            for mask, key in ((onward, grams), (covered, row)):  # settled spans travel by row, so that none is crowded
+            rep = np.zeros(len(grams), dtype=bool)
+            rep[new] = True
+            last = np.append(new[1:], len(grams)) - 1
+            many = np.repeat(doc[last] > doc[new] if first_only else size > 1, size)
+            for mask, key in ((rep, grams), (~rep, row)):  # other members travel by row, so that none is crowded
                 if mask.any():
-                    context_ = context[mask] if key is grams else np.zeros(mask.sum(), dtype=np.int64)
-                    lone = np.ones(mask.sum(), dtype=bool) if key is row else many[mask]
-                    kind = grams[mask] if key is grams else np.zeros(mask.sum(), dtype=np.int64)
                     at_ = at[mask] if key is grams else np.full(mask.sum(), -1)
-                    yield _table(_ANCHOR, [key[mask], kind, context_, row[mask], doc[mask], lo[mask], hi[mask], at_, left[mask], right[mask], lone])
+                    yield _table(_ANCHOR, [key[mask], grams[mask], context[mask], row[mask], doc[mask], lo[mask], hi[mask], at_, left[mask], right[mask], many[mask]])
 
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     return rows.select("row", order.alias("doc"), "text").mapInArrow(run, ANCHOR_SCHEMA)
@@ -136,7 +132,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def resolve(found: DataFrame, first_only: bool) -> DataFrame:
-    """Settled spans, and the details that are left to compare."""
+    """Members of the classes that recur or may do so in part, and one detail for each of these classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -145,43 +141,36 @@ def resolve(found: DataFrame, first_only: bool) -> DataFrame:
         table = pa.Table.from_batches(got)
         _, grams, context, row, doc, lo, hi, at, left, right, many = (c.to_numpy() for c in table.columns)
         settled = at < 0
+        never = np.zeros(len(grams), dtype=bool)
 
-        def out(mask: np.ndarray, kind: int, hot: np.ndarray | None = None) -> pa.RecordBatch:
-            n = int(mask.sum())
-            return _table(_RESOLVED, [np.full(n, kind), grams[mask], row[mask], doc[mask], lo[mask], hi[mask], at[mask], np.zeros(n, dtype=bool) if hot is None else hot[mask]])
+        def out(mask: np.ndarray, kind: int, many: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+            return _table(_RESOLVED, [np.full(int(mask.sum()), kind), *(x[mask] for x in (grams, context, row, doc, lo, hi, at, many, hot))])
 
-        yield out(settled, SPAN)
+        yield out(settled, MEMBER, never, never)
         order = np.lexsort((at, row, doc, context, grams))
         order = order[~settled[order]]
         if not len(order):
             return
         grams, context, row, doc, lo, hi, at, left, right, many = (x[order] for x in (grams, context, row, doc, lo, hi, at, left, right, many))
-        new, size = _groups(grams, context)  # classes: equal contexts of a gram
-        which = np.repeat(np.arange(len(new)), size)
-        gram_new, gram_size = _groups(grams[new])
+        new, size = _groups(grams, context)  # classes: equal contexts of a gram, the smallest doc first
+        last = np.append(new[1:], len(grams)) - 1
+        several = np.logical_or.reduceat(many, new) | (doc[last] > doc[new] if first_only else size > 1)
         live = np.zeros(len(new), dtype=bool)
         for side in (left, right):  # classes that agree with another one on this side of the gram
             by = np.lexsort((side[new], grams[new]))
             start, count = _groups(grams[new][by], side[new][by])
             live[by] |= np.repeat(count > 1, count)
-        if first_only:
-            low, high = (np.repeat(f.reduceat(doc, new[gram_new]), gram_size) for f in (np.minimum, np.maximum))
-            span = doc > doc[new][which]
-            detail = ~span & (live & (low < high))[which]
-            partner = np.zeros(len(grams), dtype=bool)
-        else:
-            repeated = (np.logical_or.reduceat(many, new) | (size > 1))[which]
-            first = np.zeros(len(grams), dtype=bool)
-            first[new] = True
-            span = repeated
-            detail = ~repeated & live[which]
-            partner = repeated & first & live[which]
-        total = np.diff(np.append(new[gram_new], len(grams)))
-        partner &= np.repeat(np.logical_or.reduceat(detail, new[gram_new]), total)
-        hot = np.repeat(np.add.reduceat((detail | partner).astype(np.int64), new[gram_new]) > HOT_GRAM, total)
-        for mask, kind in ((span, SPAN), (detail, DETAIL), (partner, PARTNER)):
-            if mask.any():
-                yield out(mask, kind, hot)
+        gram_new, gram_size = _groups(grams[new])
+        if first_only:  # within one document nothing goes
+            low, high = np.minimum.reduceat(doc[new], gram_new), np.maximum.reduceat(doc[last], gram_new)
+            live &= np.repeat((low < high) | np.logical_or.reduceat(several, gram_new), gram_size)
+        detail = several | live
+        hot = np.repeat(np.add.reduceat(detail.astype(np.int64), gram_new) > HOT_GRAM, gram_size)
+        mine = np.repeat(detail, size)
+        first = np.zeros(len(grams), dtype=bool)
+        first[new] = True
+        yield out(mine, MEMBER, mine, mine)
+        yield out(mine & first, DETAIL, np.repeat(several, size), np.repeat(hot, size))
 
     return found.repartition("key").mapInArrow(run, RESOLVED_SCHEMA)
 
@@ -204,15 +193,16 @@ def unpack(packed: bytes) -> bytes:
 
 def contexts(rows: DataFrame, details: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
     """The details with the bytes of their contexts; ``cut`` gives the bytes of units lo to hi of a text."""
-    wanted = details.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "at", "gram", "doc", "kind", "hot"))).alias("cuts"))
+    names = ("lo", "hi", "at", "gram", "context", "doc", "many", "hot")
+    wanted = details.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("cuts"))
     # rows of one doc_id and text are one document
-    texts = _packed(rows).join(wanted, "row").select("row", "packed", "cuts")
+    texts = _packed(rows).dropDuplicates(["row"]).join(wanted, "row").select("row", "packed", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, packed, cuts = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
             offsets = cuts.offsets.to_numpy()
-            lo, hi, at, gram, doc, kind, hot = (x.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for x in cuts.values.flatten())
+            lo, hi, at, gram, context, doc, many, hot = (x.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for x in cuts.values.flatten())
             offsets = offsets - offsets[0]
             pieces: list[bytes] = []
             done = size = 0
@@ -223,14 +213,28 @@ def contexts(rows: DataFrame, details: DataFrame, cut: Callable[[bytes, np.ndarr
                 if size > BATCH_BYTES or i + 1 == len(keys):
                     s = slice(offsets[done], offsets[i + 1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram[s]), pa.array(np.repeat(keys[done : i + 1], np.diff(offsets[done : i + 2]))), pa.array(doc[s]),
-                         pa.array(lo[s]), pa.array(at[s]), pa.array(kind[s] == PARTNER), pa.array(hot[s]), pa.array(pieces, type=pa.binary())],
-                        names=["gram", "row", "doc", "lo", "at", "many", "hot", "piece"],
+                        [pa.array(gram[s]), pa.array(context[s]), pa.array(np.repeat(keys[done : i + 1], np.diff(offsets[done : i + 2]))), pa.array(doc[s]),
+                         pa.array(lo[s]), pa.array(at[s]), pa.array(many[s]), pa.array(hot[s]), pa.array(pieces, type=pa.binary())],
+                        names=["gram", "context", "row", "doc", "lo", "at", "many", "hot", "piece"],
                     )
                     pieces, done, size = [], i + 1, 0
 
-    schema = "gram long, row long, doc long, lo int, at int, many boolean, hot boolean, piece binary"
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, PIECE_SCHEMA)
+
+
+def found_spans(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, piece: np.ndarray, start: np.ndarray, own: np.ndarray, length: int) -> pa.RecordBatch:
+    """Rows of FOUND_SCHEMA: windows of one piece that follow each other closely become one."""
+    order = np.lexsort((start, own, piece))
+    piece, start, own = piece[order], start[order], own[order]
+    new = np.ones(len(piece), dtype=bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (own[1:] != own[:-1]) | (start[1:] > start[:-1] + length)
+    new = np.flatnonzero(new)
+    last = np.append(new[1:], len(piece)) - 1
+    which = piece[new]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram[which]), pa.array(context[which]), pa.array(doc[which]), pa.array(own[new]), pa.array(start[new], type=pa.int32()), pa.array(start[last] + length, type=pa.int32())],
+        names=["gram", "context", "doc", "own", "lo", "hi"],
+    )
 
 
 def whole_grams(pieces: pa.Table, most: int) -> Iterator[pa.Table]:
@@ -258,11 +262,9 @@ def find_spans(
     """row and spans (lo, hi), in order, of every text in which something was found."""
     rows = with_row(docs)
     resolved = keep(resolve(anchors(rows, units, length, gram, first_only), first_only))
-    details = resolved.where(F.col("kind") != SPAN)
-    pieces = keep(contexts(rows, details, cut))
-    spans = (
-        resolved.where(F.col("kind") == SPAN).select("row", "lo", "hi")
-        .unionByName(compare(pieces.where("not hot")))
-        .unionByName(compare_hot(pieces.where("hot")))
-    )
-    return spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    pieces = keep(contexts(rows, resolved.where(F.col("kind") == DETAIL), cut))
+    found = compare(pieces.where("not hot")).unionByName(compare_hot(pieces.where("hot")))
+    members = resolved.where(F.col("kind") == MEMBER).select("gram", "context", "row", F.col("doc").alias("mine"), F.col("lo").alias("first"))
+    hit = members.join(found, ["gram", "context"]).where(~F.col("own") | (F.col("mine") > F.col("doc")))
+    spans = hit.select("row", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("span"))
+    return spans.groupBy("row").agg(F.sort_array(F.collect_set("span")).alias("spans"))

@@ -1,10 +1,10 @@
 """Substring dedup on bytes: shard Burrows-Wheeler transforms merged by iterative interleave refinement.
 
 Every byte that lies in a string of ``LENGTH`` bytes which also starts elsewhere, in any document, is removed.
-``repeats`` settles equal contexts of equal anchors. The details, contexts that agree around an anchor but not
-everywhere, are compared here: they are narrowed by hashing longer and longer cores around the anchor, which drops
-those that no other detail can match; what is left is written as short strings with the core as one letter, split
-into shards, and each shard's Burrows-Wheeler transform is built. The transforms are merged by refining the
+``repeats`` gives one representative for each class of equal contexts of an anchor. They are compared here: longer and
+longer cores around the anchor are hashed, and those that no other context can match and that stand in one place only
+are left out; what is left is written as short strings with the core as one letter, split into shards, and each
+shard's Burrows-Wheeler transform is built. The transforms are merged by refining the
 interleave of the shards, one letter a step: a stable counting pass moves every suffix behind the letter that
 precedes it. Suffixes that are not told apart after as many steps as a string has letters share it, so common
 prefixes and repeated intervals come out of the steps, and no suffix of the merged text is sorted again. Grams with
@@ -105,7 +105,7 @@ def _narrowed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarr
         size, left = size + more, left - more
         core = span_hash(prefix, start, start + size)
         _, which, count = np.unique(core, return_inverse=True, return_counts=True)
-        shared = count[which] > 1
+        shared = (count[which] > 1) | many[context]
         context, start = context[shared], start[shared]
     core = span_hash(prefix, start, start + size)
     return context, start, core, size, left
@@ -184,19 +184,6 @@ def repeated_windows(pieces: list[bytes], at: np.ndarray, origin: np.ndarray, ma
     return np.concatenate(found_piece), np.concatenate(found_start)
 
 
-def _spans(row: np.ndarray, lo: np.ndarray, length: int) -> pa.RecordBatch:
-    """Unites starts of windows of one text that follow each other closely."""
-    order = np.lexsort((lo, row))
-    row, lo = row[order], lo[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (lo[1:] > lo[:-1] + length)
-    new = np.flatnonzero(new)
-    last = np.append(new[1:], len(row)) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(row[new], type=pa.int64()), pa.array(lo[new], type=pa.int32()), pa.array(lo[last] + length, type=pa.int32())], names=["row", "lo", "hi"]
-    )
-
-
 def compare(pieces: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -205,14 +192,14 @@ def compare(pieces: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
         all_ = pa.Table.from_batches(got)
         all_ = all_.take(pa.array(np.argsort(all_.column("gram").to_numpy(), kind="stable")))
         for part in repeats.whole_grams(all_, SHARD_CONTEXTS):
-            row, lo, at, many = (part.column(n).to_numpy() for n in ("row", "lo", "at", "many"))
+            grams, context, row, doc, lo, at, many = (part.column(n).to_numpy() for n in ("gram", "context", "row", "doc", "lo", "at", "many"))
             _, number = np.unique(row, return_inverse=True)
             origin = number.astype(np.int64) * (1 << 32) + lo
             piece, start = repeated_windows(part.column("piece").to_pylist(), (at - lo).astype(np.int64), origin, many, length, gram)
             if len(piece):
-                yield _spans(row[piece], lo[piece] + start, length)
+                yield repeats.found_spans(grams, context, doc, piece, start, np.zeros(len(piece), dtype=bool), length)
 
-    return pieces.select("gram", "row", "lo", "at", "many", "piece").repartition("gram").mapInArrow(run, "row long, lo int, hi int")
+    return pieces.select("gram", "context", "row", "doc", "lo", "at", "many", "piece").repartition("gram").mapInArrow(run, repeats.FOUND_SCHEMA)
 
 
 def compare_hot(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -220,23 +207,25 @@ def compare_hot(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(pc.binary_length(batch.column(4)).to_numpy())
-            data = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8)
+            ends = np.cumsum(pc.binary_length(batch.column(6)).to_numpy())
+            data = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8)
             for i in range(0, len(ends), 1000):
                 j = min(i + 1000, len(ends))
                 base = ends[i - 1] if i else 0
                 digest, bounds = gram_hashes(byte_codes(data[base : ends[j - 1]]), np.concatenate([[0], ends[i:j] - base]), length)
-                gram, row, lo, many = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False)[i:j], np.diff(bounds)) for k in range(4))
-                lo = lo + np.arange(len(lo)) - np.repeat(bounds[:-1], np.diff(bounds))
+                gram, context, row, doc, first, many = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False)[i:j], np.diff(bounds)) for k in range(6))
+                lo = np.arange(len(row)) - np.repeat(bounds[:-1], np.diff(bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(digest.view(np.int64)), pa.array(row), pa.array(lo.astype(np.int32)), pa.array(many)],
-                    names=["gram", "digest", "row", "lo", "many"],
+                    [pa.array(gram), pa.array(digest.view(np.int64)), pa.array(context), pa.array(row), pa.array(doc), pa.array((first + lo).astype(np.int32)), pa.array(many), pa.array(lo.astype(np.int32))],
+                    names=["gram", "digest", "context", "row", "doc", "place", "many", "lo"],
                 )
 
-    each = pieces.select("gram", "row", "lo", "many", "piece").mapInArrow(windows, "gram long, digest long, row long, lo int, many boolean")
-    place = F.struct("row", "lo")
+    each = pieces.select("gram", "context", "row", "doc", "lo", "many", "piece").mapInArrow(
+        windows, "gram long, digest long, context long, row long, doc long, place int, many boolean, lo int"
+    )
+    place = F.struct("row", "place")
     twice = each.groupBy("gram", "digest").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many")).where("many or a <> b")
-    return each.drop("many").join(twice, ["gram", "digest"]).select("row", "lo", (F.col("lo") + length).alias("hi")).distinct()
+    return each.drop("many").join(twice, ["gram", "digest"]).select("gram", "context", "doc", F.lit(False).alias("own"), "lo", (F.col("lo") + length).alias("hi")).distinct()
 
 
 def repeat_spans(docs: DataFrame) -> DataFrame:
