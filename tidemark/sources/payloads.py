@@ -32,6 +32,21 @@ def export_csv(items: DataFrame, path: str) -> None:
     items.orderBy(F.col("published_at").desc_nulls_last(), "item_id").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_reviews(reviews: DataFrame, path: str) -> None:
+    """Review rows as CSV with a header, quotes doubled, line breaks kept within quotes."""
+    reviews.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_reviews(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Review rows of a CSV; columns are found by the header, values that don't fit their type are null."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("enforceSchema", False).csv(path)
+
+
+def append_log(events: DataFrame, path: str) -> None:
+    """An event log: one line of JSON for each event, appended."""
+    events.write.mode("append").json(path)
+
+
 def _epoch(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
