@@ -59,6 +59,27 @@ def runs(hashes: np.ndarray, n: int = RUN) -> np.ndarray:
     return span_hash(prefix_hash(hashes), at, at + n)
 
 
+class Postings:
+    """Posting lists by (term, group) in a few arrays: entries, shares and the largest share of each block."""
+
+    def __init__(self, key: np.ndarray, groups: int, spot: np.ndarray, share: np.ndarray):
+        self.groups, self.spot, self.share = groups, spot.astype(np.int32), share
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.keys, self.starts = key[start], np.append(start, len(key))
+        inside = np.arange(len(key)) - np.repeat(start, np.diff(self.starts))
+        block = np.flatnonzero(inside % BLOCK == 0)
+        self.tops = np.maximum.reduceat(share, block) if len(block) else share
+        self.top_starts = np.searchsorted(block, self.starts)
+
+    def get(self, wanted: tuple[int, int], default=None):
+        key = wanted[0] * self.groups + wanted[1]
+        i = int(np.searchsorted(self.keys, key))
+        if i == len(self.keys) or self.keys[i] != key:
+            return default
+        a, b = self.starts[i], self.starts[i + 1]
+        return self.spot[a:b].tolist(), self.share[a:b].tolist(), self.tops[self.top_starts[i] : self.top_starts[i + 1]].tolist()
+
+
 class ItemIndex:
     """An inverted index of test items, with impacts by block, and what is needed to confirm an item."""
 
@@ -83,42 +104,34 @@ class ItemIndex:
         self._post(entries)
 
     def _post(self, entries: list[tuple[int, np.ndarray]]) -> None:
-        seen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for e, (_, own) in enumerate(entries):
-            for term, tf in zip(*np.unique(own, return_counts=True)):
-                seen[int(term)].append((e, int(tf)))
-        mean = np.mean([len(own) for _, own in entries]) if entries else 1.0
-        self.vocabulary = np.array(sorted(seen), dtype=np.uint64)
-        impacts, whole = [], np.zeros(len(entries))
-        for term in self.vocabulary.tolist():
-            at, tf = (np.array(x) for x in zip(*seen[term]))
-            size = np.array([len(entries[e][1]) for e in at])
-            idf = np.log(1 + (len(entries) - len(at) + 0.5) / (len(at) + 0.5))
-            impacts.append((at, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))))
-            whole[at] += impacts[-1][1]
+        sizes = np.array([len(own) for _, own in entries], dtype=np.int64)
+        terms = np.concatenate([own for _, own in entries]) if entries else np.zeros(0, dtype=np.uint64)
+        self.vocabulary, term = np.unique(terms, return_inverse=True)
+        n_terms, n = max(len(self.vocabulary), 1), len(entries)
+        # one row per entry and term that it holds, with how often
+        pairs, tf = np.unique(np.repeat(np.arange(n), sizes) * n_terms + term, return_counts=True)
+        at, term = np.divmod(pairs, n_terms)
+        holders = np.bincount(term, minlength=n_terms)[term]
+        mean = sizes.mean() if n else 1.0
+        impact = np.log(1 + (n - holders + 0.5) / (holders + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[at] / mean))
+        whole = np.bincount(at, weights=impact, minlength=n)
         order = np.argsort(whole, kind="stable")
-        place = np.empty(len(entries), dtype=np.int64)
-        place[order] = np.arange(len(entries))
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
         self.owner = [entries[e][0] for e in order]
-        self.group_ends = [int(x[-1]) + 1 for x in np.array_split(np.arange(len(entries)), GROUPS) if len(x)]
+        self.group_ends = [int(x[-1]) + 1 for x in np.array_split(np.arange(n), GROUPS) if len(x)]
+        spot, share = place[at], impact / whole[at] if n else impact
+        by = np.lexsort((spot, term))
+        spot, share, term = spot[by], share[by], term[by]
+        group = np.searchsorted(self.group_ends, spot, side="right")
+        self.postings = Postings(term * max(len(self.group_ends), 1) + group, max(len(self.group_ends), 1), spot, share)
         self.most = np.zeros((len(self.vocabulary), len(self.group_ends)), dtype=np.float32)
-        #: by (term, group): entries, shares and the largest share of each block
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float], list[float]]] = {}
-        for term, (at, impact) in enumerate(impacts):
-            spot, share = place[at], impact / whole[at]
-            up = np.argsort(spot)
-            spot, share = spot[up], share[up]
-            cuts = np.searchsorted(spot, [0, *self.group_ends])
-            for g, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if j > i:
-                    tops = [float(share[k : min(k + BLOCK, j)].max()) for k in range(i, j, BLOCK)]
-                    self.postings[term, g] = spot[i:j].tolist(), share[i:j].tolist(), tops
-                    self.most[term, g] = max(tops)
+        np.maximum.at(self.most, (term, group), share.astype(np.float32))
 
     def search(self, terms: np.ndarray, group: int, threshold: float) -> list[tuple[int, float]]:
         """All entries of a group whose score for these terms reaches the threshold, by block-max WAND."""
         end = len(self.owner)
-        lists = [[0, *self.postings[t, group], float(self.most[t, group])] for t in terms.tolist() if (t, group) in self.postings]
+        lists = [[0, *found, max(found[2])] for t in terms.tolist() if (found := self.postings.get((t, group)))]
         here = lambda x: x[1][x[0]] if x[0] < len(x[1]) else end
         found = []
         while True:
