@@ -60,6 +60,25 @@ _RESOLVED = [("kind", pa.int32()), ("gram", pa.int64()), ("context", pa.int64())
              ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("many", pa.bool_()), ("hot", pa.bool_())]
 
 
+def _lesser(at: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the nearest one before and the nearest one after it, less than ``width`` away, whose value is
+    less; far off where there is none."""
+    n, sides = len(at), []
+    for step in (-1, 1):
+        near = np.full(n, step * (1 << 60))
+        open_, other = np.arange(n), np.arange(n) + step
+        while len(open_):
+            fits = (other >= 0) & (other < n)
+            open_, other = open_[fits], other[fits]
+            fits = np.abs(at[other] - at[open_]) < width
+            open_, other = open_[fits], other[fits]
+            less = value[other] < value[open_]
+            near[open_[less]] = at[other[less]]
+            open_, other = open_[~less], other[~less] + step
+        sides.append(near)
+    return sides[0], sides[1]
+
+
 def text_anchors(codes: np.ndarray, begins: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For all anchors of a chunk: text, gram hash, context hash, lo, hi, at (units from the text's first), and short
     hashes of the units left and right of the gram: a stretch takes in all of the one or of the other."""
@@ -76,8 +95,10 @@ def text_anchors(codes: np.ndarray, begins: np.ndarray, length: int, gram: int)
     text = np.searchsorted(begins, at, side="right") - 1
     good = (np.diff(begins)[text] >= length) & (hashes[at] != top)
     at, text = at[good], text[good]
-    lo = np.maximum(at - (length - gram), begins[text])
-    hi = np.minimum(at + length, begins[text + 1])
+    # a stretch belongs to the anchors that are its least grams, so a context ends before a lesser gram is whole
+    before, after = _lesser(at, hashes[at], length - gram + 1)
+    lo = np.maximum(np.maximum(at - (length - gram), before + 1), begins[text])
+    hi = np.minimum(np.minimum(at + length, after + gram - 1), begins[text + 1])
     context = span_hash(prefix, lo, hi) ^ ((at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     first = begins[text]
     beside = (length - gram) // 2
