@@ -34,9 +34,10 @@ LENGTH = 200
 GRAM = 100
 #: Contexts that are compared at once, but for a single gram with more.
 SHARD_CONTEXTS = 8_000
-#: Shards whose transforms are merged at once, and letters in one merge.
-SHARDS = 8
-MERGE_LETTERS = 2_000_000
+#: Shards whose transforms are merged at once, at least, and letters of one shard and of one merge.
+SHARDS = 4
+SHARD_LETTERS = 1 << 16
+MERGE_LETTERS = 250_000
 #: Times that cores are lengthened by half of what is left of a string.
 NARROWINGS = 3
 
@@ -56,15 +57,18 @@ def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
 def shard_transform(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of the rotations of equally long, distinct strings: letters and rotation numbers."""
     m, size = strings.shape
-    rank = strings.astype(np.int64)
+    rank = strings.astype(np.uint16 if m * size <= SHARD_LETTERS else np.int64)
     step = 1
     while True:
-        key = (rank * (rank.max() + 1) + np.roll(rank, -step, axis=1)).ravel()
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        flat = np.empty(m * size, dtype=np.int64)
-        flat[order] = new
-        rank, step = flat.reshape(m, size), step * 2
+        # by what stands a step further on, then by what stands here: numbers of 16 bits are sorted by counting
+        flat, after = rank.ravel(), np.roll(rank, -step, axis=1).ravel()
+        order = np.argsort(after, kind="stable")
+        order = order[np.argsort(flat[order], kind="stable")]
+        a, b = flat[order], after[order]
+        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+        numbers = np.empty(m * size, dtype=rank.dtype)
+        numbers[order] = new
+        rank, step = numbers.reshape(m, size), step * 2
         if step >= size or new[-1] + 1 == m * size:
             return np.roll(strings, 1, axis=1).ravel()[order], order
 
@@ -159,7 +163,8 @@ def repeated_windows(pieces: list[bytes], at: np.ndarray, origin: np.ndarray, ma
         np.maximum.at(high, which, here)
         multiple = low != high
         np.logical_or.at(multiple, which, many[c])
-        parts = [x for x in np.array_split(np.arange(len(table_)), min(shards, len(table_))) if len(x)]
+        most = max(shards, -(-len(table_) * width // (SHARD_LETTERS - width)))
+        parts = [x for x in np.array_split(np.arange(len(table_)), min(most, len(table_))) if len(x)]
         entry, block = merge_transforms([shard_transform(table_[x]) for x in parts], left + 4)
         row, offset = np.divmod(entry, width)
         inside = offset <= left
