@@ -66,3 +66,49 @@ def highlight(best: Column, mean: Column, sources: Column, norm: float = 5.0, sh
     """Cluster score from its items' best and mean score and its number of sources; null without scores."""
     n = F.greatest(sources, F.lit(1))
     return (0.6 * best + 0.4 * mean) * F.log1p(n.cast("double")) / F.log1p(F.lit(norm)) * n / (n + shrink)
+
+
+def relevance(hits: Column, engagement_: Column) -> Column:
+    """Ten for each keyword found and twice the logarithm of the engagement."""
+    return F.round(hits * 10 + F.log1p(engagement_.cast("double")) * 2, 2)
+
+
+#: What counts as engagement, by platform: names in a map of metrics with their weights. Fixed values.
+ENGAGEMENT = {
+    "twitter": {"likes": 1, "retweets": 2},
+    "bilibili": {"likes": 1, "coins": 3, "favorites": 2},
+    "xiaohongshu": {"likes": 1, "collects": 2},
+}
+#: Platforms with one metric, under either of two names. Fixed values.
+EITHER = {"reddit": ("score", "score"), "github": ("stars", "stargazers_count"), "hackernews": ("score", "points")}
+
+
+def engagement(platform: Column, metrics: Column) -> Column:
+    """One number of a map of metrics; platforms without a rule add up all that is positive."""
+    at = lambda k: F.coalesce(F.element_at(metrics, F.lit(k)), F.lit(0.0))
+    out = F.when(metrics.isNull(), 0.0)
+    for name, weights in ENGAGEMENT.items():
+        out = out.when(platform == name, sum((w * at(k) for k, w in weights.items()), F.lit(0.0)))
+    for name, (first, second) in EITHER.items():
+        out = out.when(platform == name, F.when(at(first) != 0, at(first)).otherwise(at(second)))
+    return out.otherwise(F.aggregate(F.map_values(metrics), F.lit(0.0), lambda s, v: s + F.greatest(v, F.lit(0.0))))
+
+
+def time_factor(hours: Column, half_life: Column) -> Column:
+    """Halves with every half-life, an hour at least; 1 for items without a time."""
+    return F.coalesce(F.round(F.pow(F.lit(0.5), hours / F.greatest(half_life, F.lit(1.0))), 4), F.lit(1.0))
+
+
+def item_verdict(relevant: Column, spam: Column, credibility: Column, importance: Column, values: dict[str, Column], borderline: Column, exclude_at: int = 3) -> Column:
+    """featured, review or drop: by a strong value that is no borderline case, or three middling ones."""
+    strong = F.lit(False)
+    for name, v in values.items():
+        strong = strong | ((v == 3) & ~F.array_contains(borderline, name))
+    path = strong | (sum(((v >= 2).cast("int") for v in values.values()), F.lit(0)) >= 3)
+    flat = importance == 1
+    for name in ("substance", "actionability", "novelty"):
+        flat = flat & (values[name] == 1)
+    return (
+        F.when((relevant == "no") | (spam >= exclude_at), "drop").when(path & (credibility >= 2), "featured")
+        .when(flat | ((credibility == 1) & ~path), "drop").otherwise("review")
+    )

@@ -57,3 +57,26 @@ def html_body(html: Column) -> Column:
     """Visible text of an HTML page: scripts, styles, navigation and tags out, blanks run together."""
     out = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)\b.*?</\1>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def bold_spans(text: Column) -> Column:
+    """How many stretches of a line are set between double asterisks."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\*\*[^*\n]+\*\*"), F.lit(0)))
+
+
+def mostly_chinese(text: Column, share: float = 0.85) -> Column:
+    """More than a share of the letters and digits are CJK characters."""
+    solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", "")
+    cjk = F.length(solid) - F.length(F.regexp_replace(solid, r"[\x{4e00}-\x{9fff}]", ""))
+    return (F.length(solid) > 0) & (cjk > share * F.length(solid))
+
+
+def clean_title(text: Column) -> Column:
+    """A title without the bracketed words before it."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^(\s*(\[[^\]]*\]|【[^】]*】))+", ""))
+
+
+def steps(text: Column) -> Column:
+    """The lines of a list without bullets and numbers, blanks run together, each once and in order."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s*([-*•]|\d+[.)、])\s*", ""))
+    return F.array_distinct(F.filter(F.transform(bare, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))

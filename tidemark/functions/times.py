@@ -41,3 +41,15 @@ def local_day(ts: Column, hours_ahead: int = 8) -> Column:
 
 def freshness_level(hours: Column) -> Column:
     return F.when(hours >= 72, "crit").when(hours >= 24, "warn").otherwise("ok")
+
+
+def day_windows(since: Column, until: Column, days: int) -> Column:
+    """Windows (start, end) from ``until`` back to ``since``, the newest first, cut at midnight every so many days."""
+    midnight = F.date_trunc("day", until).cast("timestamp_ntz")
+    step = F.make_dt_interval(F.lit(days))
+    first = F.when(midnight == until, until - step).otherwise(midnight - F.make_dt_interval(F.lit(days - 1)))
+    later = F.when(first > since, F.sequence(first, since, F.make_dt_interval(F.lit(-days)))).otherwise(F.array().cast("array<timestamp_ntz>"))
+    inner = F.filter(later, lambda t: (t > since) & (t < until))
+    edges = F.concat(F.array(until), inner, F.array(since))
+    pairs = F.zip_with(F.slice(edges, F.lit(2), F.size(edges) - 1), F.slice(edges, F.lit(1), F.size(edges) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return F.when(since < until, pairs).otherwise(F.slice(pairs, F.lit(1), F.lit(0)))

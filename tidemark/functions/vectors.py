@@ -19,3 +19,11 @@ def cosine(a: Column, b: Column) -> Column:
     size = norm(a) * norm(b)
     return F.when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
+
+
+def normalised(a: Column, digits: int | None = None) -> Column:
+    """The vector with length one; a zero vector stays."""
+    size = norm(a)
+    scale = F.when(size == 0, 1.0).otherwise(size)
+    part = lambda x: x.cast("double") / scale
+    return F.transform(a, part if digits is None else lambda x: F.round(part(x), digits))
