@@ -402,6 +402,21 @@ def test_clashing_columns_nulls_and_repeated_rows(spark):
     assert {k: counts[k] for k in ("lm", "mix", "rules", "bytes", "clean", "toxic", "links", "phrases")} == dict.fromkeys(("lm", "mix", "rules", "bytes", "clean", "toxic", "links", "phrases"), 6)
 
 
+def test_batches_without_anchors(spark, tmp_path):
+    """Partitions in which no text is as long as a stretch: short, null and empty ones, alone and beside long texts."""
+    long = " ".join(f"word{i}" for i in range(50))
+    short = [(i, "a b c d e", "en", "s", 9) for i in range(3)]
+    cases = {"short": short, "null": [(i, None, "en", "s", 0) for i in range(2)], "both": [*short, (7, "", "en", "s", 0), (8, long, "en", "s", 1), (9, long, "en", "s", 1)]}
+    for name, rows in cases.items():
+        for parts in {1, len(rows)}:
+            at = f"{tmp_path}/{name}-{parts}"
+            spark.createDataFrame(rows, SCHEMA).repartition(parts).write.parquet(f"{at}/documents.parquet")
+            found = {query: [r.n_removed for r in query(spark, at).orderBy("doc_id").collect()] for query in (phrase_dedup.op10_phrase_dedup, suffix_dedup.op5_suffix_dedup)}
+            none = [0] * len(short + [1])
+            assert found[phrase_dedup.op10_phrase_dedup] == ([*none, 0, 50] if name == "both" else [0] * len(rows))
+            assert found[suffix_dedup.op5_suffix_dedup] == ([*none, len(long), len(long)] if name == "both" else [0] * len(rows))
+
+
 CLASHES = ("row", "_row", "__row", "_spans", "spans", "node", "n", "size", "label", "block", "vector", "keys", "packed", "_kept", "bucket", "times", "_i", "h", "key", "host", "_host", "verdict", "ROW")
 
 

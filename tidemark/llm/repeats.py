@@ -122,6 +122,8 @@ def anchors(rows: DataFrame, units: Units, length: int, gram: int, first_only: b
             if not parts:
                 continue
             text, grams, context, lo, hi, at, left, right = (np.concatenate(x) for x in zip(*parts))
+            if not len(grams):  # texts shorter than a stretch have no anchor
+                continue
             row, doc, grams, context = row[text], doc[text], grams.view(np.int64), context.view(np.int64)
             order = np.lexsort((at, row, doc, context, grams))
             grams, context, row, doc, lo, hi, at, left, right = (x[order] for x in (grams, context, row, doc, lo, hi, at, left, right))
