@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
+from ..sources.kept import discard, keep
+from . import cells
 
 STRONG, GRAY, SHADOW = 0.75, 0.70, 0.65
 CANDIDATE, DIAMETER, MOST_MEMBERS = 0.60, 0.55, 50
 TAU_HOURS = 24.0
-#: Rows of the query side that meet all stored vectors at a time.
-QUERY_BLOCK = 2048
 
 
 def band(cosine: Column, shares_entity: Column | None = None) -> Column:
@@ -25,34 +23,14 @@ def band(cosine: Column, shares_entity: Column | None = None) -> Column:
 
 
 def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """All pairs (a < b) of unit vectors with a cosine of at least ``least``; the stored side is met block by block.
-
-    Every task holds its own vectors and reads each block of the others, which Spark serves as one row of packed
-    vectors, so work is the square that an exact search needs while memory is one block.
-    """
-    units = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.lit(vectors.count()) / QUERY_BLOCK))
-    packed = units.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    left, right = packed.select(F.col("block").alias("p"), F.col("rows").alias("x")), packed.select(F.col("block").alias("q"), F.col("rows").alias("y"))
-
-    def scaled(rows: list) -> np.ndarray:
-        v = np.array([r["v"] for r in rows], dtype=np.float64)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x, y in zip(batch["x"], batch["y"]):
-                a, b = np.array([r["id"] for r in x]), np.array([r["id"] for r in y])
-                cos = scaled(x) @ scaled(y).T
-                i, j = np.nonzero(cos >= least - 1e-9)
-                out = pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cosine": cos[i, j]})
-                yield out[out["a"] < out["b"]].drop_duplicates(["a", "b"])
-
-    return left.join(right, F.col("p") <= F.col("q")).select("x", "y").mapInPandas(run, "a long, b long, cosine double")
+    """All pairs (a < b) of vectors with a cosine of at least ``least``, from an index of cells that skips what is out of reach."""
+    found = cells.pairs(vectors, cells.build(vectors, key, vector), least, key, vector)
+    return found.where("q < s").select(F.col("q").alias("a"), F.col("s").alias("b"), "cosine")
 
 
 def top_k(queries: DataFrame, stored: DataFrame, k: int, least: float) -> DataFrame:
-    """For each query (q, qv) the k stored vectors (s, sv) with the largest cosine, ties by s."""
+    """For each query (q, qv) the k stored vectors (s, sv) with the largest cosine, ties by s: every query meets every stored
+    vector. ``cells.top_k`` gives the same rows from an index."""
     # lengths are taken once per vector, before the join
     queries, stored = queries.withColumn("qn", norm(F.col("qv"))), stored.withColumn("sn", norm(F.col("sv")))
     scored = queries.join(stored).select("q", "s", F.try_divide(dot(F.col("qv"), F.col("sv")), F.col("qn") * F.col("sn")).alias("cosine")).where(F.col("cosine") >= least)
@@ -61,21 +39,20 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int, least: float) -> DataFr
 
 
 def connected(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
-    """Every node with the smallest node it is connected with: minimum labels spread and jump until nothing changes."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
-    labels = nodes.select(F.col(node).alias("id"), F.col(node).alias("label"))
-    spark = edges.sparkSession
+    """Every node with the smallest node it is connected with: minimum labels spread and jump until nothing changes. Each
+    round is a table in the shared folder, so lineage does not double and lost executors lose nothing."""
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = kept = keep(nodes.select(F.col(node).alias("id"), F.col(node).alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
+        near = both.join(labels, both.a == labels.id).groupBy("b").agg(F.min("label").alias("m"))
+        step = labels.join(near, labels.id == near.b, "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        out = step.join(jump, "new").select("id", F.col("label").alias("old"), F.least("new", "far").alias("label"))
-        # the checkpoint folder is the cluster's; lineage would double every round
-        out = out.checkpoint() if spark.sparkContext.getCheckpointDir() else out.persist()
+        out = keep(step.join(jump, "new").select("id", F.col("label").alias("old"), F.least("new", "far").alias("label")))
         changed = not out.where("old <> label").isEmpty()
-        labels = out.select("id", "label")
+        discard(kept)
+        labels, kept = out.select("id", "label"), out
         if not changed:
-            both.unpersist()
+            discard(both)
             return labels
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import times, vectors
-from ..operators import events, merges
+from ..operators import cells, merges
 from ..sources import payloads
 from .content import _COS
 from .registry import query, read
@@ -17,9 +17,8 @@ SELECT a.vec_id AS q, b.vec_id AS s, round({_COS}, 6) AS cosine FROM embeddings
 WHERE {_COS} >= 0.2 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) <= 5""")
 def topk_recall_whole(spark, sf_dir):
     vec = read(spark, sf_dir, "embeddings")
-    q = vec.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    s = vec.select(F.col("vec_id").alias("s"), F.col("embedding").alias("sv"))
-    return events.top_k(q, s, 5, 0.2).select("q", "s", F.round("cosine", 6).alias("cosine"))
+    index = cells.build(vec, "vec_id", "embedding")
+    return cells.top_k(vec.where("vec_id % 20 = 0"), index, 5, 0.2, "vec_id", "embedding").select("q", "s", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"""
