@@ -20,10 +20,10 @@ Null texts have no words. Null doc_ids are written as nothing. Repeated rows cou
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,55 +126,88 @@ def merged(lists: list[list[int]], need: int) -> list[int]:
     """The numbers that stand in at least ``need`` of the sorted lists, a heap merging all but the ``need - 1`` longest."""
     if len(lists) < need:
         return []
-    lists = sorted(lists, key=len)
-    short, long = lists[: len(lists) - need + 1], lists[len(lists) - need + 1 :]
-    found, last, count = [], -1, 0
-
-    def settle() -> None:
-        got = count
-        for left, other in enumerate(reversed(long)):
-            if got >= need or got + len(long) - left < need:
-                break
-            i = bisect_left(other, last)
-            got += i < len(other) and other[i] == last
-        if got >= need:
+    lists.sort(key=len)
+    short, long = lists[: len(lists) - need + 1], lists[: len(lists) - need : -1]
+    found, last, count, most = [], -1, 0, len(long)
+    stream = heapq.merge(*short) if len(short) > 1 else iter(short[0])
+    for x in itertools.chain(stream, (-1,)):
+        if x == last:
+            count += 1
+            continue
+        if count >= need:
             found.append(last)
-
-    for x in heapq.merge(*short) if len(short) > 1 else short[0]:
-        if x != last:
-            if count:
-                settle()
-            last, count = x, 0
-        count += 1
-    if count:
-        settle()
+        elif count:
+            left = most
+            for other in long:  # from the longest on
+                i = bisect_left(other, last)
+                if i < len(other) and other[i] == last:
+                    count += 1
+                    if count == need:
+                        found.append(last)
+                        break
+                left -= 1
+                if count + left < need:
+                    break
+        last, count = x, 1
     return found
 
 
 class Block:
-    """Words of one length under one key, indexed by all their positional grams once something probes them."""
+    """Words of one length under one key, indexed by all their positional grams once something probes them.
+
+    The key's gram stands at ``at`` in all of them. One edit lies on one side of it, so near words agree on the other side:
+    a look at that comes before they are compared letter by letter.
+    """
 
-    def __init__(self, size: int, q: int) -> None:
-        self.size, self.q, self.need = size, q, size - 2 * q + 1
+    def __init__(self, at: int, size: int, q: int) -> None:
+        self.at, self.end, self.q, self.places, self.need = at, at + q, q, size - q + 1, size - 2 * q + 1
         self.words: list[str] = []
-        self.index: dict[tuple[str, int], list[int]] | None = None
+        self.index: list[dict[str, list[int]]] = []
+
+    def _build(self) -> None:
+        self.index = [{} for _ in range(self.places)]
+        for i, w in enumerate(self.words):
+            for p, at in enumerate(self.index):
+                at.setdefault(w[p : p + self.q], []).append(i)
 
     def probe(self, word: str, own: bool) -> list[tuple[str, str]]:
         """The near pairs of a word of the same length (``own``, then only with greater words) or of one code point less."""
-        if self.index is None:
-            self.index = defaultdict(list)
-            for i, w in enumerate(self.words):
-                for p in range(self.size - self.q + 1):
-                    self.index[w[p : p + self.q], p].append(i)
+        if not self.index:
+            self._build()
         lists = []
         for p in range(len(word) - self.q + 1):
             g = word[p : p + self.q]
-            lists += [got for at in ((p,) if own else (p, p + 1)) if (got := self.index.get((g, at)))]
+            if got := self.index[p].get(g):
+                lists.append(got)
+            if not own and (got := self.index[p + 1].get(g)):
+                lists.append(got)
+        # a word of one code point less has the gram at the same place before the edit, one place earlier behind it
+        head, tail = (word[: self.at], word[self.end :]) if own else (word[: self.end], word[max(self.at - 1, 0) :])
+        ends = self.at if own else self.end
+        begins = self.end if own else self.at
         near = (self.words[i] for i in merged(lists, self.need))
-        return [(word, w) for w in near if (not own or word < w) and one_edit(word, w)]
+        return [(word, w) for w in near if (w[:ends] == head or w[begins:] == tail) and (not own or word < w) and one_edit(word, w)]
 
     def among(self) -> list[tuple[str, str]]:
-        return [pair for w in self.words for pair in self.probe(w, True)] if len(self.words) > 1 else []
+        out: list[tuple[str, str]] = []
+        if len(self.words) < 2:
+            return out
+        self._build()
+        for i, w in enumerate(self.words):
+            # of each list the words behind this one
+            lists = []
+            for p, at in enumerate(self.index):
+                got = at[w[p : p + self.q]]
+                if got[-1] > i:
+                    lists.append(got[bisect_right(got, i) :] if got[0] <= i else got)
+            if len(lists) < self.need:
+                continue
+            head, tail = w[: self.at], w[self.end :]
+            for j in merged(lists, self.need):
+                other = self.words[j]
+                if (other[: self.at] == head or other[self.end :] == tail) and one_edit(w, other):
+                    out.append((w, other) if w < other else (other, w))
+        return out
 
 
 def near_pairs(words: DataFrame, q: int = GRAM, part: int = PART) -> DataFrame:
@@ -189,21 +222,30 @@ def near_pairs(words: DataFrame, q: int = GRAM, part: int = PART) -> DataFrame:
     ordered = dealt.select(*key, "part", (F.col("own") & (mine == F.col("part"))).alias("here"), "own", "word").repartition(*key, "part").sortWithinPartitions(*key, "part", F.col("here").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, block, closed, out = None, Block(0, q), True, []
+        name, block, closed, out = None, Block(0, 0, q), True, []
         for batch in batches:
-            for *new, here, own, word in zip(*(c.to_pylist() for c in batch.columns)):
-                if new != name:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            here, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
+            first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if batch.num_rows else np.zeros(0, dtype=np.int64)
+            last = np.append(first[1:], batch.num_rows)
+            # a block of one row, or one that indexes nothing, has no pair; the batch's first and last may go on elsewhere
+            live = here[first] & (last - first > 1)
+            live[:1] = live[-1:] = True
+            words = batch.column(6)
+            for lo, hi in zip(first[live].tolist(), last[live].tolist()):
+                if (new := tuple(keys[:, lo])) != name:
+                    if not closed:
+                        out += block.among()
+                    name, block, closed = new, Block(int(new[1]), int(new[2]), q), False
+                for i, word in enumerate(words.slice(lo, hi - lo).to_pylist(), lo):
+                    if here[i]:
+                        block.words.append(word)
+                        continue
                     if not closed:
                         out += block.among()
-                    name, block, closed = new, Block(new[2], q), False
-                if here:
-                    block.words.append(word)
-                    continue
-                if not closed:
-                    out += block.among()
-                    closed = True
-                if block.words:
-                    out += block.probe(word, own)
+                        closed = True
+                    if block.words:
+                        out += block.probe(word, own[i])
             if len(out) >= BATCH_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["a", "b"])
                 out = []
