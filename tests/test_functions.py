@@ -73,3 +73,17 @@ def test_highlight_grows_with_sources(spark):
     at = lambda n: one(spark, scores.highlight(F.lit(8.0), F.lit(6.0), F.lit(n)))
     assert at(0) == at(1) < at(2) < at(5)
     assert one(spark, scores.highlight(F.lit(None).cast("double"), F.lit(1.0), F.lit(1))) is None
+
+
+def test_url_identity_of_many_forms(spark):
+    v, w = "aB3-_cdEfGh", "https://www.youtube.com/watch?v=aB3-_cdEfGh"
+    cases = {
+        f"https://www.youtube.com/watch?v={v}": w, f"http://m.youtube.com/watch?t=1&v={v}&list=x#t=3": w, f"youtu.be/{v}?si=1": w, f"https://YouTube.com/shorts/{v}/": w, f"https://youtube.com/embed/{v}": w,
+        f"https://youtube.com:443/live/{v}": w, f"https://youtube.com/watch?v={v}xyz": w, "https://youtube.com/watch?v=short": None, f"https://youtube.com/watch?vv={v}": None, f"https://youtube.com/list/{v}": None,
+        f"https://notyoutube.com/watch?v={v}": None, "https://youtube.com/watch?v=aB3+_cdEfGh": None, "https://youtube.com/watch": None,
+        "https://Twitter.com/Ann/status/123?s=20": "https://x.com/Ann/status/123", "x.com/i/status/5/photo/1": "https://x.com/i/status/5", "https://mobile.twitter.com/a/status/77abc": "https://x.com/a/status/77",
+        "https://x.com/a/status/": None, "https://x.com/a/statuses/1": None, "https://x.com//status/1": None, "https://netflix.com/a/status/1": None, "https://example.com/?u=x.com/a/status/1": None, "": None,
+    }
+    df = spark.createDataFrame([(k, c) for k, c in cases.items()] + [(None, None)], "u string, c string")
+    for r in df.select("u", "c", urls.url_identity(F.col("u")).alias("got")).collect():
+        assert r.got.canonical == (r.c or r.u or "") and (r.got.platform == "manual") == (r.c is None), r.u

@@ -8,7 +8,7 @@ from ..functions import texts, urls, vectors
 from ..operators import evaluation, events
 from .registry import query, read
 
-_DROP = "'utm_source','utm_medium','utm_campaign','utm_term','utm_content','utm_id','utm_name','utm_referrer','fbclid','gclid','msclkid','yclid','dclid','ref','ref_src','ref_url','source','from','spm'"
+_DROP = ", ".join(f"'{name}'" for name in urls.TRACKING)
 
 
 @query(f"""
