@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 #: Categories that are worth showing with a single source. Fixed values.
 HIGH_VALUE = ("products", "efficiency_tools", "coding", "skill", "models", "eval", "tech", "tutorials", "industry", "creator", "investment", "startup", "events")
 #: Orders of a judge's words, best first. Fixed values.
@@ -114,19 +116,13 @@ def newest_members(members: DataFrame, most: int) -> DataFrame:
 def previous_rows(df: DataFrame, order: str, key: str, n: int, what: Column, block_rows: int = 10_000) -> DataFrame:
     """Adds ``before``: ``what`` of the ``n`` rows before each one in order of (order, key) over the whole table.
 
-    Rows are numbered bucket by bucket of their first letters and then dealt to blocks of consecutive rows, each with
-    the last rows of the block before it.
+    Rows are numbered by ranges and then dealt to blocks of consecutive rows, each with the last rows of the block before it.
     """
-    bucket = F.substring(F.col(order), 1, 2)
-    sizes = df.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    # one row per pair of letters
-    offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(order, key)) - 1
-    numbered = df.withColumn("_b", bucket).join(offsets, "_b").withColumn("_i", place + F.col("_offset")).withColumn("_what", what)
+    numbered = ranks.running(df, [F.asc(order), F.asc(key)], name="_i").withColumn("_what", what)
     own = F.floor(F.col("_i") / block_rows)
     dealt = numbered.withColumn("_block", F.explode(F.when(F.col("_i") % block_rows >= block_rows - n, F.array(own, own + 1)).otherwise(F.array(own))))
     window = Window.partitionBy("_block").orderBy("_i").rowsBetween(-n, -1)
-    return dealt.withColumn("before", F.collect_list("_what").over(window)).where(F.floor(F.col("_i") / block_rows) == F.col("_block")).drop("_b", "_offset", "_i", "_what", "_block")
+    return dealt.withColumn("before", F.collect_list("_what").over(window)).where(F.floor(F.col("_i") / block_rows) == F.col("_block")).drop("_i", "_what", "_block")
 
 
 def repaired_ids(answered: DataFrame, expected: DataFrame, edits: int = 3, ratio: float = 0.9) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def pair_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Pairwise precision, recall and F1 and purity, from the contingency table: no pair is formed."""
@@ -42,17 +44,19 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """Percentiles that are values of the group: the ceil(p n)-th smallest. Values are counted before they are ordered."""
+    """Percentiles that are values of the group: the ceil(p n)-th smallest. Values are counted, and their running counts come
+    from ranges of values, so a group of any size is spread over tasks. Null values are the smallest."""
     counts = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group)
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(group, "v", "c", upto.alias("upto"), F.sum("c").over(w).alias("n"))
+    placed = ranks.running(counts, [F.asc("v")], [group], F.col("c"), "before")
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"))
+    ranked = placed.join(sizes, F.col(group).eqNullSafe(F.col("_g")))
     wanted = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
-    at = lambda p: F.max(F.when((F.col("upto") >= wanted(p)) & (F.col("upto") - F.col("c") < wanted(p)), F.col("v")))
+    at = lambda p: F.max(F.when((F.col("before") + F.col("c") >= wanted(p)) & (F.col("before") < wanted(p)), F.col("v")))
     return ranked.groupBy(group).agg(*[at(p).alias(f"p{round(p * 100)}") for p in shares])
 
 
-def average_rank(value: str, *partition: str) -> Column:
-    """Ranks from 1 in which ties share their mean."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """value and ``name``: the rank from 1 of each value, in which ties share their mean. One row per value."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
+    placed = ranks.running(counts, [F.asc(value)], (), F.col("_c"), "_before")
+    return placed.select(value, (F.col("_before") + 1 + (F.col("_c") - 1) / 2.0).alias(name))

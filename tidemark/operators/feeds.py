@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 #: Names that a category has had before. Fixed values.
 ALIASES = {"ai_tools": "efficiency_tools", "tools": "efficiency_tools", "insights": "tech"}
 UNCATEGORIZED = "__uncategorized__"
@@ -89,28 +91,18 @@ def in_order(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return wanted.groupBy(key).agg(F.min("place").alias("place")).join(df, key)
 
 
-#: Keys among which rows of equal value are ordered in one task.
-SLICE_KEYS = 1 << 16
-
-
 def numbered(df: DataFrame, value: str, key: str, name: str, group: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Adds the row's number, from 1, in order of value and (whole-numbered) key, and ``<name>_of``, the number of rows.
-
-    Rows are counted by value and slice of keys first: only these counts are ordered over a whole group, rows only
-    within a slice of their equals.
-    """
-    order = F.desc_nulls_last(value) if descending else F.col(value)
-    parts = [*group, value, "_slice"]
-    df = df.withColumn("_slice", F.floor(F.col(key) / SLICE_KEYS))
-    counts = df.groupBy(*parts).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group)
-    before = F.sum("_c").over(w.orderBy(order, "_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
-    placed = counts.select(*[F.col(c).alias(f"_of_{c}") for c in parts], before.alias("_before"), F.sum("_c").over(w).alias(f"{name}_of"))
+    """Adds the row's number, from 1, in order of value and key, and ``<name>_of``, the number of rows of its group. Rows are
+    numbered by ranges of values, so neither a large group nor a table without groups meets in one task."""
+    order = F.desc_nulls_last(value) if descending else F.asc(value)
+    placed = ranks.numbered(df, [order, F.asc(key)], group, name)
+    if not group:
+        return placed.join(F.broadcast(df.agg(F.count("*").alias(f"{name}_of"))), how="cross")
+    sizes = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(F.count("*").alias(f"{name}_of"))
     same = F.lit(True)
-    for c in parts:
+    for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    among = F.row_number().over(Window.partitionBy(*parts).orderBy(key))
-    return df.join(placed, same).withColumn(name, F.col("_before") + among).drop("_before", "_slice", *[f"_of_{c}" for c in parts])
+    return placed.join(sizes, same).drop(*[f"_of_{c}" for c in group])
 
 
 def with_percentile(df: DataFrame, group: str, value: str, key: str, name: str) -> DataFrame:

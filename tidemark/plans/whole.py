@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import times, vectors
-from ..operators import cells, merges
+from ..operators import cells, evaluation, merges
 from ..sources import payloads
 from .content import _COS
 from .registry import query, read
@@ -51,12 +50,7 @@ SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM
 def correlations_whole(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
 
-    def ranked(name):
-        values = rows.groupBy(name).agg(F.count("*").alias("c"))
-        before = F.coalesce(F.sum("c").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return values.select(name, (before + 1 + (F.col("c") - 1) / 2.0).alias(f"r_{name}"))
-
-    both = rows.join(ranked("l_quantity"), "l_quantity").join(ranked("l_extendedprice"), "l_extendedprice")
+    both = rows.join(evaluation.average_ranks(rows, "l_quantity", "r_l_quantity"), "l_quantity").join(evaluation.average_ranks(rows, "l_extendedprice", "r_l_extendedprice"), "l_extendedprice")
     return both.agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("pearson"), F.round(F.corr("r_l_quantity", "r_l_extendedprice"), 6).alias("spearman"))
 
 
