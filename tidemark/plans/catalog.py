@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import actions, audit, clusters, content, feed, orders, readmodel, registry, runs, scalars, search, similarity, snapshots, sources, streams, whole  # noqa: F401
+from . import actions, audit, clusters, content, feed, history, orders, readmodel, registry, runs, scalars, search, similarity, snapshots, sources, streams, whole  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
