@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import keep
 from . import ranks
 
+#: Texts of a block that meets others.
+BLOCK = 1024
+
 #: Categories that are worth showing with a single source. Fixed values.
 HIGH_VALUE = ("products", "efficiency_tools", "coding", "skill", "models", "eval", "tech", "tutorials", "industry", "creator", "investment", "startup", "events")
 #: Orders of a judge's words, best first. Fixed values.
@@ -31,6 +37,38 @@ def temporal_candidates(items: DataFrame, clusters: DataFrame, days: int, most_s
     return met.select("item_id", "cluster_id", distance.alias("distance_days"), span.alias("span_days")).where(F.col("span_days") <= most_span_days)
 
 
+def temporal_counts(items: DataFrame, clusters: DataFrame, days: int, most_span_days: float) -> DataFrame:
+    """(item_id, candidates, adjacent, furthest): how many of temporal_candidates() an item has, how many of them it lies outside
+    of, and the largest distance in days; items without any are left out. Items and clusters of a day are dealt in blocks
+    that meet two by two, and a task counts whole blocks against each other, so no candidate becomes a row."""
+    listed = clusters.select(_micros(F.col("first_at")).alias("first"), _micros(F.col("last_at")).alias("last"), F.explode(F.sequence(F.date_sub(F.to_date("first_at"), days), F.date_add(F.to_date("last_at"), days))).alias("day"), F.xxhash64("cluster_id").alias("h"))
+    dated = items.select("item_id", _micros(F.col("at")).alias("t"), F.to_date("at").alias("day"), F.xxhash64("item_id").alias("h"))
+
+    def blocks(df: DataFrame, columns: list[str]) -> DataFrame:
+        parts = df.groupBy("day").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("parts"))
+        return df.join(parts, "day").withColumn("part", F.pmod("h", "parts")).groupBy("day", "part").agg(*[F.collect_list(F.struct(*columns)).alias("rows")]).select("day", F.transform("rows", lambda r: r[columns[0]]).alias(columns[0]), F.transform("rows", lambda r: r[columns[1]]).alias(columns[1]))
+
+    met = blocks(dated, ["item_id", "t"]).join(blocks(listed, ["first", "last"]), "day").select("item_id", "t", "first", "last")
+    near, step = days * 86_400_000_000, 8_640_000  # microseconds of a ten-thousandth of a day
+    rounded = lambda micros: (2 * micros + step) // (2 * step) / 10_000  # half up
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, (ts, first, last) = batch.column(0)[i].values, (batch.column(c)[i].values.to_numpy() for c in (1, 2, 3))
+                out = []
+                for t in ts:
+                    span = rounded(np.maximum(last, t) - np.minimum(first, t))
+                    distance = rounded(np.maximum(np.maximum(first - t, t - last), 0))
+                    good = distance[(first - near <= t) & (t <= last + near) & (span <= most_span_days)]
+                    out.append((len(good), int((good > 0).sum()), good.max() if len(good) else None))
+                n, adjacent, far = zip(*out)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(adjacent, pa.int64()), pa.array(far, pa.float64())], names=["item_id", "n", "adjacent", "far"])
+
+    found = met.mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, n long, adjacent long, far double")
+    return found.groupBy("item_id").agg(F.sum("n").alias("candidates"), F.sum("adjacent").alias("adjacent"), F.max("far").alias("furthest")).where("candidates > 0")
+
+
 def tfidf(texts: DataFrame, words: Column) -> DataFrame:
     """id, vector (map of word to weight): term frequency times smoothed inverse document frequency, of length one."""
     each = texts.select("id", F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
@@ -43,16 +81,43 @@ def tfidf(texts: DataFrame, words: Column) -> DataFrame:
 
 def tfidf_pairs(texts: DataFrame, words: Column, least: float) -> DataFrame:
     """(a, b, cosine): pairs of texts at least so alike. Texts meet by their rarest words only: the commonest ones, as
-    long as their weights together stay below ``least``, can't make a pair."""
+    long as their weights together stay below ``least``, can't make a pair. The texts of such a word are dealt in blocks of
+    about BLOCK, blocks of one word meet two by two, and a task adds up the products of all pairs of two blocks word by
+    word, so no pair is a row before it is known to be alike."""
     weights = tfidf(texts, words)
     rising = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("word")).rowsBetween(Window.unboundedPreceding, 0)
     heads = weights.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rising)).where(F.col("rest") >= least * least * (1 - 1e-9)).select("id", "word")
-    vectors = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias("v"))
-    a, b = heads.select(F.col("id").alias("a"), "word"), heads.select(F.col("id").alias("b"), "word")
-    met = a.join(b, "word").where("a < b").select("a", "b").distinct()
-    both = met.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
-    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("y", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)
+    vectors = weights.groupBy("id").agg(F.collect_list(F.struct("word", "w")).alias("v")).select("id", F.transform("v", lambda x: x["word"]).alias("words"), F.transform("v", lambda x: x["w"]).alias("ws"))
+    sizes = heads.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = heads.join(sizes, "word").join(vectors, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = keep(dealt.groupBy("word", "part").agg(F.collect_list(F.struct("id", "words", "ws")).alias("rows")))
+    x, y = blocks.select("word", F.col("part").alias("p"), F.col("rows").alias("x")), blocks.select("word", F.col("part").alias("q"), F.col("rows").alias("y"))
+    met = x.join(y, "word").where("p <= q").select("x", "y")
+    kind = dict(texts.dtypes)["id"]
+
+    def sparse(rows: pa.Array) -> tuple[pa.Array, dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """Ids, and for each word the rows that have it with their weights."""
+        ids, listed, ws = rows.flatten()
+        row, word, w = np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy())), listed.flatten().dictionary_encode(), ws.flatten().to_numpy()
+        code = word.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        cuts = np.searchsorted(code[order], np.arange(len(word.dictionary) + 1))
+        return ids, {name: (row[order[lo:hi]], w[order[lo:hi]]) for name, lo, hi in zip(word.dictionary.to_pylist(), cuts[:-1], cuts[1:])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, xs), (others, ys) = (sparse(batch.column(c)[i].values) for c in (0, 1))
+                dots = np.zeros((len(ids), len(others)))
+                for word in xs.keys() & ys.keys():
+                    (r, u), (s, v) = xs[word], ys[word]
+                    dots[np.ix_(r, s)] += np.outer(u, v)
+                r, s = np.nonzero(dots >= least - 1e-6)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), others.take(pa.array(s)), pa.array(dots[r, s])], names=["a", "b", "cosine"])
+
+    found = met.mapInArrow(run, f"a {kind}, b {kind}, cosine double").where("a <> b")
+    each = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("cosine", 6).alias("cosine")).where(F.col("cosine") >= least)
+    return each.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def selected_match(matches: DataFrame, directness: Sequence[str]) -> DataFrame:

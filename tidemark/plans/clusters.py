@@ -23,8 +23,7 @@ m AS (SELECT item_id, cluster_id, round(greatest(epoch_us(first_at) - epoch_us(t
 SELECT item_id, count(*) AS candidates, count(*) FILTER (distance > 0) AS adjacent, round(max(distance), 3) AS furthest FROM m WHERE span <= 7 GROUP BY item_id""")
 def temporal_candidates(spark, sf_dir):
     items = read(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 20").select(F.col("event_id").alias("item_id"), F.col("ts").alias("at"))
-    met = clusters.temporal_candidates(items, _weeks(spark, sf_dir), 3, 7)
-    return met.groupBy("item_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("distance_days") > 0).alias("adjacent"), F.round(F.max("distance_days"), 3).alias("furthest"))
+    return clusters.temporal_counts(items, _weeks(spark, sf_dir), 3, 7).withColumn("furthest", F.round("furthest", 3))
 
 
 _TEXTS = "SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type || ' ' || CAST(p_size % 10 AS VARCHAR) AS id FROM part"
