@@ -80,3 +80,17 @@ def test_cursors(spark, tmp_path):
     assert [r.event_id for r in rows.orderBy("rank").collect()] == order(events, "a")[:3]
     assert feed.page("no such scope", 3)[0].count() == 0
     assert feed.events().where(F.col("event_id").isNull()).count() == 0
+
+
+def test_states_and_pages_with_totals(spark):
+    from tidemark.operators import feeds
+
+    rows = [(1, None, None, None, None), (2, T0, None, None, ["Key", None]), (3, None, T0, None, None), (4, T0, T0, T0, ["other"]), (5, None, None, T0, [])]
+    df = spark.createDataFrame(rows, "id int, clicked_at timestamp, starred_at timestamp, hidden_at timestamp, words array<string>").withColumn("t", F.lit("Text"))
+    ids = lambda c: sorted(r.id for r in df.where(c).collect())
+    assert ids(feeds.in_state(unread=True)) == [1, 3] and ids(feeds.in_state(starred=True)) == [3, 4] and ids(feeds.in_state(clicked=True)) == [2, 4]
+    assert ids(feeds.in_state(unread=True, starred=True)) == [3] and ids(feeds.in_state()) == [1, 2, 3, 4, 5]
+    assert ids(feeds.holds_any("KEY", "t", "words")) == [2] and ids(feeds.holds_any("eX", "t", "words")) == [1, 2, 3, 4, 5] and ids(feeds.holds_any("", "words")) == [1, 2, 3, 4, 5]
+    for limit, offset, wanted in ((2, 0, [(1, 5, True, 2), (2, 5, True, 2)]), (2, 4, [(5, 5, False, None)]), (0, 3, [(4, 5, False, None), (5, 5, False, None)]), (2, 9, [])):
+        got = feeds.page_of(df.select("id"), [F.col("id")], limit, offset).orderBy("id").collect()
+        assert [tuple(r) for r in got] == wanted

@@ -68,6 +68,38 @@ def with_status(items: DataFrame, status: DataFrame, user: int | None, key: str
     return items.join(own, key, "left")
 
 
+def in_state(unread: bool = False, starred: bool = False, clicked: bool = False) -> Column:
+    """Rows of with_status() in all of the asked states. An item is unread if it was neither clicked nor hidden, or has no
+    status at all."""
+    out = F.lit(True)
+    if unread:
+        out = out & F.col("clicked_at").isNull() & F.col("hidden_at").isNull()
+    if starred:
+        out = out & F.col("starred_at").isNotNull()
+    return out & F.col("clicked_at").isNotNull() if clicked else out
+
+
+def holds_any(keyword: str | None, *columns: str) -> Column:
+    """A keyword stands in any of the columns, strings or arrays of strings, whatever its case; no keyword, no filter."""
+    if not keyword:
+        return F.lit(True)
+    low = F.lit(keyword.lower())
+    texts = [F.coalesce(F.concat_ws("\n", c), F.lit("")) for c in columns]  # null arrays and elements are nothing
+    out = F.lit(False)
+    for t in texts:
+        out = out | F.contains(F.lower(t), low)
+    return out
+
+
+def page_of(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
+    """One page with what a reader needs to go on: total, has_more and next_offset (null on the last page). A page behind the
+    end has no rows; limit 0 means all."""
+    total = df.agg(F.count("*").alias("total"))
+    more = F.lit(False) if not limit else F.col("total") > offset + limit
+    rows = page(df, order, limit, offset).join(F.broadcast(total), how="cross")
+    return rows.withColumn("has_more", more).withColumn("next_offset", F.when(F.col("has_more"), F.lit(offset + limit).cast("long")))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import feeds
 from ..operators.snapshots import Feed
 from ..sources.versions import VersionedTables
 from ..streaming.jobs import shared_dir
@@ -56,3 +57,25 @@ def stale_dependents(spark, sf_dir):
     """How many of each event's dependents are stale after the publish. A part with lines is an event."""
     feed, _, _ = published_feed(spark, sf_dir)
     return feed.dependents().groupBy("event_id").agg(F.count("*").alias("dependents"), F.count_if("is_stale").alias("stale"))
+
+
+@query("""
+WITH s AS (SELECT json_extract(props, '$.k')::BIGINT AS doc_id, max(ts) FILTER (event_type = 'click') AS clicked_at, max(ts) FILTER (event_type = 'purchase') AS starred_at, max(ts) FILTER (event_type = 'error') AS hidden_at FROM events WHERE user_id = 7 GROUP BY 1),
+i AS (SELECT d.doc_id, lang, clicked_at, starred_at, hidden_at FROM documents d LEFT JOIN s USING (doc_id) WHERE contains(lower(text), 'an') OR contains(lower(source || chr(10) || lang), 'an')),
+x AS (SELECT 'unread' AS state, *, -doc_id AS o FROM i WHERE clicked_at IS NULL AND hidden_at IS NULL UNION ALL SELECT 'starred', *, -doc_id FROM i WHERE starred_at IS NOT NULL
+  UNION ALL SELECT 'clicked', *, -epoch_us(clicked_at) FROM i WHERE clicked_at IS NOT NULL),
+r AS (SELECT state, doc_id, row_number() OVER (PARTITION BY state ORDER BY o, doc_id) AS place, count(*) OVER (PARTITION BY state) AS total FROM x)
+SELECT state, doc_id, total, total > 30 AS has_more, CASE WHEN total > 30 THEN 30 END::BIGINT AS next_offset FROM r WHERE place > 10 AND place <= 30""")
+def feed_states(spark, sf_dir):
+    """The second page of one reader's unread, starred and clicked items that hold a keyword, with totals and where to go on."""
+    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    events = read(spark, sf_dir, "events").withColumn("doc_id", F.get_json_object("props", "$.k").cast("long"))
+    status = events.groupBy("user_id", "doc_id").agg(at("click").alias("clicked_at"), at("purchase").alias("starred_at"), at("error").alias("hidden_at"))
+    items = read(spark, sf_dir, "documents").withColumn("keywords", F.array("source", "lang")).where(feeds.holds_any("AN", "text", "keywords")).select("doc_id")
+    own = feeds.with_status(items, status, 7, "doc_id")
+    newest, last_click = [F.desc("doc_id")], [F.desc("clicked_at"), F.asc("doc_id")]
+    out = None
+    for state, order in (("unread", newest), ("starred", newest), ("clicked", last_click)):
+        rows = feeds.page_of(own.where(feeds.in_state(**{state: True})), order, 20, 10).select(F.lit(state).alias("state"), "doc_id", "total", "has_more", "next_offset")
+        out = rows if out is None else out.unionByName(rows)
+    return out
