@@ -167,7 +167,9 @@ def resolve(found: DataFrame, first_only: bool) -> DataFrame:
         never = np.zeros(len(grams), dtype=bool)
 
         def out(mask: np.ndarray, kind: int, many: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-            return _table(_RESOLVED, [np.full(int(mask.sum()), kind), *(x[mask] for x in (grams, context, row, doc, lo, hi, at, many, hot))])
+            n = int(mask.sum())
+            place = (hi[mask], at[mask]) if kind == DETAIL else (np.zeros(n, dtype=np.int32),) * 2  # members need no more than lo
+            return _table(_RESOLVED, [np.full(n, kind), *(x[mask] for x in (grams, context, row, doc, lo)), *place, many[mask], hot[mask]])
 
         yield out(settled, MEMBER, never, never)
         order = np.lexsort((at, row, doc, context, grams))
@@ -288,6 +290,13 @@ def find_spans(
     pieces = keep(contexts(rows, resolved.where(F.col("kind") == DETAIL), cut))
     found = compare(pieces.where("not hot")).unionByName(compare_hot(pieces.where("hot")))
     members = resolved.where(F.col("kind") == MEMBER).select("gram", "context", "row", F.col("doc").alias("mine"), F.col("lo").alias("first"))
-    hit = members.join(found, ["gram", "context"]).where(~F.col("own") | (F.col("mine") > F.col("doc")))
-    spans = hit.select("row", F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("span"))
-    return spans.groupBy("row").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    # a class has few spans, as long as a context is; they travel as one row, and a member takes those that are meant for it.
+    # The table between lets Spark split the members of a large class when they are joined.
+    classes = keep(found.groupBy("gram", "context").agg(F.collect_list(F.struct("own", "doc", "lo", "hi")).alias("found")))
+    mine = F.filter("found", lambda s: ~s["own"] | (F.col("mine") > s["doc"]))
+    whole = lambda c: (F.col("first") + c).cast("long")
+    ends = F.transform(mine, lambda s: F.shiftleft(whole(s["lo"]), 32) + whole(s["hi"]))  # one number a span
+    hit = members.join(classes, ["gram", "context"]).select("row", ends.alias("ends")).where(F.size("ends") > 0)
+    listed = hit.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("ends"))
+    span = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("lo"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hi"))
+    return listed.select("row", F.transform("ends", span).alias("spans"))
