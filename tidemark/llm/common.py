@@ -72,7 +72,8 @@ def discard(*kept: DataFrame) -> None:
 def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     """The rows of ``counts`` with the largest values of the column ``n``: as many as fit into ``most`` rows, ties together.
 
-    The least value comes from a histogram over values with three digits, so no task and no driver sorts rows.
+    The least value comes from a histogram over values with three digits, so no task and no driver sorts rows. Where the
+    highest values alone are more than ``most`` rows, a hash of the rows picks ``most`` of them.
     """
     value = F.col(n).cast("double")
     step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.greatest(value, F.lit(1e-300)))) - 2, F.lit(-300)))
@@ -84,6 +85,9 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
         if total > most:
             break
         least = low
+    if least == float("inf") and bins:
+        # at most ``most`` rows come together, the least hashes of each task's
+        return rounded.where(F.col("_least") >= bins[0][0]).drop("_least").orderBy(F.xxhash64(*counts.columns), *counts.columns).limit(most)
     return rounded.where(F.col("_least") >= least).drop("_least")
 
 
