@@ -68,3 +68,23 @@ def test_whole_table_queries_leave_no_row_out(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_agglomeration_is_one_pass(spark):
+    """Each window against a plain pass: an item joins the nearest centroid that allows it, or founds a cluster."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 4)) + np.repeat(rng.normal(size=(6, 4)) * 2, 10, axis=0)
+    rows = [(i % 2, i, int(rng.integers(100)), v.tolist()) for i, v in enumerate(vectors)]
+    got = {(r.w, r.id): r.cluster for r in events.agglomerate(spark.createDataFrame(rows, "w long, id long, newest int, v array<double>"), "w", "id", ["newest", "id"], "v").collect()}
+    for window in (0, 1):
+        clusters = []
+        for _, i, _, v in sorted((r for r in rows if r[0] == window), key=lambda r: (r[2], r[1])):
+            u = np.array(v) / np.linalg.norm(v)
+            ranked = sorted(((-(np.mean(c, axis=0) / np.linalg.norm(np.mean(c, axis=0)) @ u), k) for k, c in enumerate(clusters)))
+            fits = [k for near, k in ranked if -near >= events.CANDIDATE and len(clusters[k]) < events.MOST_MEMBERS and min(m @ u for m in clusters[k]) >= events.DIAMETER]
+            k = fits[0] if fits else len(clusters)
+            clusters[k:k] = [] if fits else [[]]
+            clusters[k].append(u)
+            assert got[window, i] == k
