@@ -88,3 +88,17 @@ def test_agglomeration_is_one_pass(spark):
             clusters[k:k] = [] if fits else [[]]
             clusters[k].append(u)
             assert got[window, i] == k
+
+
+def test_cluster_faults_pair_by_pair(spark):
+    import random
+
+    from tidemark.operators import evaluation
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice([1, 2, 3, 4, None])) for _ in range(60)] + [("z", 9), ("z", 9)]
+    got = evaluation.cluster_faults(spark.createDataFrame(rows, "t string, p int"), "t", "p").first()
+    tn = sum(a[0] != b[0] and a[1] != b[1] for i, a in enumerate(rows) for b in rows[i + 1 :])
+    mixed = {p for _, p in rows if len({t for t, q in rows if q == p}) > 1}
+    split = {t for t, _ in rows if len({p for u, p in rows if u == t}) > 1}
+    assert tuple(got) == (tn, len(mixed), sum(p in mixed for _, p in rows), len(split), len(rows))

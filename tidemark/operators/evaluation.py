@@ -25,6 +25,21 @@ def pair_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
+def cluster_faults(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: pairs rightly kept apart (tn), predicted clusters that hold several true ones (over_merged) and how many items they
+    hold, true clusters that are spread over several predicted ones (split), and items. From the contingency table: no pair
+    is formed. Null labels are clusters of their own."""
+    cells = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    by = lambda name: cells.groupBy(name).agg(F.sum("n").alias("n"), F.count("*").alias("others"))
+    tp = cells.agg(F.sum(pairs(F.col("n"))).alias("tp"), F.sum("n").alias("items"))
+    truths = by("t").agg(F.sum(pairs(F.col("n"))).alias("same_truth"), F.count_if(F.col("others") > 1).alias("split"))
+    several = F.col("others") > 1
+    found = by("p").agg(F.sum(pairs(F.col("n"))).alias("same_predicted"), F.count_if(several).alias("over_merged"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("in_over_merged"))
+    tn = pairs(F.col("items")) - F.col("same_truth") - F.col("same_predicted") + F.col("tp")
+    return tp.join(truths, how="cross").join(found, how="cross").select(tn.cast("long").alias("tn"), "over_merged", "in_over_merged", "split", "items")
+
+
 def threshold_sweep(df: DataFrame, thresholds: list[float], score: str, label: Column) -> DataFrame:
     """Counts, precision, recall and F1 for every threshold, in one pass."""
     rows = df.select(F.col(score).alias("s"), label.alias("y"), F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))

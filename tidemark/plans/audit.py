@@ -193,3 +193,15 @@ SELECT l_partkey, arg_min(l_suppkey, (-n, l_suppkey)) AS target, sum(n)::BIGINT
 def merge_target(spark, sf_dir):
     n = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
     return n.groupBy("l_partkey").agg(F.min_by("l_suppkey", F.struct(-F.col("n"), F.col("l_suppkey"))).alias("target"), F.sum("n").alias("merged"))
+
+
+@query("""
+WITH c AS (SELECT l_partkey % 97 AS t, l_suppkey % 89 * 10 + l_partkey % 7 AS p, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
+ts AS (SELECT sum(n) AS n, count(*) AS k FROM c GROUP BY t), ps AS (SELECT sum(n) AS n, count(*) AS k FROM c GROUP BY p)
+SELECT ((SELECT sum(n) * (sum(n) - 1) / 2 FROM c) - (SELECT sum(n * (n - 1) / 2) FROM ts) - (SELECT sum(n * (n - 1) / 2) FROM ps) + (SELECT sum(n * (n - 1) / 2) FROM c))::BIGINT AS tn,
+  (SELECT count(*) FROM ps WHERE k > 1) AS over_merged, (SELECT coalesce(sum(n), 0)::BIGINT FROM ps WHERE k > 1) AS in_over_merged, (SELECT count(*) FROM ts WHERE k > 1) AS split, (SELECT sum(n)::BIGINT FROM c) AS items""")
+def cluster_faults(spark, sf_dir):
+    """Large order lines, grouped by supplier where they should be grouped by part."""
+    line = read(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    marked = line.select((F.col("l_partkey") % 97).alias("truth"), (F.col("l_suppkey") % 89 * 10 + F.col("l_partkey") % 7).alias("found"))
+    return evaluation.cluster_faults(marked, "truth", "found")

@@ -104,10 +104,11 @@ def review_roundtrip(spark, sf_dir):
 @query("""
 SELECT event_type AS kind, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('click', 'error') GROUP BY 1""")
 def event_log(spark, sf_dir):
-    """Two appends to a log of JSON lines, read back with bad lines skipped."""
+    """Two appends to a log of JSON lines and one of broken lines, read back with these skipped."""
     path, e = f"{jobs.shared_dir(spark)}/log-{uuid.uuid4().hex}", read(spark, sf_dir, "events")
     for kind in ("click", "error"):
         payloads.append_log(e.where(F.col("event_type") == kind).select(F.col("event_type").alias("kind"), "value", F.col("event_id").alias("id")), path)
+    spark.createDataFrame([('{"kind": "click", "value": 1.0, "id"',), ("no json",), ('{"kind": "error", "value": "many", "id": 1}',), ("[1, 2",)], "line string").write.mode("append").text(path)
     return payloads.json_lines(spark, path, "kind string, value double, id long").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
