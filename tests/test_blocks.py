@@ -57,3 +57,29 @@ def test_temporal_counts(spark, monkeypatch, block):
         wanted[r.item_id] = (n + 1, adjacent + (r.distance_days > 0), max(far, r.distance_days))
     got = {r.item_id: (r.candidates, r.adjacent, round(r.furthest, 4)) for r in clusters.temporal_counts(items, stored, 3, 7).collect()}
     assert got == wanted and len(got) > 40
+
+
+def test_near_ids_against_all_pairs(spark):
+    rng = random.Random(9)
+
+    def edited(x, n):
+        for _ in range(n):
+            i, kind = rng.randrange(len(x)), rng.randrange(3)
+            x = x[:i] + (rng.choice("abc") if kind else "") + x[i + (kind < 2) :]
+        return x
+
+    open_ = {(g, "".join(rng.choice("abc") for _ in range(rng.randint(4, 24)))) for g in (1, 2) for _ in range(40)}
+    wrong = {(g, edited(x, rng.randint(0, 4))) for g, x in open_} | {(1, ""), (1, "a"), (2, "abc")}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    for edits in (1, 3):
+        got = clusters.near_ids(spark.createDataFrame(sorted(wrong), "group int, answered string"), spark.createDataFrame(sorted(open_), "group int, id string"), edits)
+        wanted = {(g, a, b) for g, a in wrong for h, b in open_ if g == h and len(b) > edits and distance(a, b) <= edits}
+        assert {(r.group, r.answered, r.id) for r in got.collect()} == wanted and len(wanted) > 20

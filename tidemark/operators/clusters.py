@@ -190,14 +190,37 @@ def previous_rows(df: DataFrame, order: str, key: str, n: int, what: Column, blo
     return dealt.withColumn("before", F.collect_list("_what").over(window)).where(F.floor(F.col("_i") / block_rows) == F.col("_block")).drop("_i", "_what", "_block")
 
 
+def near_ids(wrong: DataFrame, open_: DataFrame, edits: int) -> DataFrame:
+    """(group, answered, id): pairs of a group at most so many edits apart, for ids longer than ``edits``.
+
+    An id of ``edits + 1`` pieces keeps one of them whole, moved by no more than ``edits``, so ids meet by group, length and
+    piece and not all with all; what meets is compared by distance.
+    """
+    n = edits + 1
+    cut = lambda size, i: F.floor(size * i / n).cast("int")
+    own = F.char_length("id")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(i.alias("i"), F.substr(F.col("id"), cut(own, i) + 1, cut(own, i + 1) - cut(own, i)).alias("piece")))
+    held = open_.where(own >= n).select("group", "id", own.alias("size"), F.explode(pieces).alias("p")).select("group", "id", "size", "p.i", "p.piece")
+    size = F.char_length("answered")
+    tried = wrong.select("group", "answered", F.explode(F.sequence(F.greatest(size - edits, F.lit(n)), F.greatest(size + edits, F.lit(n)))).alias("size"))
+    tried = tried.select("*", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i"))
+    tried = tried.select("*", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("shift"))
+    begin, width = cut(F.col("size"), F.col("i")) + F.col("shift"), cut(F.col("size"), F.col("i") + 1) - cut(F.col("size"), F.col("i"))
+    tried = tried.where((begin >= 0) & (begin + width <= F.char_length("answered"))).select("group", "answered", "size", "i", F.substr("answered", begin + 1, width).alias("piece"))
+    met = tried.join(held, ["group", "size", "i", "piece"]).select("group", "answered", "id").distinct()
+    return met.where(F.levenshtein("id", "answered", edits) >= 0)
+
+
 def repaired_ids(answered: DataFrame, expected: DataFrame, edits: int = 3, ratio: float = 0.9) -> DataFrame:
     """(group, id, answered): answered ids that were expected, and near misses put right: an id that was not expected
     takes the expected one that nobody answered, if just one is within ``edits`` and alike enough."""
+    if (edits + 1) * (1 - ratio) > 1:
+        raise ValueError("ids of edits or fewer letters could be alike enough: take a higher ratio or fewer edits")
     exact = answered.join(expected, ["group", "id"]).select("group", "id", F.col("id").alias("answered"))
     wrong = answered.join(expected, ["group", "id"], "left_anti").select("group", F.col("id").alias("answered"))
     open_ = expected.join(answered, ["group", "id"], "left_anti")
     far = F.levenshtein("id", "answered")
-    near = wrong.join(open_, "group").where((far <= edits) & (1 - far / F.greatest(F.length("id"), F.length("answered")) >= ratio))
+    near = near_ids(wrong.distinct(), open_.distinct(), edits).where(1 - far / F.greatest(F.length("id"), F.length("answered")) >= ratio)
     only = near.groupBy("group", "answered").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
     return exact.unionByName(only.select("group", "id", "answered"))
 

@@ -8,6 +8,7 @@ from ..operators import search
 from .registry import query, read
 
 COLUMNS = ["title", "content", "author", "summary", "keywords"]
+LOW, HIGH = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def searched(spark, sf_dir):
@@ -18,11 +19,11 @@ def searched(spark, sf_dir):
         F.concat_ws(" ", F.lit("in"), "lang").alias("summary"), F.array(F.element_at(words, 1), F.concat(F.lit("Key-"), F.col("doc_id").cast("string"))).alias("keywords"))
 
 
-@query("""
+@query(f"""
 WITH terms AS (
   SELECT DISTINCT term FROM (
     SELECT split_part(text, ' ', 4) || ' ' || split_part(text, ' ', 5) AS term FROM benchmark
-    UNION ALL SELECT upper(substr(text, 31, 6)) FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT 'uthor SRC' || n_nationkey FROM nation) WHERE term <> ''),
+    UNION ALL SELECT translate(substr(text, 31, 6), '{LOW}', '{HIGH}') FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT 'uthor SRC' || n_nationkey FROM nation) WHERE term <> ''),
 items AS (SELECT doc_id, lower(text) AS content, lower('Author ' || source || chr(10) || 'in ' || lang || chr(10) || 'Key-' || doc_id) AS rest FROM documents)
 SELECT term, count(*) AS n, min(doc_id) AS first_id, sum(doc_id)::BIGINT AS ids FROM terms JOIN items ON contains(content, lower(term)) OR contains(rest, lower(term)) GROUP BY term""")
 def search_postings(spark, sf_dir):
@@ -30,7 +31,7 @@ def search_postings(spark, sf_dir):
     word = F.split("text", " ")
     terms = (
         read(spark, sf_dir, "benchmark").select(F.concat_ws(" ", F.get(word, F.lit(3)), F.get(word, F.lit(4))).alias("term"))
-        .unionByName(read(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.upper(F.substring("text", 31, 6)).alias("term")))
+        .unionByName(read(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.translate(F.substring("text", 31, 6), LOW, HIGH).alias("term")))
         .unionByName(read(spark, sf_dir, "nation").select(F.concat(F.lit("uthor SRC"), "n_nationkey").alias("term")))
     )
     found = search.search(search.build(searched(spark, sf_dir), "doc_id", COLUMNS), terms)
