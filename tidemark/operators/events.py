@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
 from ..sources.kept import discard, keep
-from . import cells
+from . import tiles
 
 STRONG, GRAY, SHADOW = 0.75, 0.70, 0.65
 CANDIDATE, DIAMETER, MOST_MEMBERS = 0.60, 0.55, 50
@@ -23,9 +23,8 @@ def band(cosine: Column, shares_entity: Column | None = None) -> Column:
 
 
 def cosine_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """All pairs (a < b) of vectors with a cosine of at least ``least``, from an index of cells that skips what is out of reach."""
-    found = cells.pairs(vectors, cells.build(vectors, key, vector), least, key, vector)
-    return found.where("q < s").select(F.col("q").alias("a"), F.col("s").alias("b"), "cosine")
+    """All pairs (a < b) of vectors with a cosine of at least ``least``, tile against tile."""
+    return tiles.pairs(vectors, least, key, vector)
 
 
 def top_k(queries: DataFrame, stored: DataFrame, k: int, least: float) -> DataFrame:
