@@ -83,3 +83,19 @@ def test_near_ids_against_all_pairs(spark):
         got = clusters.near_ids(spark.createDataFrame(sorted(wrong), "group int, answered string"), spark.createDataFrame(sorted(open_), "group int, id string"), edits)
         wanted = {(g, a, b) for g, a in wrong for h, b in open_ if g == h and len(b) > edits and distance(a, b) <= edits}
         assert {(r.group, r.answered, r.id) for r in got.collect()} == wanted and len(wanted) > 20
+
+
+def test_temporal_counts_at_the_bounds(spark):
+    """Items at and around every bound of a cluster, rounded ones included, each alone against the plain filter."""
+    start, step, day = datetime(2024, 3, 1), 8_640_000, 86_400_000_000
+    spans = [(0, 0), (0, 2 * day), (day, 8 * day + step // 2 - 1), (day, 8 * day + step // 2), (0, 9 * day)]
+    stored = [(i, start + timedelta(microseconds=a), start + timedelta(microseconds=b)) for i, (a, b) in enumerate(spans)]
+    edges = {e + m + d for a, b in spans for e in (a, b) for m in (-7 * day, -3 * day, 0, 3 * day, 7 * day) for d in (-step // 2 - 1, -step // 2, -1, 0, 1, step // 2 - 1, step // 2, step // 2 + 1)}
+    items = [(i, start + timedelta(microseconds=e)) for i, e in enumerate(sorted(edges))]
+    items, stored = spark.createDataFrame(items, "item_id long, at timestamp_ntz"), spark.createDataFrame(stored, "cluster_id long, first_at timestamp_ntz, last_at timestamp_ntz")
+    wanted = {}
+    for r in clusters.temporal_candidates(items, stored, 3, 7).collect():
+        n, adjacent, far = wanted.get(r.item_id, (0, 0, 0.0))
+        wanted[r.item_id] = n + 1, adjacent + (r.distance_days > 0), max(far, r.distance_days)
+    got = {r.item_id: (r.candidates, r.adjacent, r.furthest) for r in clusters.temporal_counts(items, stored, 3, 7).collect()}
+    assert got == wanted and len(got) > 100

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,30 +41,38 @@ def temporal_candidates(items: DataFrame, clusters: DataFrame, days: int, most_s
 def temporal_counts(items: DataFrame, clusters: DataFrame, days: int, most_span_days: float) -> DataFrame:
     """(item_id, candidates, adjacent, furthest): how many of temporal_candidates() an item has, how many of them it lies outside
     of, and the largest distance in days; items without any are left out. Items and clusters of a day are dealt in blocks
-    that meet two by two, and a task counts whole blocks against each other, so no candidate becomes a row."""
+    that meet two by two, and a task counts by sorted bounds, so no candidate becomes a row and none is looked at alone."""
     listed = clusters.select(_micros(F.col("first_at")).alias("first"), _micros(F.col("last_at")).alias("last"), F.explode(F.sequence(F.date_sub(F.to_date("first_at"), days), F.date_add(F.to_date("last_at"), days))).alias("day"), F.xxhash64("cluster_id").alias("h"))
     dated = items.select("item_id", _micros(F.col("at")).alias("t"), F.to_date("at").alias("day"), F.xxhash64("item_id").alias("h"))
 
     def blocks(df: DataFrame, columns: list[str]) -> DataFrame:
-        parts = df.groupBy("day").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("parts"))
+        parts = df.groupBy("day").agg(F.ceil(F.count("*") / (64 * BLOCK)).alias("parts"))
         return df.join(parts, "day").withColumn("part", F.pmod("h", "parts")).groupBy("day", "part").agg(*[F.collect_list(F.struct(*columns)).alias("rows")]).select("day", F.transform("rows", lambda r: r[columns[0]]).alias(columns[0]), F.transform("rows", lambda r: r[columns[1]]).alias(columns[1]))
 
     met = blocks(dated, ["item_id", "t"]).join(blocks(listed, ["first", "last"]), "day").select("item_id", "t", "first", "last")
     near, step = days * 86_400_000_000, 8_640_000  # microseconds of a ten-thousandth of a day
     rounded = lambda micros: (2 * micros + step) // (2 * step) / 10_000  # half up
+    whole = math.floor(most_span_days * 10_000)
+    whole += (whole + 1) / 10_000 <= most_span_days
+    longest, far_off = whole * step + step // 2 - 1, 2**61  # the longest span that is rounded to the limit; further than any time
+    stabbed = lambda lo, hi, t: np.searchsorted(np.sort(lo), t, side="right") - np.searchsorted(np.sort(hi), t, side="left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, (ts, first, last) = batch.column(0)[i].values, (batch.column(c)[i].values.to_numpy() for c in (1, 2, 3))
-                out = []
-                for t in ts:
-                    span = rounded(np.maximum(last, t) - np.minimum(first, t))
-                    distance = rounded(np.maximum(np.maximum(first - t, t - last), 0))
-                    good = distance[(first - near <= t) & (t <= last + near) & (span <= most_span_days)]
-                    out.append((len(good), int((good > 0).sum()), good.max() if len(good) else None))
-                n, adjacent, far = zip(*out)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(adjacent, pa.int64()), pa.array(far, pa.float64())], names=["item_id", "n", "adjacent", "far"])
+                fits = last - first <= longest
+                first, last = first[fits], last[fits]
+                # a cluster is a candidate from lo to hi, and lies around an item from inner lo to inner hi
+                lo, hi = np.maximum(last - longest, first - near), np.minimum(first + longest, last + near)
+                n = stabbed(lo, hi, ts)
+                inside = stabbed(np.maximum(lo, first - step // 2 + 1), np.minimum(hi, last + step // 2 - 1), ts)
+                # one that begins behind t is a candidate if lo is not, one that ended before t if hi is not before t
+                by_lo, by_hi = np.argsort(lo), np.argsort(-hi)
+                begins = np.append(-far_off, np.maximum.accumulate(first[by_lo]))[np.searchsorted(lo[by_lo], ts, side="right")]
+                ended = np.append(far_off, np.minimum.accumulate(last[by_hi]))[np.searchsorted(-hi[by_hi], -ts, side="right")]
+                far = rounded(np.maximum(np.maximum(begins - ts, ts - ended), 0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(n - inside, pa.int64()), pa.array(far, pa.float64(), mask=n == 0)], names=["item_id", "n", "adjacent", "far"])
 
     found = met.mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, n long, adjacent long, far double")
     return found.groupBy("item_id").agg(F.sum("n").alias("candidates"), F.sum("adjacent").alias("adjacent"), F.max("far").alias("furthest")).where("candidates > 0")
