@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import events, tiles
+from tidemark.operators import cells, events, tiles
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -86,3 +87,12 @@ def test_nothing_to_meet(spark):
         assert not events.cosine_pairs(some, 0.1).count() and not tiles.links(some, 0.1, "vec_id", "embedding").count()
         assert not tiles.counts(some, [0.1], "vec_id", "embedding").count()
     assert not tiles.top_k(df, df.limit(0), 3, 0.1, "vec_id", "embedding").count()
+
+
+def test_cells_send_no_side_through_the_driver(spark):
+    """Few queries go to many blocks, so what they are together is not to be broadcast by what they were before."""
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5)]) for i in range(400)], "id long, v array<double>")
+    index = cells.build(v, cells=9)
+    wanted = cells._usable(v.where("id % 20 = 0"), "id", "v").withColumn("floor", F.lit(0.2))
+    plan = cells._hits(cells._chunks(wanted, index, cells._within_reach), index, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

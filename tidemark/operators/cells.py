@@ -151,7 +151,8 @@ def _hits(chunks: DataFrame, index: CellIndex, k: int | None) -> DataFrame:
     """q, s, cosine of what chunks find in their blocks: all of at least the query's floor, or the best ``k`` of a block."""
     width = index.centres.shape[1]
     stored = index.blocks.select("cell", "ring", "part", F.col("ids").alias("own"), F.col("vectors").alias("stored"))
-    met = chunks.join(stored, ["cell", "ring", "part"]).select("ids", "floors", "vectors", "own", "stored")
+    # the size of chunks is guessed from the queries, though each goes to many blocks: neither side is sent through the driver
+    met = chunks.hint("merge").join(stored, ["cell", "ring", "part"]).select("ids", "floors", "vectors", "own", "stored")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
