@@ -199,25 +199,71 @@ def previous_rows(df: DataFrame, order: str, key: str, n: int, what: Column, blo
     return dealt.withColumn("before", F.collect_list("_what").over(window)).where(F.floor(F.col("_i") / block_rows) == F.col("_block")).drop("_i", "_what", "_block")
 
 
-def near_ids(wrong: DataFrame, open_: DataFrame, edits: int) -> DataFrame:
-    """(group, answered, id): pairs of a group at most so many edits apart, for ids longer than ``edits``.
-
-    An id of ``edits + 1`` pieces keeps one of them whole, moved by no more than ``edits``, so ids meet by group, length and
-    piece and not all with all; what meets is compared by distance.
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows in as many partitions as there are for shuffles, though they are small: each gives many more."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns).dropDuplicates([*columns])
+
+
+def _cuts(ids: DataFrame, parts: int) -> DataFrame:
+    """(least, cuts): where the first ``least`` signs of ids (id, least) are cut, so that each part tells about as much as the
+    others by the entropy of the signs at each place; what all ids share weighs next to nothing. Decides work, not results."""
+    signs = ids.select("least", F.posexplode(F.split(F.substr("id", F.lit(1), F.col("least")), "")).alias("at", "sign")).where("sign <> ''")
+    total, n = F.sum("n"), F.col("n")
+    places = signs.groupBy("least", "at", "sign").agg(F.count("*").alias("n")).groupBy("least", "at").agg((F.log(total) - F.sum(n * F.log(n)) / total + 1e-6).alias("entropy"))
+    whole, size = Window.partitionBy("least"), F.col("least")
+    places = places.select("least", F.sum("entropy").over(whole.orderBy("at")).alias("to"), F.sum("entropy").over(whole).alias("all"))
+    # one place may tell more than a part should: each part has one sign of its own at least
+    inner = [F.floor(F.least(F.count_if(F.col("to") <= F.col("all") * (i / parts)), size) * (size - parts) / size).cast("int") + i for i in range(1, parts)]
+    return places.groupBy("least").agg(F.array(F.lit(0), *inner, size).alias("cuts"))
+
+
+def meeting_ids(wrong: DataFrame, open_: DataFrame, edits: int) -> DataFrame:
+    """(group, answered, id): pairs of a group among which are all that ``near_ids`` is after.
+
+    Of ``edits // 2 + 1`` parts of an id one has an edit at most; the first part begins, the last one ends both ids, others
+    move by no more than ``edits``. Parts one edit apart are equal once a sign of both is blotted out, or one is left out of
+    the longer one. So ids meet by group and a part like that, which tells about half of what the id tells, and not all with
+    all. Ids of ``edits + 1`` lengths have parts of the same sizes.
     """
-    n = edits + 1
-    cut = lambda size, i: F.floor(size * i / n).cast("int")
+    parts, width = edits // 2 + 1, edits + 1
+    wrong, open_ = _dealt(wrong, "group", "answered"), _dealt(open_, "group", "id")
+    named = lambda one: F.xxhash64("group", one)
+    key = F.xxhash64("group", "least", "i", "text").alias("key")
     own = F.char_length("id")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(i.alias("i"), F.substr(F.col("id"), cut(own, i) + 1, cut(own, i + 1) - cut(own, i)).alias("piece")))
-    held = open_.where(own >= n).select("group", "id", own.alias("size"), F.explode(pieces).alias("p")).select("group", "id", "size", "p.i", "p.piece")
-    size = F.char_length("answered")
-    tried = wrong.select("group", "answered", F.explode(F.sequence(F.greatest(size - edits, F.lit(n)), F.greatest(size + edits, F.lit(n)))).alias("size"))
-    tried = tried.select("*", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i"))
-    tried = tried.select("*", F.explode(F.sequence(F.lit(-edits), F.lit(edits))).alias("shift"))
-    begin, width = cut(F.col("size"), F.col("i")) + F.col("shift"), cut(F.col("size"), F.col("i") + 1) - cut(F.col("size"), F.col("i"))
-    tried = tried.where((begin >= 0) & (begin + width <= F.char_length("answered"))).select("group", "answered", "size", "i", F.substr("answered", begin + 1, width).alias("piece"))
-    met = tried.join(held, ["group", "size", "i", "piece"]).select("group", "answered", "id").distinct()
-    return met.where(F.levenshtein("id", "answered", edits) >= 0)
+    expected = open_.where(own >= width).withColumn("least", own - own % width)
+    cuts = F.broadcast(_cuts(expected, parts))
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i")
+    i, at, part = F.col("i"), F.col("at"), F.col("part")
+    begin, size = F.get("cuts", i), F.get("cuts", i + 1) - F.get("cuts", i)
+
+    def without(place: Column, sign: str = "") -> Column:
+        return F.concat(F.substr(part, F.lit(1), place - 1), F.lit(sign), F.substr(part, place + 1))
+
+    held = expected.join(cuts, "least").select("group", "id", "least", "cuts", each)
+    held = held.select("group", "id", "least", "i", F.substr("id", F.when((i > 0) & (i == parts - 1), own - size).otherwise(begin) + 1, size).alias("part"))
+    held = held.select("*", F.explode(F.sequence(F.lit(0), 2 * F.char_length("part"))).alias("at"))
+    text = F.when(at == 0, part).when(at <= F.char_length("part"), without(at, "\0")).otherwise(without(at - F.char_length("part")))
+    held = held.withColumn("text", text).select(key, named("id").alias("b"))
+
+    length, more = F.char_length("answered"), F.col("more")
+    classes = F.sequence(F.greatest(length - edits, F.lit(0)) - F.greatest(length - edits, F.lit(0)) % width, length + edits, F.lit(width))
+    tried = wrong.select("group", "answered", F.explode(classes).alias("least")).join(cuts, "least").select("group", "answered", "least", "cuts", each)
+    tried = tried.select("*", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias("more"))
+    moved = F.when(i == 0, F.array(begin)).when(i == parts - 1, F.array(length - size - more)).otherwise(F.sequence(begin - edits, begin + edits))
+    tried = tried.select("*", (size + more).alias("size"), F.explode(moved).alias("begin")).where((F.col("begin") >= 0) & (F.col("begin") + F.col("size") <= length))
+    tried = tried.select("group", "answered", "least", "i", "more", F.substr("answered", F.col("begin") + 1, F.col("size")).alias("part"))
+    tried = tried.select("*", F.explode(F.when(more < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.char_length("part")))).alias("at"))
+    text = F.when(more < 0, part).when(more == 0, without(at, "\0")).otherwise(without(at))
+    tried = tried.withColumn("text", text).select(key, named("answered").alias("a"))
+
+    met = tried.join(held, "key").select("a", "b").distinct()
+    pairs = met.join(wrong.withColumn("a", named("answered")), "a").join(expected.select(F.col("group").alias("_group"), "id", named("id").alias("b")), "b")
+    return pairs.where(F.col("group") == F.col("_group")).select("group", "answered", "id")
+
+
+def near_ids(wrong: DataFrame, open_: DataFrame, edits: int) -> DataFrame:
+    """(group, answered, id): pairs of a group at most so many edits apart, for ids longer than ``edits``."""
+    return meeting_ids(wrong, open_, edits).where(F.levenshtein("id", "answered", edits) >= 0)
 
 
 def repaired_ids(answered: DataFrame, expected: DataFrame, edits: int = 3, ratio: float = 0.9) -> DataFrame:
@@ -229,7 +275,7 @@ def repaired_ids(answered: DataFrame, expected: DataFrame, edits: int = 3, ratio
     wrong = answered.join(expected, ["group", "id"], "left_anti").select("group", F.col("id").alias("answered"))
     open_ = expected.join(answered, ["group", "id"], "left_anti")
     far = F.levenshtein("id", "answered")
-    near = near_ids(wrong.distinct(), open_.distinct(), edits).where(1 - far / F.greatest(F.length("id"), F.length("answered")) >= ratio)
+    near = near_ids(wrong, open_, edits).where(1 - far / F.greatest(F.length("id"), F.length("answered")) >= ratio)
     only = near.groupBy("group", "answered").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
     return exact.unionByName(only.select("group", "id", "answered"))
 
