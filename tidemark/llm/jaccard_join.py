@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, dealt_by, discard, free_name, keep, keep_by, most_frequent, table
-from .repeats import _groups, _packed, unpack, with_row
+from .repeats import _groups, unpack, with_row
 from .textblocks import mix, prefix_hash, span_hash, text_chunks, word_hashes, words
 
 SHINGLE = 4
@@ -117,14 +118,15 @@ def unpacked_vectors(packed: list[bytes]) -> np.ndarray:
 
 
 def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """row, doc_id, n, node, vector, keys, light; the last three only at the first row of a node in each batch.
+    """row, doc_id, n, node, vector, keys, light, packed; the last four only at the first row of a node in each batch.
 
-    ``keys`` are the node's prefix shingles in order, ``light`` says how many of them are not heavy.
+    ``packed`` is the compressed text, which weighs a fraction of its shingles; ``keys`` are the node's prefix shingles in order, ``light`` says how many of them are not heavy.
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heavy.value
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             seen: set[int] = set()
             for first, hashes, begins in shingle_sets(batch.column(2), size):
@@ -148,12 +150,13 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(n, type=pa.int64()),
                      pa.array(node, mask=n == 0), pa.array([next(vectors) if f else None for f in fresh], type=pa.binary()),
-                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(taken)), pa.array(light, type=pa.int32())],
-                    names=["row", "doc_id", "n", "node", "vector", "keys", "light"],
+                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(taken)), pa.array(light, type=pa.int32()),
+                     pa.array([press.compress(t.as_buffer()) if f else None for t, f in zip(batch.column(2).slice(first, end - first), fresh)], type=pa.binary())],
+                    names=["row", "doc_id", "n", "node", "vector", "keys", "light", "packed"],
                 )
 
     return with_row(docs).select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "row long, doc_id long, n long, node long, vector binary, keys array<long>, light int"
+        run, "row long, doc_id long, n long, node long, vector binary, keys array<long>, light int, packed binary"
     )
 
 
@@ -412,9 +415,9 @@ def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> Dat
     ).distinct()
 
 
-def node_texts(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node and its compressed text for each (node, row) of ``owners``; texts weigh a fraction of their shingles."""
-    return dealt_by(_packed(with_row(docs)).join(owners, "row").select("node", "packed"), "node").dropDuplicates(["node"])
+def node_texts(fresh: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its compressed text for each of ``nodes``; a text is shuffled once, as it lies beside its node already."""
+    return dealt_by(fresh.select("node", "packed"), "node").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -450,16 +453,19 @@ def still_open(members: DataFrame, named: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_shingles, component_id (null for empty sets without a doc_id)."""
-    described = keep(describe(docs, percent, size))
-    fresh = described.where("vector is not null")
+    whole = keep(describe(docs, percent, size))
+    described = keep(whole.select("row", "doc_id", "n", "node"))
+    fresh = whole.where("vector is not null")
     members = keep(blocks(fresh, percent).withColumn("label", F.col("node")))
+    nodes = members.select("node").distinct()
     points = keep_by(
-        dealt_by(fresh, "node").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-            F.min("row").alias("row"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("light").alias("light")
+        dealt_by(fresh.select("node", "n", "vector", "keys", "light"), "node").join(nodes, "node", "left_semi").groupBy("node").agg(
+            F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("light").alias("light")
         ),
         "node",
     )
-    texts = keep_by(node_texts(docs, points.select("row", "node")), "node")
+    texts = keep_by(node_texts(fresh, nodes), "node")
+    discard(whole)
     vectors, heads = points.select("node", "n", "vector"), points.select("node", "n", "keys", "light")
 
     links = tried = None
