@@ -91,6 +91,20 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     return rounded.where(F.col("_least") >= least).drop("_least")
 
 
+def where_likely(df: DataFrame, keys: DataFrame, column: str, words: int = 1 << 19) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``keys``: all that are, and few others while keys are far fewer than bits.
+
+    The keys' hashes set bits of at most ``words`` numbers of 64 bits, so what is broadcast stays bounded at any size, and
+    rows that a later join would drop are not shuffled for it.
+    """
+    place = F.pmod(F.xxhash64(F.lit(64), F.col(column)), F.lit(words * 64))
+    bits = keys.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_bits")
+    )
+    placed = df.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6))
+    return placed.join(F.broadcast(bits), "_word").where(F.getbit("_bits", F.expr("cast(_place & 63 as int)")) == 1).select(df.columns)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores before it as make it differ from all columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -12,9 +12,10 @@ link if 100 * intersection >= ``PERCENT`` * union. Steps:
    vectors bounds overlaps by summed coordinate minima. In the first round each node is paired with one centre that
    the bound allows or becomes a centre, later on with the nearest node of another component. Pairs whose prefixes
    leave room for enough in common are confirmed on the sets, and components named, until a round finds few links.
+   Only texts of such pairs are read again from ``docs`` and shuffled.
 4. Blocks whose nodes are still not all connected yield every pair between different components that the bound
    allows, each in the first block that both share, so no link between components is missed, and copies never expand
-   to all pairs.
+   to all pairs. Blocks of a few nodes take no part in rounds, their pairs are tried here only.
 
 A block with over ``PART_NODES`` nodes is dealt to several tasks, in rounds by node, otherwise each time, and at the
 end by pairs of parts that hold different components.
@@ -33,8 +34,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dealt_by, discard, free_name, keep, keep_by, most_frequent, table
-from .repeats import _groups, unpack, with_row
+from .common import components, dealt_by, discard, free_name, keep, keep_by, most_frequent, table, where_likely
+from .repeats import _groups, _packed, unpack, with_row
 from .textblocks import mix, prefix_hash, span_hash, text_chunks, word_hashes, words
 
 SHINGLE = 4
@@ -51,6 +52,8 @@ PART_NODES = 20_000
 STAR_BLOCKS = 4
 ROUNDS = 4
 FEW_LINKS = 0.02
+#: Nodes of a block that takes no part in rounds: its few pairs are tried once, in the last step.
+SMALL_BLOCK = 4
 #: Of a node's open blocks, those that tell whether two nodes have met in an earlier block.
 FIRST_BLOCKS = 16
 LEAF, FAN = 16, 16
@@ -117,10 +120,10 @@ def unpacked_vectors(packed: list[bytes]) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, texts: bool = True) -> DataFrame:
     """row, doc_id, n, node, vector, keys, light, packed; the last four only at the first row of a node in each batch.
 
-    ``packed`` is the compressed text, which weighs a fraction of its shingles; ``keys`` are the node's prefix shingles in order, ``light`` says how many of them are not heavy.
+    ``packed`` is the compressed text, which weighs a fraction of its shingles (null without ``texts``); ``keys`` are the node's prefix shingles in order, ``light`` says how many of them are not heavy.
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, size))
 
@@ -151,7 +154,7 @@ def describe(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Da
                     [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(n, type=pa.int64()),
                      pa.array(node, mask=n == 0), pa.array([next(vectors) if f else None for f in fresh], type=pa.binary()),
                      pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(taken)), pa.array(light, type=pa.int32()),
-                     pa.array([press.compress(t.as_buffer()) if f else None for t, f in zip(batch.column(2).slice(first, end - first), fresh)], type=pa.binary())],
+                     pa.array([press.compress(t.as_buffer()) if f and texts else None for t, f in zip(batch.column(2).slice(first, end - first), fresh)], type=pa.binary())],
                     names=["row", "doc_id", "n", "node", "vector", "keys", "light", "packed"],
                 )
 
@@ -171,7 +174,8 @@ def blocks(described: DataFrame, percent: int = PERCENT) -> DataFrame:
         got = list(batches)
         if not sum(b.num_rows for b in got):
             return
-        key, node, n, early = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
+        key, node, n = (c.to_numpy() for c in pa.Table.from_batches(got).columns)
+        n, early = n >> 1, (n & 1).astype(bool)
         order = np.lexsort((node, n, key))
         key, node, n, early = key[order], node[order], n[order], early[order]
         new = np.ones(len(key), dtype=bool)
@@ -197,7 +201,8 @@ def blocks(described: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = described.select("node", "n", "light", F.posexplode("keys").alias("at", "key")).select(
         "key", "node", "n", (F.col("at") < index_length(F.col("n"), percent)).alias("early"), (F.col("at") >= F.col("light")).alias("heavy")
     )
-    rare = pairs.where("not heavy").select("key", "node", "n", "early").repartition("key").mapInArrow(run, "block long, node long, early boolean")
+    # most of these rows meet no other one and are only shuffled, so size and ``early`` are one number
+    rare = pairs.where("not heavy").select("key", "node", (F.col("n") * 2 + F.col("early").cast("long")).alias("n")).repartition("key").mapInArrow(run, "block long, node long, early boolean")
     return rare.unionByName(pairs.where("heavy").select(F.col("key").alias("block"), "node", "early")).distinct()
 
 
@@ -340,11 +345,18 @@ def round_candidates(members: DataFrame, points: DataFrame, percent: int, turn:
     ).distinct()
 
 
-def prefix_codes(keys: np.ndarray, light: int) -> np.ndarray:
-    """A node's prefix as ascending numbers of 32 bits, heavy shingles last."""
-    code = (keys.view(np.uint64) >> np.uint64(33)).astype(np.uint32)
-    code[light:] |= np.uint32(1 << 31)
-    return code
+def prefix_codes(keys: str = "keys", light: str = "light") -> Column:
+    """A node's prefix as ascending unsigned numbers of 32 bits, heavy shingles last."""
+    return F.transform(keys, lambda key, i: (F.shiftrightunsigned(key, 33) - F.when(i >= F.col(light), 1 << 31).otherwise(0)).cast("int"))
+
+
+def parted(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` of blocks of 2 to SMALL_BLOCK nodes, which wait for the last step, and those of larger ones."""
+    sized = members.join(members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "block")
+    sized = keep(sized)
+    small, large = (keep(sized.where(c).drop("size")) for c in (F.col("size") <= SMALL_BLOCK, F.col("size") > SMALL_BLOCK))
+    discard(sized)
+    return small, large
 
 
 def vetted(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -354,8 +366,8 @@ def vetted(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
-            for i, (n, m, x, y, k, l) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 4)), *(batch.column(c) for c in (4, 5)), *(batch.column(c).to_pylist() for c in (6, 7)))):
-                x, y = prefix_codes(x.values.to_numpy(), k), prefix_codes(y.values.to_numpy(), l)
+            for i, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3)), *(batch.column(c) for c in (4, 5)))):
+                x, y = x.values.to_numpy().view(np.uint32), y.values.to_numpy().view(np.uint32)
                 end = min(x[-1], y[-1])
                 x, y = x[: np.searchsorted(x, end)], y[: np.searchsorted(y, end)]
                 unique = np.unique(x)
@@ -363,9 +375,9 @@ def vetted(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFr
                 good[i] = (100 + percent) * (both + min(n - len(x), m - len(y))) >= percent * (n + m)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    a = heads.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("keys").alias("x"), F.col("light").alias("k"))
-    b = heads.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"), F.col("light").alias("l"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "n", "m", "x", "y", "k", "l").mapInArrow(run, "a long, b long")
+    a = heads.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("codes").alias("x"))
+    b = heads.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("codes").alias("y"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -415,13 +427,29 @@ def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> Dat
     ).distinct()
 
 
+def pair_texts(docs: DataFrame, described: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) with the rows that hold their nodes' texts, and these texts by row (named node).
+
+    A node's text is that of its least row. Texts of other rows stay where they are but for the few that
+    where_likely() lets through.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = keep(described.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
+    packed = _packed(where_likely(with_row(docs), rows, "row")).select(F.col("row").alias("node"), "packed")
+    texts = keep_by(node_texts(packed, rows.select(F.col("row").alias("node"))), "node")
+    a, b = (rows.select(F.col("node").alias(c), F.col("row").alias(f"row_{c}")) for c in ("a", "b"))
+    placed = keep(pairs.join(b, "b").join(a, "a"))
+    discard(rows)
+    return placed, texts
+
+
 def node_texts(fresh: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and its compressed text for each of ``nodes``; a text is shuffled once, as it lies beside its node already."""
     return dealt_by(fresh.select("node", "packed"), "node").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The pairs whose sets are as alike as asked."""
+    """The pairs whose sets are as alike as asked; ``pairs`` and ``texts`` as pair_texts() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,10 +466,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, size:
                     good[at + i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    a = texts.select(F.col("node").alias("a"), F.col("packed").alias("x"))
-    b = texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
-    # pairs come back in order of a, so neighbours share texts
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    a = texts.select(F.col("node").alias("row_a"), F.col("packed").alias("x"))
+    b = texts.select(F.col("node").alias("row_b"), F.col("packed").alias("y"))
+    # pairs come back in order of a's row, so neighbours share texts
+    return pairs.join(b, "row_b").join(a, "row_a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def still_open(members: DataFrame, named: DataFrame) -> DataFrame:
@@ -453,29 +481,32 @@ def still_open(members: DataFrame, named: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_shingles, component_id (null for empty sets without a doc_id)."""
-    whole = keep(describe(docs, percent, size))
+    whole = keep(describe(docs, percent, size, texts=False).drop("packed"))
     described = keep(whole.select("row", "doc_id", "n", "node"))
     fresh = whole.where("vector is not null")
     members = keep(blocks(fresh, percent).withColumn("label", F.col("node")))
     nodes = members.select("node").distinct()
+    likely = where_likely(fresh, nodes, "node").select("node", "n", "vector", prefix_codes().alias("codes"))
     points = keep_by(
-        dealt_by(fresh.select("node", "n", "vector", "keys", "light"), "node").join(nodes, "node", "left_semi").groupBy("node").agg(
-            F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys"), F.first("light").alias("light")
+        dealt_by(likely, "node").join(nodes, "node", "left_semi").groupBy("node").agg(
+            F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("codes").alias("codes")
         ),
         "node",
     )
-    texts = keep_by(node_texts(fresh, nodes), "node")
     discard(whole)
-    vectors, heads = points.select("node", "n", "vector"), points.select("node", "n", "keys", "light")
+    vectors, heads = points.select("node", "n", "vector"), points.select("node", "n", "codes")
+    every, (small, members) = members, parted(members)
+    discard(every)
 
-    links = tried = None
+    links = tried = of_node = None
     first = 0
 
     def confirm(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
         fresh_ = keep(candidates if tried is None else candidates.join(tried, ["a", "b"], "left_anti"))
         likely = keep(vetted(fresh_, heads, percent))
-        found = keep(confirmed(likely, texts, percent, size))
-        discard(likely)
+        placed, texts = pair_texts(docs, described, likely)
+        found = keep(confirmed(placed, texts, percent, size))
+        discard(likely, placed, texts)
         return fresh_, found
 
     for turn in range(ROUNDS):
@@ -490,9 +521,10 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
         first = first or n
         if n <= FEW_LINKS * first:
             break
-    _, found = confirm(cross_candidates(members, vectors, percent))
+    open_ = small if of_node is None else still_open(small, of_node)
+    _, found = confirm(cross_candidates(members.unionByName(open_), vectors, percent))
     of_node = keep(components(links.unionByName(found)).select("node", F.col("component").alias("label")))
-    discard(members, points, texts)
+    discard(members, points, small, *([] if open_ is small else [open_]))
 
     # a node's smallest doc_id first, so that copies are not joined twice
     least = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
