@@ -14,7 +14,7 @@ link if 100 * intersection >= ``PERCENT`` * union. Steps:
    leave room for enough in common are confirmed on the sets, and components named, until a round finds few links.
    Only texts of such pairs are read again from ``docs`` and shuffled.
 4. Blocks whose nodes are still not all connected yield every pair between different components that the bound
-   allows, each in the first block that both share, so no link between components is missed, and copies never expand
+   allows, in blocks of the smaller set's index part, so no link between components is missed, and copies never expand
    to all pairs. Blocks of a few nodes take no part in rounds, their pairs are tried here only.
 
 A block with over ``PART_NODES`` nodes is dealt to several tasks, in rounds by node, otherwise each time, and at the
@@ -54,8 +54,6 @@ ROUNDS = 4
 FEW_LINKS = 0.02
 #: Nodes of a block that takes no part in rounds: its few pairs are tried once, in the last step.
 SMALL_BLOCK = 4
-#: Of a node's open blocks, those that tell whether two nodes have met in an earlier block.
-FIRST_BLOCKS = 16
 LEAF, FAN = 16, 16
 
 
@@ -402,7 +400,7 @@ def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> Dat
         if got is None:
             return
         columns, points, groups = got
-        block, node, n, label, early, side, firsts = (columns[c] for c in ("block", "node", "n", "label", "early", "side", "firsts"))
+        node, n, label, early, side = (columns[c] for c in ("node", "n", "label", "early", "side"))
         out_a, out_b = [], []
         for begin, size in groups:
             part = slice(begin, begin + size)
@@ -414,15 +412,12 @@ def cross_candidates(members: DataFrame, points: DataFrame, percent: int) -> Dat
             # the first shingle that both share is in the smaller set's index part
             good = early[i] & (early[j] | (n[i] < n[j]))
             i, j = i[good], j[good]
-            for x, y in zip(i.tolist(), j.tolist()):
-                met = np.intersect1d(firsts[x], firsts[y], assume_unique=True)
-                if not len(met) or met[0] >= block[begin]:  # else both meet in an earlier block
-                    out_a.append(node[[x]])
-                    out_b.append(node[[y]])
+            # a block that both share earlier need not be such a one, so each of these yields the pair
+            out_a.append(node[i])
+            out_b.append(node[j])
         yield _node_pairs(out_a, out_b)
 
-    known = points.join(first_blocks(members, FIRST_BLOCKS), "node")
-    return dealt.join(known, "node").select("block", "p", "q", "side", "node", "label", "early", "n", "vector", "firsts").repartition("block", "p", "q").mapInArrow(
+    return dealt.join(points, "node").select("block", "p", "q", "side", "node", "label", "early", "n", "vector").repartition("block", "p", "q").mapInArrow(
         run, "a long, b long"
     ).distinct()
 
