@@ -8,17 +8,19 @@ link if 100 * intersection >= ``PERCENT`` * union. Steps:
 2. ``describe``: each document's node, set size, count vector (shingles per hash group) and prefix: two linked sets
    share a shingle among the first ``n - ceil(0.85 n) + 1`` of each, and the first that they share is among the first
    ``n - ceil(2 * 0.85 / 1.85 * n) + 1`` of the smaller one, its index part. Nodes meet in blocks by prefix shingle.
-3. Rounds: each node takes part in its first few blocks that hold two components or more; there an R-tree over count
-   vectors bounds overlaps by summed coordinate minima. In the first round each node is paired with one centre that
-   the bound allows or becomes a centre, later on with the nearest node of another component. Pairs whose prefixes
-   leave room for enough in common are confirmed on the sets, and components named, until a round finds few links.
-   Only texts of such pairs are read again from ``docs`` and shuffled.
-4. Blocks whose nodes are still not all connected yield every pair between different components that the bound
+3. ``promising``: an R-tree over a block's count vectors bounds overlaps by summed coordinate minima. A node leaves each
+   block that holds no other one with which the bound allows a link, so texts that share a common phrase only are seen
+   once and neither in rounds nor in the last step.
+4. Rounds: each node takes part in its first few blocks that hold two components or more. In the first round each node
+   is paired with one centre that the bound allows or becomes a centre, later on with the nearest node of another
+   component. Pairs whose prefixes leave room for enough in common are confirmed on the sets, and components named,
+   until a round finds few links. Only texts of such pairs are read again from ``docs`` and shuffled.
+5. Blocks whose nodes are still not all connected yield every pair between different components that the bound
    allows, in blocks of the smaller set's index part, so no link between components is missed, and copies never expand
    to all pairs. Blocks of a few nodes take no part in rounds, their pairs are tried here only.
 
 A block with over ``PART_NODES`` nodes is dealt to several tasks, in rounds by node, otherwise each time, and at the
-end by pairs of parts that hold different components.
+end by pairs of parts that hold different components; no node leaves it.
 
 Null or wordless texts have empty sets and link with nothing; shorter texts have their whole sequence as the one
 shingle. Repeated rows share a node. A null doc_id takes no part in naming a component. Other columns are left out.
@@ -55,6 +57,8 @@ FEW_LINKS = 0.02
 #: Nodes of a block that takes no part in rounds: its few pairs are tried once, in the last step.
 SMALL_BLOCK = 4
 LEAF, FAN = 16, 16
+#: Points of which all pairs are compared at once, which costs less than a tree.
+FEW_POINTS = 64
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -165,7 +169,8 @@ def blocks(described: DataFrame, percent: int = PERCENT) -> DataFrame:
     """block, node, early: nodes that share a prefix shingle; ``early`` if it is in the node's index part.
 
     Of shingles that are not heavy, a node without another one in the block whose size and places allow a link is left
-    out, and shingles with the same nodes make one block. Heavy ones are blocks as they are.
+    out, and shingles with the same nodes make one block. Heavy ones are blocks as they are. Tasks give a block as one row
+    with its nodes, as most shingles of near copies make the same block in many tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +199,18 @@ def blocks(described: DataFrame, percent: int = PERCENT) -> DataFrame:
         first = np.zeros(len(begin), dtype=bool)
         first[np.unique(block, return_index=True)[1]] = True
         take = np.repeat(first, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, size)[take]), pa.array(node[take]), pa.array(early[take])], names=["block", "node", "early"])
+        ends = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[first]), *(pa.ListArray.from_arrays(ends, pa.array(x[take])) for x in (node, early))], names=["block", "node", "early"]
+        )
 
     pairs = described.select("node", "n", "light", F.posexplode("keys").alias("at", "key")).select(
         "key", "node", "n", (F.col("at") < index_length(F.col("n"), percent)).alias("early"), (F.col("at") >= F.col("light")).alias("heavy")
     )
     # most of these rows meet no other one and are only shuffled, so size and ``early`` are one number
-    rare = pairs.where("not heavy").select("key", "node", (F.col("n") * 2 + F.col("early").cast("long")).alias("n")).repartition("key").mapInArrow(run, "block long, node long, early boolean")
-    return rare.unionByName(pairs.where("heavy").select(F.col("key").alias("block"), "node", "early")).distinct()
+    rare = pairs.where("not heavy").select("key", "node", (F.col("n") * 2 + F.col("early").cast("long")).alias("n")).repartition("key").mapInArrow(run, "block long, node array<long>, early array<boolean>")
+    light = rare.dropDuplicates(["block"]).select("block", F.explode(F.arrays_zip("node", "early")).alias("member")).select("block", "member.node", "member.early")
+    return light.unionByName(pairs.where("heavy").select(F.col("key").alias("block"), "node", "early").distinct())
 
 
 class CountTree:
@@ -291,9 +300,60 @@ def _node_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
 
 
+def with_partner(points: np.ndarray, sizes: np.ndarray, early: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which points have another one with which the bound allows a link whose first shared shingle may be the block's."""
+
+    def may(i, j):
+        return np.where(sizes[i] == sizes[j], early[i] & early[j], np.where(sizes[i] < sizes[j], early[i], early[j]))
+
+    if len(sizes) <= FEW_POINTS:
+        bound = np.minimum(points[:, None], points[None]).sum(axis=2)
+        at = np.arange(len(sizes))
+        good = ((100 + percent) * bound >= percent * (sizes[:, None] + sizes)) & may(at[:, None], at) & (at[:, None] != at)
+        return good.any(axis=1)
+    tree, found = CountTree(points, sizes), np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes)):
+        if not found[i]:  # the first of a group of copies finds all of them
+            near = tree.search(points[i], sizes[i], percent)
+            near = near[(near != i) & may(i, near)]
+            found[near] = True
+            found[i] = len(near) > 0
+    return found
+
+
+def promising(members: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``members`` without the rows of nodes that can link with no other node of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _whole(batches, "block")
+        if got is None:
+            return
+        columns, points, groups = got
+        n, early = columns["n"], columns["early"].astype(bool)
+        good = np.zeros(len(n), dtype=bool)
+        two = np.array([b for b, s in groups if s == 2], dtype=np.int64)
+        bound = np.minimum(points[two], points[two + 1]).sum(axis=1)
+        # in order of size, so the first of two is not the larger one
+        good[two] = ((100 + percent) * bound >= percent * (n[two] + n[two + 1])) & early[two] & (early[two + 1] | (n[two] < n[two + 1]))
+        good[two + 1] = good[two]
+        for begin, size in groups:
+            here = slice(begin, begin + size)
+            if size > 2:
+                good[here] = with_partner(points[here], n[here], early[here], percent)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[c][good]) for c in ("block", "node")] + [pa.array(early[good])], names=["block", "node", "early"])
+
+    # one row for PART_NODES rows of members at the most
+    many = F.broadcast(members.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > PART_NODES).select("block"))
+    seen = members.join(many, "block", "left_anti").join(points, "node").select("block", "node", "early", "n", "vector")
+    left = seen.repartition("block").mapInArrow(run, "block long, node long, early boolean")
+    return left.unionByName(members.join(many, "block", "left_semi").select("block", "node", "early"))
+
+
 def first_blocks(members: DataFrame, most: int) -> DataFrame:
-    """node and its first ``most`` blocks, in order of their hashes, which near copies have in common for the most part."""
-    return members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("block")), 1, most).alias("firsts"))
+    """block, node and label: a node's first ``most`` blocks, in order of their hashes, which near copies have in common
+    for the most part."""
+    firsts = members.groupBy("node", "label").agg(F.slice(F.sort_array(F.collect_list("block")), 1, most).alias("firsts"))
+    return firsts.select(F.explode("firsts").alias("block"), "node", "label")
 
 
 def nearest_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -311,8 +371,7 @@ def nearest_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, perc
 
 def round_candidates(members: DataFrame, points: DataFrame, percent: int, turn: int) -> DataFrame:
     """Distinct pairs (a, b) in each node's first blocks: stars in turn 0, else nearest nodes of another component."""
-    firsts = first_blocks(members, STAR_BLOCKS).select("node", F.explode("firsts").alias("block"))
-    placed = members.select("block", "node", "label").join(firsts, ["block", "node"])
+    placed = first_blocks(members, STAR_BLOCKS)
     shared = placed.groupBy("block").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / PART_NODES))
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")).cast("int").alias("part")
     dealt = placed.join(shared, "block").select("block", part, "node", "label")
@@ -479,7 +538,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     whole = keep(describe(docs, percent, size, texts=False).drop("packed"))
     described = keep(whole.select("row", "doc_id", "n", "node"))
     fresh = whole.where("vector is not null")
-    members = keep(blocks(fresh, percent).withColumn("label", F.col("node")))
+    members = keep(blocks(fresh, percent))
     nodes = members.select("node").distinct()
     likely = where_likely(fresh, nodes, "node").select("node", "n", "vector", prefix_codes().alias("codes"))
     points = keep_by(
@@ -490,6 +549,8 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     )
     discard(whole)
     vectors, heads = points.select("node", "n", "vector"), points.select("node", "n", "codes")
+    every, members = members, keep(promising(members, vectors, percent).withColumn("label", F.col("node")))
+    discard(every)
     every, (small, members) = members, parted(members)
     discard(every)
 
