@@ -1,20 +1,17 @@
-"""Recall from the cell index and clustering batch by batch."""
+"""Recall of the nearest vectors and clustering batch by batch."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cells, events, incremental
+from ..operators import events, incremental, tiles
 from ..streaming.jobs import shared_dir
+from .content import _COS
 from .registry import query, read
 
-#: Leading components that make up a compact vector: near ones are common among them, unlike among the whole ones.
-COMPACT = 12
-_A, _B = (f"{side}.embedding[1:{COMPACT}]::DOUBLE[]" for side in "ab")
-_COS = f"list_dot_product({_A}, {_B}) / sqrt(list_dot_product({_A}, {_A}) * list_dot_product({_B}, {_B}))"
-
 
 @query(f"""
 WITH found AS (SELECT a.vec_id AS q, b.vec_id AS s, {_COS} AS c, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
@@ -22,12 +19,14 @@ best AS (SELECT * FROM found WHERE c >= 0.65 QUALIFY row_number() OVER (PARTITIO
 SELECT q, s, round(c, 6) AS cosine, CASE WHEN c >= 0.75 THEN 'strong' WHEN c >= 0.70 THEN CASE WHEN same THEN 'gray' ELSE 'rejected' END ELSE 'shadow' END AS band FROM best""")
 def recall_candidates(spark, sf_dir):
     """The ten nearest stored vectors of every twentieth one, in bands; gray ones pass only with a label in common."""
-    vec = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, COMPACT).alias("v"))
-    # a query finds itself too, so one more is asked for
-    found = cells.top_k(vec.where("vec_id % 20 = 0"), cells.build(vec, "vec_id"), 11, events.SHADOW, "vec_id").where("q <> s")
+    vec = read(spark, sf_dir, "embeddings")
+    # a query finds itself too, if not behind as many copies: one more is asked for, and the ten best others stay
+    found = tiles.top_k(vec.where("vec_id % 20 = 0"), vec, 11, events.SHADOW, "vec_id", "embedding").where("q <> s")
+    order = Window.partitionBy("q").orderBy("rank")
+    best = found.withColumn("place", F.row_number().over(order)).where("place <= 10")
     label = lambda side, name: vec.select(F.col("vec_id").alias(side), F.col("label").alias(name))
-    both = found.join(label("q", "lq"), "q").join(label("s", "ls"), "s")
-    same = F.col("lq") == F.col("ls")
+    both = best.join(label("q", "lq"), "q").join(label("s", "ls"), "s")
+    same = F.coalesce(F.col("lq") == F.col("ls"), F.lit(False))
     band = F.when((F.col("cosine") >= events.GRAY) & (F.col("cosine") < events.STRONG) & ~same, "rejected").otherwise(events.band(F.col("cosine")))
     return both.select("q", "s", F.round("cosine", 6).alias("cosine"), band.alias("band"))
 
