@@ -47,3 +47,16 @@ def test_ids_that_begin_alike_do_not_all_meet(spark):
         wrong = spark.createDataFrame([("g", x[:-6] + x[-5:] + "zz") for x in ids[::2]], "group string, answered string")
         met = [r.id for r in clusters.meeting_ids(wrong, open_, 3).collect()]
         assert set(met) >= set(ids[::2]) and len(met) < 2 * n
+
+
+def test_no_table_goes_through_the_driver(spark):
+    """Only the places of cuts, a row for each few lengths, are broadcast, however small the tables seem to be."""
+    ids = [f"item-{hashlib.md5(str(i).encode()).hexdigest()[:9]}" for i in range(50)]
+    open_ = spark.createDataFrame([("g", x) for x in ids], "group string, id string")
+    answered = spark.createDataFrame([("g", x[:-1] if i % 2 else x) for i, x in enumerate(ids)], "group string, id string")
+    # as small as tables are guessed to be whose ids are made of short columns
+    found = clusters.repaired_ids(answered.limit(60), open_.limit(60), 1, 0.85)
+    assert sorted(r.id for r in found.collect()) == sorted(ids)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "HashJoin" in line or "NestedLoopJoin" in line]
+    assert joins and all("least" in line and "BroadcastHashJoin" in line for line in joins)

@@ -256,8 +256,10 @@ def meeting_ids(wrong: DataFrame, open_: DataFrame, edits: int) -> DataFrame:
     text = F.when(more < 0, part).when(more == 0, without(at, "\0")).otherwise(without(at))
     tried = tried.withColumn("text", text).select(key, named("answered").alias("a"))
 
-    met = tried.join(held, "key").select("a", "b").distinct()
-    pairs = met.join(wrong.withColumn("a", named("answered")), "a").join(expected.select(F.col("group").alias("_group"), "id", named("id").alias("b")), "b")
+    # no side goes through the driver: tables may be small where the ids made of them are not
+    met = tried.hint("merge").join(held, "key").select("a", "b").distinct()
+    answers, ids = wrong.withColumn("a", named("answered")).hint("merge"), expected.select(F.col("group").alias("_group"), "id", named("id").alias("b")).hint("merge")
+    pairs = met.join(answers, "a").join(ids, "b")
     return pairs.where(F.col("group") == F.col("_group")).select("group", "answered", "id")
 
 
@@ -271,6 +273,8 @@ def repaired_ids(answered: DataFrame, expected: DataFrame, edits: int = 3, ratio
     takes the expected one that nobody answered, if just one is within ``edits`` and alike enough."""
     if (edits + 1) * (1 - ratio) > 1:
         raise ValueError("ids of edits or fewer letters could be alike enough: take a higher ratio or fewer edits")
+    # merged, as in meeting_ids: the size of ids is guessed from the tables that they are made of
+    answered, expected = answered.hint("merge"), expected.hint("merge")
     exact = answered.join(expected, ["group", "id"]).select("group", "id", F.col("id").alias("answered"))
     wrong = answered.join(expected, ["group", "id"], "left_anti").select("group", F.col("id").alias("answered"))
     open_ = expected.join(answered, ["group", "id"], "left_anti")
