@@ -5,8 +5,11 @@ need not be one pass, though. Centroids are sums of unit vectors, and a member j
 each member makes the sum longer by ``gray`` at least. Hence an item can join a cluster only if its cosine to the stored
 centroid, or to a member that came in the same batch, is ``gray ** 2`` or more, and only if they lie within the largest
 span of time. Items and clusters that no such link connects can't affect each other: components of these links are worked
-through apart from each other, each in order, and together they give what one pass gives. Links come from an exact search
-in a cell index. A component is at most the batch and the clusters it can reach; the caller bounds batches.
+through apart from each other, each in order, and together they give what one pass gives. Links are found tile against tile;
+a tile gives no more of them than connect what it holds, as most pairs may be links where vectors don't lie in clusters. A
+component is at most the batch and the clusters it can reach, and one task; the caller bounds batches. The task compares
+some items at once with the clusters that were there before them, in single precision; only what may be near enough, and
+what the items just before have changed, is worked out in double precision in order.
 
 State is a folder: ``clusters/batch=n`` holds the clusters that batch n founded or changed, ``assigned/batch=n`` its items;
 ``assigned`` is written last, so a batch without its mark was not finished and is run again from the state before it. Items
@@ -20,14 +23,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.kept import discard, exists, keep
-from . import cells, events
+from . import cells, events, tiles
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Items that are compared at once with the clusters before them, and clusters that they are multiplied with at once.
+TOGETHER, COLUMNS = 256, 16_384
 ASSIGNED_SCHEMA = "id long, cluster long, founded boolean, band string, cosine double"
 CLUSTER_SCHEMA = "cluster long, total array<double>, n long, first long, last long, author string, category string, entities array<string>"
 _STEP_SCHEMA = (
@@ -68,7 +73,7 @@ def gray_allowed(item: dict, cluster: dict, policy: Policy) -> bool:
 
 
 class Pass:
-    """One pass in order over items, with the clusters that were there before."""
+    """One pass in order over items, with the clusters that were there before, item by item: what _sequential() must give."""
 
     def __init__(self, policy: Policy, width: int) -> None:
         self.policy, self.clusters, self.totals = policy, [], np.zeros((0, width))
@@ -104,30 +109,103 @@ class Pass:
 
 
 def _sequential(policy: Policy):
-    """One component, worked through in order; gives rows of _STEP_SCHEMA."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(rows["v"].tolist(), dtype=np.float64)
-        work = Pass(policy, vectors.shape[1])
-        null = lambda x: None if x is None or x is pd.NA or x != x else x
-        whole = lambda x: None if null(x) is None else int(x)
-        facts = [
-            {"id": int(i), "t": whole(t), "author": null(a), "category": null(c), "entities": set(e), "n": n, "first": whole(f), "last": whole(z)}
-            for i, t, a, c, e, n, f, z in zip(rows["id"], rows["t"], rows["author"], rows["category"], rows["entities"], rows["n"], rows["first"], rows["last"])
-        ]
-        stored = rows["stored"].to_numpy(dtype=bool)
-        for i in sorted(np.flatnonzero(stored), key=lambda i: facts[i]["id"]):
-            f = facts[i]
-            work.add_cluster({"cluster": f["id"], "n": int(f["n"]), "first": f["first"], "last": f["last"], "author": f["author"], "category": f["category"], "entities": f["entities"], "changed": False}, vectors[i])
-        out = []
-        for i in sorted(np.flatnonzero(~stored), key=lambda i: (facts[i]["t"] is None, facts[i]["t"] or 0, facts[i]["id"])):
-            at, founded, band, cosine = work.place(facts[i], cells.unit(vectors[i]))
-            out.append(("item", facts[i]["id"], work.clusters[at]["cluster"], founded, band, cosine, None, None, None, None, None, None, None))
-        for c, total in zip(work.clusters, work.totals):
-            if c["changed"]:
-                out.append(("cluster", None, c["cluster"], None, None, None, total.tolist(), c["n"], c["first"], c["last"], c["author"], c["category"], sorted(c["entities"])))
-        found = pd.DataFrame(out, columns=["kind", "id", "cluster", "founded", "band", "cosine", "total", "n", "first", "last", "author", "category", "entities"], dtype=object)
-        return found.astype({c: "Int64" for c in ("id", "cluster", "n", "first", "last")} | {"founded": "boolean", "cosine": "Float64"})
+    """One component, worked through in order; gives rows of _STEP_SCHEMA.
+
+    A cluster has the number of the row that it comes from: the stored one, or the item that founded it.
+    """
+    schema = pa.schema([
+        ("kind", pa.string()), ("id", pa.int64()), ("cluster", pa.int64()), ("founded", pa.bool_()), ("band", pa.string()), ("cosine", pa.float64()), ("total", pa.list_(pa.float64())),
+        ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("author", pa.string()), ("category", pa.string()), ("entities", pa.list_(pa.string()))])
+
+    def run(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows.column(name).combine_chunks()
+        ids, t, n, first, last = (column(c).fill_null(0).to_numpy(zero_copy_only=False).copy() for c in ("id", "t", "n", "first", "last"))
+        stored = column("stored").to_numpy(zero_copy_only=False)
+        dated, open_ = column("t").is_valid().to_numpy(zero_copy_only=False), column("first").is_null().to_numpy(zero_copy_only=False).copy()
+        authors, categories, listed = column("author"), column("category"), column("entities")
+        totals = cells.stacked(column("v"))
+        totals[~stored] = cells.unit(totals[~stored])
+        sizes = np.linalg.norm(totals, axis=1)
+        single = (totals / np.maximum(sizes, 1e-300)[:, None]).astype(np.float32)
+        live, changed, touched = stored.copy(), np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        held: dict[int, set] = {}
+        least = np.float32(policy.gray - tiles.rounding(totals.shape[1]) - 1e-9)
+
+        def entities(i: int) -> set:
+            return held[i] if i in held else set(listed[i].as_py())
+
+        def bounds(c: int) -> tuple[int | None, int | None]:
+            return (None, None) if open_[c] else (int(first[c]), int(last[c]))
+
+        def allowed(i: int, c: int) -> bool:
+            facts = lambda r: {"author": authors[r].as_py(), "category": categories[r].as_py(), "entities": entities(r)}
+            begin, end = bounds(c)
+            return gray_allowed(facts(i) | {"t": int(t[i]) if dated[i] else None}, facts(c) | {"first": begin, "last": end}, policy)
+
+        def choose(i: int, near: np.ndarray) -> tuple[int, float] | None:
+            cos = np.round(totals[near] @ totals[i] / np.maximum(sizes[near], 1e-300), 9)
+            good = np.flatnonzero(cos >= policy.gray)
+            looked, at = 0, int(t[i]) if dated[i] else None
+            for g in good[np.lexsort((ids[near[good]], -cos[good]))].tolist():
+                c = int(near[g])
+                if not adjacent(at, *bounds(c), policy):
+                    continue
+                looked += 1
+                if looked > policy.k:
+                    return None
+                if cos[g] >= policy.strong or allowed(i, c):
+                    return c, float(cos[g])
+            return None
+
+        order = np.flatnonzero(~stored)
+        order = order[np.lexsort((ids[order], t[order], ~dated[order]))]
+        into, cosine = np.empty(len(order), np.int64), np.full(len(order), np.nan)
+        for b in range(0, len(order), TOGETHER):
+            some = order[b : b + TOGETHER]
+            # a cluster that ended too long before an item can be joined by no later one either
+            reach = live & (open_ | (last >= t[some[0]] - int(policy.adjacent_days * DAY) - 1)) if dated[some].all() else live
+            known = np.flatnonzero(reach)
+            hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for c in range(0, len(known), COLUMNS):
+                x, y = np.divmod(np.flatnonzero(single[some] @ single[known[c : c + COLUMNS]].T >= least), len(known[c : c + COLUMNS]))
+                hits.append((x, known[c + y]))
+            who, near = map(np.concatenate, zip(*hits))
+            near = near[np.argsort(who, kind="stable")]
+            cuts = np.append(0, np.cumsum(np.bincount(who, minlength=len(some)))).tolist()
+            fresh, many = np.empty(len(some), np.int64), 0
+            for j, i in enumerate(some.tolist()):
+                mine = near[cuts[j] : cuts[j + 1]]
+                if many:
+                    mine = np.concatenate([mine[~touched[mine]], fresh[:many]])
+                found = choose(i, mine) if len(mine) else None
+                if found is None:
+                    c, live[i], n[i] = i, True, 1
+                else:
+                    c, cosine[b + j] = found
+                    totals[c] += totals[i]
+                    sizes[c] = np.linalg.norm(totals[c])
+                    single[c] = totals[c] / max(sizes[c], 1e-300)
+                    n[c] += 1
+                    held[c] = entities(c) | entities(i)
+                    if dated[i]:
+                        first[c], last[c] = (t[i], t[i]) if open_[c] else (min(first[c], t[i]), max(last[c], t[i]))
+                        open_[c] = False
+                into[b + j], changed[c] = c, True
+                if not touched[c]:
+                    touched[c], fresh[many], many = True, c, many + 1
+            touched[fresh[:many]] = False
+        founded = into == order
+        bands = np.where(founded, None, np.where(cosine >= policy.strong, "strong", "gray"))
+        nothing = lambda names, size: {c: pa.nulls(size, schema.field(c).type) for c in names}
+        placed = {
+            "kind": pa.array(["item"] * len(order), pa.string()), "id": pa.array(ids[order]), "cluster": pa.array(ids[into]), "founded": pa.array(founded), "band": pa.array(bands, pa.string()), "cosine": pa.array(cosine, mask=founded),
+            **nothing(("total", "n", "first", "last", "author", "category", "entities"), len(order))}
+        own = np.flatnonzero(changed)
+        kept = {
+            "kind": pa.array(["cluster"] * len(own), pa.string()), "cluster": pa.array(ids[own]), "total": pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * totals.shape[1]), pa.array(totals[own].ravel())),
+            "n": pa.array(n[own]), "first": pa.array(first[own], mask=open_[own]), "last": pa.array(last[own], mask=open_[own]), "author": authors.take(pa.array(own)), "category": categories.take(pa.array(own)),
+            "entities": pa.array([sorted(entities(c)) for c in own.tolist()], pa.list_(pa.string())), **nothing(("id", "founded", "band", "cosine"), len(own))}
+        return pa.concat_tables([pa.table([part[c] for c in schema.names], schema=schema) for part in (placed, kept)])
 
     return run
 
@@ -173,13 +251,12 @@ def assign_batch(items: DataFrame, folder: str, number: int, policy: Policy = Po
     span, least = int(policy.span_days * DAY), policy.gray**2 - 1e-6
     stored = keep(clusters(spark, folder, number, None if start is None or undated else start - span))
     # what can affect what
-    own = cells.build(new, "id", "v")
-    times = new.select("id", "t")
-    links = cells.pairs(new, own, least).where("q < s").join(times.toDF("q", "tq"), "q").join(times.toDF("s", "ts"), "s")
-    links = links.where(F.coalesce(F.abs(F.col("tq") - F.col("ts")) <= span, F.lit(True))).select(F.col("q").alias("a"), F.col("s").alias("b"))
-    to_stored = cells.pairs(new, cells.build(stored, "cluster", "total"), least).join(times.toDF("q", "t"), "q").join(stored.select(F.col("cluster").alias("s"), "first", "last"), "s")
-    in_reach = F.coalesce((F.col("t") - F.col("first") <= span) & (F.col("last") - F.col("t") <= span), F.lit(True))
-    links = keep(links.unionByName(to_stored.where(in_reach).select(F.col("q").alias("a"), F.col("s").alias("b"))))
+    links = tiles.links(new, least, "id", "v", F.col("t"), span + 1)
+    if not stored.isEmpty():
+        # a time that a cluster can take in lies within the span of the middle of its times
+        known = stored.select(F.col("cluster").alias("id"), F.col("total").alias("v"), F.floor((F.col("first") + F.col("last")) / 2).cast("long").alias("t"))
+        links = links.unionByName(tiles.links_between(new, known, least, "id", "v", F.col("t"), span + 1))
+    links = keep(links)
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     labels = keep(events.connected(links, ends))
     # items without a link found clusters of their own, without a task of their own
@@ -189,8 +266,8 @@ def assign_batch(items: DataFrame, folder: str, number: int, policy: Policy = Po
         F.col("id").alias("cluster"), F.transform("v", lambda x: x.cast("double") / size).alias("total"), F.lit(1).cast("long").alias("n"),
         F.col("t").alias("first"), F.col("t").alias("last"), "author", "category", F.sort_array(F.array_distinct("entities")).alias("entities"))
     rows = new.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), "t", "author", "category", "entities", F.lit(False).alias("stored"), F.lit(1).cast("long").alias("n"), F.col("t").alias("first"), F.col("t").alias("last"))
-    known = stored.select(F.col("cluster").alias("id"), F.col("total").alias("v"), F.lit(None).cast("long").alias("t"), "author", "category", "entities", F.lit(True).alias("stored"), "n", "first", "last")
-    steps = keep(rows.unionByName(known).join(labels, "id").groupBy("label").applyInPandas(_sequential(policy), _STEP_SCHEMA))
+    before = stored.select(F.col("cluster").alias("id"), F.col("total").alias("v"), F.lit(None).cast("long").alias("t"), "author", "category", "entities", F.lit(True).alias("stored"), "n", "first", "last")
+    steps = keep(rows.unionByName(before).join(labels, "id").groupBy("label").applyInArrow(_sequential(policy), _STEP_SCHEMA))
     changed = steps.where("kind = 'cluster'").select(*founded.columns).unionByName(founded)
     placed = steps.where("kind = 'item'").select("id", "cluster", "founded", "band", "cosine")
     none = [F.lit(None).cast(t).alias(n) for n, t in (("band", "string"), ("cosine", "double"))]
